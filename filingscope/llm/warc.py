@@ -67,7 +67,7 @@ class Bundle:
         import zstandard
 
         files, path = _file(uri)
-        self.uri, self.out, self.pack = uri, files.open_output_stream(path), zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
+        self.uri, self.out, self.pack = uri, files.open_output_stream(path, compression=None), zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.frame_bytes, self.frames, self.at, self.buffer, self.size, self.rows = frame_bytes, [], 0, [], 0, []
 
     def add(self, name: str, page_id, record: bytes) -> list[tuple]:
