@@ -1,0 +1,24 @@
+"""Filings analytics and text preparation on Spark: functions from DataFrame to DataFrame."""
+
+from __future__ import annotations
+
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once for each application."""
+    sc = spark.sparkContext
+    if getattr(ship, "app", None) == sc.applicationId:
+        return
+    here = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="filingscope-ship-")
+    for file in here.rglob("*.py"):
+        target = Path(folder, "src", here.name, file.relative_to(here))
+        target.parent.mkdir(parents=True, exist_ok=True)
+        shutil.copy(file, target)
+    sc.addPyFile(shutil.make_archive(f"{folder}/filingscope", "zip", f"{folder}/src"))
+    ship.app = sc.applicationId
