@@ -16,6 +16,8 @@ from filingscope.llm.common import new_path, write_table
 #: Fixed values of the seekable format: a skippable frame's magic number, the footer's magic number.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 64 << 20, 3
+#: Compressed bytes that a task reads back.
+READ_BYTES = 32 << 20
 INDEX = "record_id string, page_id long, bundle string, frame int, frame_at long, frame_size long, frame_bytes long, offset long, length long"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -185,8 +187,11 @@ def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
                     out.append((int(h["x-page-id"]) if h["x-page-id"] else None, n, digest, h["warc-type"], int(h["x-refers-to-page"]) if revisit else None, h["warc-record-id"].strip("<>"), None if revisit else record["payload"])[: 6 + with_payload])
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
-    # a frame's records are bounded by its size
+    # a frame's records are bounded by its size; the index is small, so the number of tasks follows the archives' bytes
+    packed = index.groupBy("bundle", "frame_at").agg(F.first("frame_size").alias("n")).agg(F.sum("n")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, packed // READ_BYTES + 1)
     frames = index.groupBy("bundle", "frame_at", "frame_size").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("r"))
+    frames = frames.repartition(tasks, "bundle", "frame_at")
     return frames.select("bundle", "frame_at", "frame_size", "r.offset", "r.length").mapInArrow(read, schema)
 
 
