@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from filingscope import ship
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -15,6 +18,12 @@ def op2_warc(spark, sf_dir):
     return archive_pages(_read(spark, sf_dir, "pages"))
 
 
+def op3_fertility(spark, sf_dir):
+    from filingscope.llm.fertility import fertility_rules
+
+    return fertility_rules(_read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     from filingscope.llm.packing import pack
 
@@ -33,4 +42,10 @@ def op8_sharding(spark, sf_dir):
     return assign_shards(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op4_packing, op7_token_counts, op8_sharding)}
+def op10_quality(spark, sf_dir):
+    from filingscope.llm.quality_classifier import classify_quality
+
+    return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_warc, op3_fertility, op4_packing, op7_token_counts, op8_sharding, op10_quality)}
