@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from filingscope.llm.common import WordHashes, scramble, texts_of
 
@@ -127,7 +128,7 @@ def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRES
             p = np.round(1 / (1 + np.exp(-np.clip(out, -35, 35))), 6)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*names, "score"])
 
-    schema = rows.drop("_text").schema.add("score", "double")
+    schema = rows.drop("_text").schema.add("score", T.DoubleType())
     return rows.mapInArrow(score, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

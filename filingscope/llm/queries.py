@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontamination(spark, sf_dir):
+    from filingscope.llm.decontamination import find_leaks
+
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_warc(spark, sf_dir):
     from filingscope.llm.warc import archive_pages
 
@@ -30,6 +36,15 @@ def op4_packing(spark, sf_dir):
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from filingscope.llm.line_dedup import dedupe_lines
+
+    left = dedupe_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_deleted", "run_starts", "run_lines", F.octet_length("text").cast("long").alias("left_bytes"), F.crc32("text").alias("left_crc32"))
+
+
 def op7_token_counts(spark, sf_dir):
     from filingscope.llm.token_counts import count_tokens
 
@@ -48,4 +63,4 @@ def op10_quality(spark, sf_dir):
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_warc, op3_fertility, op4_packing, op7_token_counts, op8_sharding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op7_token_counts, op8_sharding, op10_quality)}
