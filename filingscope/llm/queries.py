@@ -57,10 +57,16 @@ def op8_sharding(spark, sf_dir):
     return assign_shards(_read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark, sf_dir):
+    from filingscope.llm.jaccard_join import join_sets
+
+    return join_sets(_read(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark, sf_dir):
     from filingscope.llm.quality_classifier import classify_quality
 
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op7_token_counts, op8_sharding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality)}
