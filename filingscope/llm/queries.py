@@ -45,6 +45,12 @@ def op5_line_dedup(spark, sf_dir):
     return left.select("doc_id", "n_lines", "n_deleted", "run_starts", "run_lines", F.octet_length("text").cast("long").alias("left_bytes"), F.crc32("text").alias("left_crc32"))
 
 
+def op6_katz(spark, sf_dir):
+    from filingscope.llm.katz import katz_scores
+
+    return katz_scores(_read(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     from filingscope.llm.token_counts import count_tokens
 
@@ -69,4 +75,4 @@ def op10_quality(spark, sf_dir):
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality)}
