@@ -89,6 +89,7 @@ def later_copies(lines: DataFrame) -> DataFrame:
         named = named.withColumn("last", F.col("first") + F.col("n") - h)
         named = named.join(ranks.select("row", F.col("at").alias("last"), F.col("rank").alias("b")), ["row", "last"])
         firsts = named.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "row", "first")).alias("origin"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+        firsts = write_table(firsts, "firsts")  # as a table, its join with a run that very many texts have can be split
         later = named.join(firsts, ["n", "a", "b"]).filter(F.struct("doc", "row", "first") > F.col("origin")).select("row", "first", "n")
         copies = later if copies is None else copies.unionByName(later)
     return copies
