@@ -127,7 +127,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, dedupe_bytes: in
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
     leaders = rows.filter(F.length("payload") >= dedupe_bytes).groupBy("digest").agg(F.min("page_id").alias("leader"), F.count(F.lit(1)).alias("n"))
     # one row per repeated payload; a payload that many pages have is one large join key, which AQE splits
-    typed = rows.join(leaders.filter("n > 1").drop("n"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("leader") != F.col("page_id"), F.col("leader")).alias("leader"))
+    leaders = write_table(leaders.filter("n > 1").drop("n"), "warc-leaders")
+    typed = rows.join(leaders, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("leader") != F.col("page_id"), F.col("leader")).alias("leader"))
     typed = typed.withColumn("leader", F.when(F.col("page_id").isNull(), F.lit(None)).otherwise(F.col("leader")))
 
     def write(batches):
