@@ -232,11 +232,11 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: s
     buckets = max(64, int(total * (100 - percent) / 100 / BUCKET) + 1)
     lists = write_table(index_lists(docs, frequency_classes(described), buckets, k, percent, text_col), "lists")
     # the pivot of a list is the set whose tokens are shared most
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
+    sizes = write_table(lists.groupBy("token").agg(F.count(F.lit(1)).alias("many")), "list-sizes")
     typical = lists.join(sizes, "token").groupBy("set").agg(F.avg("many").alias("typical"))
     listed = lists.join(typical, "set")
     pivots = listed.groupBy("token").agg(F.max(F.struct("typical", "set")).alias("top")).select("token", F.col("top.set").alias("pivot"))
-    pivoted = write_table(lists.join(pivots, "token"), "pivoted")
+    pivoted = write_table(lists.join(write_table(pivots, "pivots"), "token"), "pivoted")
     # one text for each set that is in a list, found by the id and then by the set
     chosen = lists.select("set").distinct().join(kinds, "set").select("set", F.col("doc").alias("chosen"))
     texts = write_table(texts_of_sets(docs, chosen, k, id_col, text_col), "set-texts")
@@ -247,7 +247,9 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: s
     known = pivoted.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "common", F.col("na").alias("np")), ["pivot", "set"], "left")
     rooted = known.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
     own = rooted.withColumn("common", F.when(F.col("set") == F.col("pivot"), F.col("n")).otherwise(F.col("common"))).withColumn("np", F.coalesce("np", "n"))
+    own = write_table(own.select("token", "set", "n", "pos", "root", "common", "np"), "rooted")
     open_lists = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
+    open_lists = write_table(open_lists, "open-lists")
     still = own.join(open_lists, "token").withColumn("bucket", F.pmod("token", F.lit(buckets)).cast("int"))
     rest = write_table(still.select("bucket", "token", "set", "n", "pos", "root", "common", "np").groupBy("bucket").applyInPandas(_rest(percent), "a long, b long").distinct(), "rest")
     second = compare(rest, texts, k).filter(linked).select("a", "b")
