@@ -1,4 +1,11 @@
 """All queries of the library by name, and their DuckDB SQL."""
 
+from __future__ import annotations
+
+from filingscope.plans import radar_queries
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for module in (radar_queries,):
+    QUERIES |= module.QUERIES
+    ORACLES |= module.ORACLES
