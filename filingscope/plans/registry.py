@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from filingscope.plans import radar_queries
+from filingscope.plans import portfolio_queries, radar_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (radar_queries,):
+for module in (radar_queries, portfolio_queries):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
