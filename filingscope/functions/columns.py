@@ -239,7 +239,7 @@ def form_fetch_rank(form) -> Column:
 
 
 def split_delimited(x) -> Column:
-    return F.filter(F.transform(F.split(_c(x), "[\n,;]"), F.trim), lambda y: y != "")
+    return F.filter(F.transform(F.split(_c(x), "[\n,;]"), lambda y: F.trim(y)), lambda y: y != "")
 
 
 def format_money(x) -> Column:
@@ -273,4 +273,4 @@ def normalize_text(x) -> Column:
 
 
 def split_sentences(x) -> Column:
-    return F.filter(F.transform(F.split(_c(x), "[.!?]+"), F.trim), lambda s: F.length(s) > 20)
+    return F.filter(F.transform(F.split(_c(x), "[.!?]+"), lambda s: F.trim(s)), lambda s: F.length(s) > 20)

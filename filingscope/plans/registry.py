@@ -2,10 +2,26 @@
 
 from __future__ import annotations
 
-from filingscope.plans import portfolio_queries, radar_queries
+from functools import wraps
+
+from filingscope import ship
+from filingscope.plans import portfolio_queries, radar_queries, source_queries, table_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for module in (radar_queries, portfolio_queries):
-    QUERIES |= module.QUERIES
+
+
+def shipped(query):
+    """A query whose Python parts find this package on the executors."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+for module in (radar_queries, portfolio_queries, table_queries, text_queries, source_queries):
+    QUERIES |= {name: shipped(f) for name, f in module.QUERIES.items()}
     ORACLES |= module.ORACLES
