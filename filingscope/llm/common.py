@@ -81,8 +81,8 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     n = min(k, len(words))
     h = np.full(len(words) - n + 1, n, np.uint64)
     for i in range(n):
-        h = scramble(h + words[i : len(words) - n + 1 + i] * MIX[i])
-    return h
+        h += words[i : len(words) - n + 1 + i] * MIX[i]
+    return scramble(h)
 
 
 def number_rows(df: DataFrame, keys: list[str], name: str, rows_per_block: int = 20_000, keep: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -4,7 +4,8 @@ A prefix index holds, of each distinct set, the tokens that come first in one gl
 ones last). Within an index list the most typical set is the pivot: all others are compared with it,
 and their similarities to it then answer for pairs of others: pairs that the pivot's links connect need
 no comparison, nor do pairs whose distances to the pivot differ too much (Jaccard distance is a metric).
-What remains is found list by list, with blocks of lists skipped by size and position, and compared.
+What remains is found list by list, with blocks of lists skipped by size; pairs whose prefixes share too
+few tokens for the positions behind them go, and the others are compared.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from filingscope.llm.common import WordHashes, shingles, texts_of, write_table
+from filingscope.llm.common import WordHashes, scramble, shingles, texts_of, write_table
 
 WORDS, PERCENT = 4, 85
 #: Counters of the sketch of token frequencies, and the rows it is summed in.
@@ -24,6 +24,8 @@ SKETCH_BITS, SKETCH_ROWS = 20, 64
 #: Index entries that one task of the index handles.
 BUCKET = 300_000
 SEEN = 200_000
+#: Bits of the filter that finds the texts to compare.
+BITMAP_BITS = 23
 
 
 def token_set(text: bytes | None, hashes: WordHashes, k: int) -> np.ndarray:
@@ -98,7 +100,7 @@ def frequency_classes(described: DataFrame) -> np.ndarray:
 
 
 def index_lists(docs: DataFrame, classes: np.ndarray, buckets: int, k: int, percent: int, text_col: str) -> DataFrame:
-    """The prefix index: token, set, n, pos (of the token in its set's order), for tokens that two or more sets have.
+    """The prefix index: token, set, n and many (the list's length), for tokens that two or more sets have.
 
     Tasks send packed entries to buckets of tokens; copies of a set that a task has seen send none.
     """
@@ -107,7 +109,7 @@ def index_lists(docs: DataFrame, classes: np.ndarray, buckets: int, k: int, perc
     def send(batches):
         hashes, seen, order = WordHashes(), set(), shared.value
         for batch in batches:
-            tokens_of, sets, sizes, places = [], [], [], []
+            tokens_of, sets, sizes = [], [], []
             for text in texts_of(batch.column(0)):
                 tokens = token_set(text, hashes, k)
                 name = digest(tokens)
@@ -122,28 +124,28 @@ def index_lists(docs: DataFrame, classes: np.ndarray, buckets: int, k: int, perc
                 tokens_of.append(tokens[:p])
                 sets.append(np.full(p, name))
                 sizes.append(np.full(p, len(tokens), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
             if not tokens_of:
                 continue
-            tokens, sets, sizes, places = map(np.concatenate, (tokens_of, sets, sizes, places))
+            tokens, sets, sizes = map(np.concatenate, (tokens_of, sets, sizes))
             to = (tokens % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(to, kind="stable")
             cuts = np.flatnonzero(np.append(True, np.diff(to[by]) != 0))
-            parts = [(to[by[a]], *(x[by[a:b]].tobytes() for x in (tokens, sets, sizes, places))) for a, b in zip(cuts, np.append(cuts[1:], len(by)))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "t", "s", "n", "p"])
+            parts = [(to[by[a]], *(x[by[a:b]].tobytes() for x in (tokens, sets, sizes))) for a, b in zip(cuts, np.append(cuts[1:], len(by)))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), *[pa.binary()] * 3))], names=["bucket", "t", "s", "n"])
 
     def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        t, s, n, p = (np.frombuffer(b"".join(rows[c]), d) for c, d in (("t", np.uint64), ("s", np.int64), ("n", np.int32), ("p", np.int32)))
+        t, s, n = (np.frombuffer(b"".join(rows[c]), d) for c, d in (("t", np.uint64), ("s", np.int64), ("n", np.int32)))
         by = np.lexsort((s, t))
-        t, s, n, p = t[by], s[by], n[by], p[by]
+        t, s, n = t[by], s[by], n[by]
         first = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
-        t, s, n, p = t[first], s[first], n[first], p[first]
+        t, s, n = t[first], s[first], n[first]
         new = np.append(True, t[1:] != t[:-1])
-        many = np.diff(np.append(np.flatnonzero(new), len(t)))[np.cumsum(new) - 1] > 1
-        return pd.DataFrame({"token": t[many].view(np.int64), "set": s[many], "n": n[many], "pos": p[many]})
+        size = np.diff(np.append(np.flatnonzero(new), len(t)))[np.cumsum(new) - 1]
+        many = size > 1
+        return pd.DataFrame({"token": t[many].view(np.int64), "set": s[many], "n": n[many], "many": size[many]})
 
-    sent = docs.select(F.col(text_col).cast("string")).mapInArrow(send, "bucket int, t binary, s binary, n binary, p binary")
-    return sent.groupBy("bucket").applyInPandas(gather, "token long, set long, n int, pos int")
+    sent = docs.select(F.col(text_col).cast("string")).mapInArrow(send, "bucket int, t binary, s binary, n binary")
+    return sent.groupBy("bucket").applyInPandas(gather, "token long, set long, n int, many long")
 
 
 def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
@@ -186,34 +188,38 @@ def components(edges: DataFrame) -> DataFrame:
         roots = found.select("node", "root")
 
 
+def least_shared(percent: int, a: str = "na", b: str = "nb"):
+    """Tokens that the prefixes of linked sets share at least: what their overlap needs beyond what may stand behind."""
+    need = F.ceil((F.col(a) + F.col(b)) * percent / (100 + percent))
+    return need - F.greatest(F.ceil(F.col(a) * percent / 100), F.ceil(F.col(b) * percent / 100)) + 1
+
+
 def _rest(percent: int):
-    """A bucket of lists -> pairs in one list that are not known to be linked or too far apart."""
+    """A bucket of lists -> pairs in lists that are not known to be linked or too far apart, and how many lists."""
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["token", "n", "set"])
-        token, sets, n, pos, root = (rows[c].to_numpy() for c in ("token", "set", "n", "pos", "root"))
+        token, sets, n, root = (rows[c].to_numpy() for c in ("token", "set", "n", "root"))
         common, size = rows["common"].to_numpy(np.float64), rows["np"].to_numpy(np.float64)
         far = np.where(np.isnan(common), np.nan, 1 - common / np.maximum(size + n - common, 1))
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         most = (100 - percent) / 100 + 1e-9
-        out_a, out_b = [], []
+        left, right = [], []
         for lo, hi in zip(starts, np.append(starts[1:], len(token))):
             if (root[lo:hi] == root[lo]).all():
                 continue
-            # lists are in order of size: the block of sets that are too large for a set is skipped
+            # a list is in order of size: the block of sets that are too large for a set is skipped
             end = lo + np.searchsorted(n[lo:hi], n[lo:hi] * 100 // percent, side="right")
             for i in range(lo, hi - 1):
                 j = np.arange(i + 1, end[i - lo])
-                j = j[root[j] != root[i]]
-                j = j[~(np.abs(far[j] - far[i]) > most)]
-                bound = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
-                j = j[bound >= least_overlap(n[i], n[j].astype(np.int64), percent)]
-                if len(j):
-                    out_a.append(np.minimum(sets[i], sets[j]))
-                    out_b.append(np.maximum(sets[i], sets[j]))
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)}).drop_duplicates()
+                j = j[(root[j] != root[i]) & ~(np.abs(far[j] - far[i]) > most)]
+                left.append(np.full(len(j), i))
+                right.append(j)
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
+        swap = sets[i] > sets[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
+        out = pd.DataFrame({"a": sets[i], "b": sets[j], "na": n[i], "nb": n[j]})
+        return out.groupby(["a", "b", "na", "nb"], as_index=False).size().rename(columns={"size": "shared"})
 
     return pairs
 
@@ -223,7 +229,7 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: s
 
     Texts without words have no shingles and no links; fewer words than k are one shingle; rows with
     equal sets are one set. A null id is nobody's component. Every link between sets is found or
-    follows from links found: sets that link share a token of their prefixes, whatever the order.
+    follows from links found: sets that link share tokens of their prefixes, whatever the order.
     """
     described = write_table(describe_sets(docs, k, id_col, text_col), "sets")
     members = described.filter("block is null").select("doc", "n", "set")
@@ -232,43 +238,67 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: s
     buckets = max(64, int(total * (100 - percent) / 100 / BUCKET) + 1)
     lists = write_table(index_lists(docs, frequency_classes(described), buckets, k, percent, text_col), "lists")
     # the pivot of a list is the set whose tokens are shared most
-    sizes = write_table(lists.groupBy("token").agg(F.count(F.lit(1)).alias("many")), "list-sizes")
-    typical = lists.join(sizes, "token").groupBy("set").agg(F.avg("many").alias("typical"))
-    listed = lists.join(typical, "set")
-    pivots = listed.groupBy("token").agg(F.max(F.struct("typical", "set")).alias("top")).select("token", F.col("top.set").alias("pivot"))
-    pivoted = write_table(lists.join(write_table(pivots, "pivots"), "token"), "pivoted")
-    # one text for each set that is in a list, found by the id and then by the set
-    chosen = lists.select("set").distinct().join(kinds, "set").select("set", F.col("doc").alias("chosen"))
-    texts = write_table(texts_of_sets(docs, chosen, k, id_col, text_col), "set-texts")
-    near = pivoted.filter("set != pivot").groupBy("pivot", "set").agg(F.first("n").alias("n"))
-    first = write_table(compare(near.select(F.col("pivot").alias("a"), F.col("set").alias("b")), texts, k), "compared")
+    typical = lists.groupBy("set").agg(F.avg("many").alias("typical"))
+    pivots = lists.join(typical, "set").groupBy("token").agg(F.max(F.struct("typical", "set", "n")).alias("top"))
+    pivots = write_table(pivots.select("token", F.col("top.set").alias("pivot"), F.col("top.n").alias("np")), "pivots")
+    pivoted = write_table(lists.drop("many").join(pivots, "token"), "pivoted")
+    # sets that share next to nothing with a pivot wait for the second comparison
+    near = pivoted.filter("set != pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
+    near = write_table(near.filter(F.col("shared") * 8 >= least_shared(percent)).select("a", "b"), "near")
+    first = write_table(compare(near, texts_of_sets(docs, near, kinds, k, id_col, text_col), k), "compared")
     linked = F.col("common") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     roots = components(first.filter(linked))
-    known = pivoted.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "common", F.col("na").alias("np")), ["pivot", "set"], "left")
-    rooted = known.join(roots.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    own = rooted.withColumn("common", F.when(F.col("set") == F.col("pivot"), F.col("n")).otherwise(F.col("common"))).withColumn("np", F.coalesce("np", "n"))
-    own = write_table(own.select("token", "set", "n", "pos", "root", "common", "np"), "rooted")
-    open_lists = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token")
-    open_lists = write_table(open_lists, "open-lists")
+    known = pivoted.join(first.select(F.col("a").alias("pivot"), F.col("b").alias("set"), "common"), ["pivot", "set"], "left")
+    rooted = known.join(roots.withColumnRenamed("node", "set"), "set", "left")
+    own = write_table(rooted.select("token", "set", "n", F.coalesce("root", "set").alias("root"), F.when(F.col("set") == F.col("pivot"), F.col("n")).otherwise(F.col("common")).alias("common"), "np"), "rooted")
+    open_lists = write_table(own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("token"), "open-lists")
     still = own.join(open_lists, "token").withColumn("bucket", F.pmod("token", F.lit(buckets)).cast("int"))
-    rest = write_table(still.select("bucket", "token", "set", "n", "pos", "root", "common", "np").groupBy("bucket").applyInPandas(_rest(percent), "a long, b long").distinct(), "rest")
-    second = compare(rest, texts, k).filter(linked).select("a", "b")
+    rest = still.groupBy("bucket").applyInPandas(_rest(percent), "a long, b long, na int, nb int, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    rest = write_table(rest.filter(F.col("shared") >= least_shared(percent)).select("a", "b"), "rest")
+    second = compare(rest, texts_of_sets(docs, rest, kinds, k, id_col, text_col), k).filter(linked).select("a", "b")
     roots = components(first.filter(linked).select("a", "b").unionByName(second))
     grouped = kinds.join(roots.withColumnRenamed("node", "set"), "set", "left").select("set", "doc", F.coalesce("root", "set").alias("root"))
     least = grouped.groupBy("root").agg(F.min("doc").alias("least"))
-    answers = grouped.join(least, "root").select("set", "least")
+    answers = write_table(grouped.join(least, "root").select("set", "least"), "answers")
     return members.join(answers, "set", "left").select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc")).otherwise(F.col("doc")).alias("component_id"))
 
 
-def texts_of_sets(docs: DataFrame, chosen: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(set, chosen id) -> (set, text). Several texts may have one id: each is kept whose set is the one."""
+def _bits(ids: np.ndarray) -> np.ndarray:
+    return (scramble(ids.astype(np.int64).view(np.uint64)) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
+
+
+def id_bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of hashed ids: 1 MB, whatever the input; a full one only lets more rows pass."""
+
+    def mark(batches):
+        bits = np.zeros(1 << BITMAP_BITS, bool)
+        for batch in batches:
+            bits[_bits(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))] = True
+        if bits.any():
+            parts = np.packbits(bits).reshape(SKETCH_ROWS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["block", "bits"])
+
+    def unite(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows["bits"]])
+        return pd.DataFrame({"block": [rows["block"].iloc[0]], "bits": [total.tobytes()]})
+
+    found = ids.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInPandas(unite, "block int, bits binary").collect()
+    return np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in sorted(found)), np.uint8)).astype(bool) if found else np.zeros(1 << BITMAP_BITS, bool)
+
+
+def texts_of_sets(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """(set, text) of the pairs' sets: the text of the set's least id. Other texts of that id are other sets."""
+    wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+    chosen = write_table(wanted.join(kinds, "set").select(F.coalesce("doc", F.lit(0)).alias("id"), "set"), "chosen")
+    shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(chosen.select("id")))
 
-    def same(batches):
+    def name(batches):
         hashes = WordHashes()
         for batch in batches:
-            keep = [digest(token_set(t, hashes, k)) == s for s, t in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)))]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            own = batch.column(0).fill_null(0)
+            batch = batch.set_column(0, "id", own).filter(pa.array(shared.value[_bits(own.to_numpy(zero_copy_only=False))]))
+            names = [digest(token_set(t, hashes, k)) for t in texts_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), batch.column(1)], names=["id", "set", "text"])
 
-    schema = T.StructType([T.StructField("set", T.LongType()), T.StructField("text", T.StringType())])
-    rows = docs.select(F.col(id_col).cast("long").alias("chosen"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(chosen, rows["chosen"].eqNullSafe(chosen["chosen"])).select("set", "text").mapInArrow(same, schema).dropDuplicates(["set"])
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(name, "id long, set long, text string")
+    return write_table(rows.join(chosen, ["id", "set"]).dropDuplicates(["set"]).select("set", "text"), "set-texts")
