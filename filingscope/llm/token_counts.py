@@ -91,7 +91,7 @@ def spliced_counts(long_texts: DataFrame, vocabulary: str = VOCABULARY, chunk: i
         failed = counts.filter("failed = 1").select("row")
         if failed.isEmpty():
             return done
-        pending = pending.join(failed, "row", "left_semi")
+        pending = pending.join(failed, "row", "left_semi").select("text", "row")
         overlap, chunk = overlap * 4, max(chunk, overlap * 8)
 
 

@@ -106,7 +106,8 @@ class Pieces:
         self.kept: dict[str, bytes] = {}
 
     def segments(self, text: str) -> list[str]:
-        """Without the space that encode() puts before each."""
+        """Without the space that encode() puts before each. A mark in a text is to the model what a space is."""
+        text = text.replace("▁", " ")
         if "  " in text or text[:1] == " " or text[-1:] == " ":
             return [x[1:] for x in re.findall(" +[^ ]*", " " + text)] if text else []
         return text.split(" ") if text else []
