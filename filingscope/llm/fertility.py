@@ -105,7 +105,7 @@ def fertility_rules(docs: DataFrame, reach: float = REACH, least_tokens: int = L
     """
     measured = write_table(measure(docs, **columns), "measured")
     bands = rejection_bands(measured, reach, least_tokens).groupBy("band").agg(*[F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{m}_{end}") for m in METRICS for end in ("low", "high", "margin")])
-    outside, wider = F.lit(False), F.greatest(F.lit(0.0), F.sqrt(F.lit(STEADY) / F.col("n_tokens")) - 1)
+    outside, wider = F.lit(False), F.greatest(F.lit(0.0), F.sqrt(F.lit(STEADY) / F.greatest(F.col("n_tokens"), F.lit(1))) - 1)
     for m in METRICS:
         more = F.col(f"{m}_margin") * wider
         outside = outside | F.coalesce(F.col(m) < F.col(f"{m}_low") - more, F.lit(False)) | F.coalesce(F.col(m) > F.col(f"{m}_high") + more, F.lit(False))
