@@ -244,7 +244,7 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: s
     pivoted = write_table(lists.drop("many").join(pivots, "token"), "pivoted")
     # sets that share next to nothing with a pivot wait for the second comparison
     near = pivoted.filter("set != pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
-    near = write_table(near.filter(F.col("shared") * 8 >= least_shared(percent)).select("a", "b"), "near")
+    near = write_table(near.filter(F.col("shared") * 2 >= least_shared(percent)).select("a", "b"), "near")
     first = write_table(compare(near, texts_of_sets(docs, near, kinds, k, id_col, text_col), k), "compared")
     linked = F.col("common") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     roots = components(first.filter(linked))
