@@ -12,8 +12,8 @@ def folder(spark, tmp_path_factory):
     rng = random.Random(4)
     vocab = ["".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(2, 8))) for _ in range(2000)]
     say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
-    texts = {i: "\n".join(say(12) + "." for _ in range(6)) for i in range(120)}
-    for i in range(100, 120):
+    texts = {i: "\n".join(say(12) + "." for _ in range(6)) for i in range(180)}
+    for i in range(100, 180):
         texts[i] = " ".join(w + "###" for w in texts[i].split())
     item = say(20) + ". " + say(6) + "."
     texts[200] = texts[3] + " " + item
@@ -26,7 +26,7 @@ def folder(spark, tmp_path_factory):
     docs = [(i, t, "en", "s", len(t)) for i, t in texts.items()] + [(205, None, None, None, None)]
     path = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"file://{path}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 100), 0) for i in range(120)], "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
+    spark.createDataFrame([(i, int(i < 100), 0) for i in range(180)], "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
     return f"file://{path}"
 
@@ -41,7 +41,7 @@ def test_stages(spark, folder):
         assert docs.columns == COLUMNS
         kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
     names = [n for n, _ in P.STAGES]
-    assert sum(i in kept[names[0]] for i in range(100)) >= 98 and sum(i in kept[names[0]] for i in range(100, 120)) <= 1
+    assert sum(i in kept[names[0]] for i in range(100)) >= 98 and sum(i in kept[names[0]] for i in range(100, 180)) <= 4
     assert 201 not in kept[names[1]] and len(kept[names[1]][203].split("\n")) == 2
     assert 202 not in kept[names[2]] and 5 in kept[names[2]]
     assert 200 not in kept[names[3]] and 3 in kept[names[3]]
