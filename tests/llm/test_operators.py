@@ -374,7 +374,7 @@ def test_leaks(spark, docs, empty):
 
 
 def test_katz(spark, docs, rows, empty):
-    from filingscope.llm.katz import END, OTHER, START, Katz, fit_katz, katz_scores
+    from filingscope.llm.katz import END, OTHER, START, Katz, fit_katz, katz_scores, unpack
 
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
     train = [x for (i, _), x in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -392,10 +392,10 @@ def test_katz(spark, docs, rows, empty):
     model, _, table, _ = fit_katz(own, 100, 10**6)
     assert isinstance(model, Katz)
     size = len(model.share)
+    found = {k: c for r in table.collect() for k, c in zip(unpack(r["keys"], np.uint64).tolist(), unpack(r["counts"], np.int64).tolist())}
     for before in [START, OTHER, *range(3, size)]:  # every context's probabilities sum to 1
         pairs = (np.uint64(before) << np.uint64(32)) | np.arange(1, size).astype(np.uint64)
-        where = np.minimum(np.searchsorted(model.known_pairs, pairs), len(model.known_pairs) - 1)
-        counts = np.where(model.known_pairs[where] == pairs, model.known_counts[where], 0)
+        counts = np.array([found.get(k, 0) for k in pairs.tolist()])
         assert abs((10 ** model.score_pairs(pairs, counts)).sum() - 1) < 1e-9
     rest = [c for w, c in count.items() if w and model.classes(np.array([__import__("xxhash").xxh3_64_intdigest(w)], np.uint64))[0] == OTHER]
     p = 10 ** model.score_others(np.array([*rest, 0]))
