@@ -9,9 +9,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application.
+
+    Rows may hold very long texts, so Arrow batches are made smaller, unless the session has a size of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":
+        spark.conf.set(BATCH_ROWS, "512")
     if getattr(ship, "app", None) == sc.applicationId:
         return
     here = Path(__file__).resolve().parent
