@@ -37,12 +37,12 @@ _DF = _PA + f""", df0 AS (SELECT coalesce(a.cik, b.cik) AS cik, coalesce(a.secur
  FROM (SELECT * FROM lp WHERE quarter = '{CURRENT}') a FULL OUTER JOIN (SELECT * FROM lp WHERE quarter = '{PREVIOUS}') b ON a.cik = b.cik AND a.security = b.security),
 df AS (SELECT *, shares - previous_shares AS change, CASE WHEN previous_shares > 0 THEN CASE WHEN shares <= 0 THEN -100 ELSE (shares - previous_shares) / previous_shares * 100 END WHEN shares > 0 THEN 100 ELSE 0 END AS percent,
  previous_shares <= 0 AND shares > 0 AS is_new, previous_shares > 0 AND shares > previous_shares AS is_add_on, previous_shares > 0 AND shares <= 0 AS is_exit FROM df0)"""
-_DC = "cik, security, issuer, round(shares, 2) AS shares, round(value, 2) AS value, round(previous_shares, 2) AS previous_shares, round(previous_value, 2) AS previous_value, round(change, 2) AS change, round(percent, 2) AS percent, is_new, is_add_on, is_exit"
+_DC = "cik, security, issuer, round(shares, 5) AS shares, round(value, 5) AS value, round(previous_shares, 5) AS previous_shares, round(previous_value, 5) AS previous_value, round(change, 5) AS change, round(percent, 7) AS percent, is_new, is_add_on, is_exit"
 
 
-@query("SELECT cik, accession, quarter, security, issuer, round(value, 2) AS value, round(shares, 2) AS shares FROM pa", _PA)
+@query("SELECT cik, accession, quarter, security, issuer, round(value, 5) AS value, round(shares, 5) AS shares FROM pa", _PA)
 def portfolio_aggregate(s, d):
-    return tidy(P.portfolio_aggregate(holdings(s, d)))
+    return tidy(P.portfolio_aggregate(holdings(s, d)), 5)
 
 
 _UM = _PA + ", um AS (SELECT accession, ratio FROM (SELECT accession, value / shares AS ratio, row_number() OVER (PARTITION BY accession ORDER BY value / shares, security) AS rn, count(*) OVER (PARTITION BY accession) AS n FROM pa WHERE value > 0 AND shares > 0) WHERE rn = n // 2 + 1)"
@@ -56,7 +56,8 @@ def unit_normalize_by_median(s, d):
 
 @query(f"SELECT {_DC} FROM df", _DF)
 def portfolio_diff(s, d):
-    return tidy(difference(s, d))
+    out = difference(s, d)
+    return out.select(*[F.round(c, 7 if c == "percent" else 5).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
 
 
 _CU = """cu AS (SELECT l_suppkey AS k, CAST(l_partkey AS VARCHAR) AS cusip, quarter, p_name AS issuer, l_quantity AS shares, row_number() OVER (PARTITION BY l_suppkey, l_partkey, quarter ORDER BY row_id DESC) AS rn FROM (SELECT l.*, p.p_name, CAST(year(l_shipdate) AS VARCHAR) || '-Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS quarter, l_orderkey * 100 + l_linenumber AS row_id FROM lineitem l JOIN part p ON l_partkey = p_partkey)),
@@ -82,9 +83,9 @@ def portfolio_conviction(s, d):
 _RN = "row_number() OVER (PARTITION BY cik ORDER BY {})"
 
 
-@query(f"SELECT * FROM (SELECT cik, security, round(value, 2) AS value, {_RN.format('value DESC, security')} AS rank FROM lp WHERE quarter = '{CURRENT}') WHERE rank <= 5", _PA)
+@query(f"SELECT * FROM (SELECT cik, security, round(value, 5) AS value, {_RN.format('value DESC, security')} AS rank FROM lp WHERE quarter = '{CURRENT}') WHERE rank <= 5", _PA)
 def top_holdings(s, d):
-    return tidy(P.top_holdings(latest_portfolio(s, d, CURRENT)).select("cik", "security", "value", "rank"))
+    return tidy(P.top_holdings(latest_portfolio(s, d, CURRENT)).select("cik", "security", "value", "rank"), 5)
 
 
 @query(f"SELECT * FROM (SELECT cik, security, round(change, 2) AS change, {_RN.format('change DESC, security')} AS rank FROM df WHERE change > 0) WHERE rank <= 5", _DF)
@@ -102,25 +103,25 @@ def ranked_changes(s, d):
     return tidy(P.ranked_changes(difference(s, d)).select("cik", "security", "change", "rank"))
 
 
-@query(f"SELECT a.cik AS cik_a, b.cik AS cik_b, security, round(a.shares, 2) AS shares_a, round(b.shares, 2) AS shares_b, round(a.value + b.value, 2) AS combined FROM (SELECT * FROM lp WHERE quarter = '{CURRENT}') a JOIN (SELECT * FROM lp WHERE quarter = '{CURRENT}') b USING (security) WHERE a.cik < b.cik", _PA)
+@query(f"SELECT a.cik AS cik_a, b.cik AS cik_b, security, round(a.shares, 5) AS shares_a, round(b.shares, 5) AS shares_b, round(a.value + b.value, 5) AS combined FROM (SELECT * FROM lp WHERE quarter = '{CURRENT}') a JOIN (SELECT * FROM lp WHERE quarter = '{CURRENT}') b USING (security) WHERE a.cik < b.cik", _PA)
 def portfolio_overlap_all_pairs(s, d):
-    return tidy(P.portfolio_overlap_all_pairs(latest_portfolio(s, d, CURRENT)).select("cik_a", "cik_b", "security", "shares_a", "shares_b", "combined"))
+    return tidy(P.portfolio_overlap_all_pairs(latest_portfolio(s, d, CURRENT)).select("cik_a", "cik_b", "security", "shares_a", "shares_b", "combined"), 5)
 
 
-@query(f"SELECT a.cik AS cik_a, b.cik AS cik_b, security, round(a.value + b.value, 2) AS combined FROM (SELECT * FROM lp WHERE quarter = '{CURRENT}' AND cik = '3') a JOIN (SELECT * FROM lp WHERE quarter = '{CURRENT}' AND cik = '7') b USING (security) ORDER BY combined DESC, security LIMIT 50", _PA)
+@query(f"SELECT a.cik AS cik_a, b.cik AS cik_b, security, round(a.value + b.value, 5) AS combined FROM (SELECT * FROM lp WHERE quarter = '{CURRENT}' AND cik = '3') a JOIN (SELECT * FROM lp WHERE quarter = '{CURRENT}' AND cik = '7') b USING (security) ORDER BY combined DESC, security LIMIT 50", _PA)
 def portfolio_overlap(s, d):
-    return tidy(P.portfolio_overlap(latest_portfolio(s, d, CURRENT), "3", "7").select("cik_a", "cik_b", "security", "combined"))
+    return tidy(P.portfolio_overlap(latest_portfolio(s, d, CURRENT), "3", "7").select("cik_a", "cik_b", "security", "combined"), 5)
 
 
-@query(f"SELECT count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) AS n_common, count(*) FILTER (vb IS NULL) AS n_only_a, count(*) FILTER (va IS NULL) AS n_only_b, round(coalesce(sum(va) FILTER (vb IS NOT NULL), 0), 2) AS value_a, round(coalesce(sum(vb) FILTER (va IS NOT NULL), 0), 2) AS value_b FROM (SELECT security, max(value) FILTER (cik = '3') AS va, max(value) FILTER (cik = '7') AS vb FROM lp WHERE quarter = '{CURRENT}' AND cik IN ('3', '7') GROUP BY 1)", _PA)
+@query(f"SELECT count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) AS n_common, count(*) FILTER (vb IS NULL) AS n_only_a, count(*) FILTER (va IS NULL) AS n_only_b, round(coalesce(sum(va) FILTER (vb IS NOT NULL), 0), 5) AS value_a, round(coalesce(sum(vb) FILTER (va IS NOT NULL), 0), 5) AS value_b FROM (SELECT security, max(value) FILTER (cik = '3') AS va, max(value) FILTER (cik = '7') AS vb FROM lp WHERE quarter = '{CURRENT}' AND cik IN ('3', '7') GROUP BY 1)", _PA)
 def overlap_summary(s, d):
-    return tidy(P.overlap_summary(latest_portfolio(s, d, CURRENT), "3", "7").na.fill(0.0))
+    return tidy(P.overlap_summary(latest_portfolio(s, d, CURRENT), "3", "7").na.fill(0.0), 5)
 
 
-@query(f"SELECT cik, sector, round(sum(value), 2) AS value FROM (SELECT *, {_RN.format('value DESC, security')} AS rank FROM lp WHERE quarter = '{CURRENT}') JOIN sec USING (issuer) WHERE rank <= 50 GROUP BY 1, 2", _PA + ", " + _SECTOR)
+@query(f"SELECT cik, sector, round(sum(value), 5) AS value FROM (SELECT *, {_RN.format('value DESC, security')} AS rank FROM lp WHERE quarter = '{CURRENT}') JOIN sec USING (issuer) WHERE rank <= 50 GROUP BY 1, 2", _PA + ", " + _SECTOR)
 def sector_allocation(s, d):
     own = latest_portfolio(s, d, CURRENT)
-    return tidy(P.sector_allocation(own, matching.sector_of(own, SECTORS)))
+    return tidy(P.sector_allocation(own, matching.sector_of(own, SECTORS)), 5)
 
 
 @query("SELECT issuer, count(*) AS n FROM h WHERE upper(issuer) LIKE 'RED%' GROUP BY 1")
@@ -194,10 +195,10 @@ def last_n_filings(s, d):
     return P.last_n_filings(filings(s, d), 8).select("cik", "accession", "filing_date", "recency")
 
 
-@query("SELECT cik, accession, recency, round(coalesce(shares, 0), 2) AS shares, round(coalesce(value, 0), 2) AS value, round(CASE WHEN coalesce(shares, 0) > 0 THEN value * 1000 / shares ELSE 0 END, 7) AS implied_price FROM (SELECT cik, accession, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession DESC) AS recency FROM f) LEFT JOIN (SELECT accession, sum(shares) AS shares, sum(value) AS value FROM h WHERE contains(upper(issuer), 'GEAR') GROUP BY 1) USING (accession) WHERE recency <= 8")
+@query("SELECT cik, accession, recency, round(coalesce(shares, 0), 2) AS shares, round(coalesce(value, 0), 5) AS value, round(CASE WHEN coalesce(shares, 0) > 0 THEN value * 1000 / shares ELSE 0 END, 7) AS implied_price FROM (SELECT cik, accession, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession DESC) AS recency FROM f) LEFT JOIN (SELECT accession, sum(shares) AS shares, sum(value) AS value FROM h WHERE contains(upper(issuer), 'GEAR') GROUP BY 1) USING (accession) WHERE recency <= 8")
 def holding_history(s, d):
     out = P.holding_history(filings(s, d), holdings(s, d), "gear")
-    return out.select("cik", "accession", "recency", F.round("shares", 2).alias("shares"), F.round("value", 2).alias("value"), F.round("implied_price", 7).alias("implied_price"))
+    return out.select("cik", "accession", "recency", F.round("shares", 2).alias("shares"), F.round("value", 5).alias("value"), F.round("implied_price", 7).alias("implied_price"))
 
 
 @query("SELECT cik, accession, round(coalesce(shares, 0), 2) AS shares, round(coalesce(value, 0), 2) AS value FROM (SELECT cik, accession, row_number() OVER (PARTITION BY cik ORDER BY filing_date DESC, accession) AS rn FROM f) LEFT JOIN (SELECT accession, sum(shares) AS shares, sum(value) * 1000 AS value FROM h WHERE contains(upper(replace(issuer, ' ', '')), 'REDGEAR') OR contains(upper(issuer), 'ANVIL') GROUP BY 1) USING (accession) WHERE rn = 1")

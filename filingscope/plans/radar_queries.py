@@ -23,12 +23,12 @@ def query(sql: str | None = None, more: str = ""):
     return add
 
 
-def tidy(df: DataFrame) -> DataFrame:
-    """Doubles to two decimals, arrays of strings joined."""
+def tidy(df: DataFrame, places: int = 2) -> DataFrame:
+    """Doubles to some decimals (5 where values in thousands have as many), arrays of strings joined."""
     out = []
     for f in df.schema.fields:
         kind = f.dataType.simpleString()
-        out.append(F.round(f.name, 2).alias(f.name) if kind == "double" else F.concat_ws("; ", f.name).alias(f.name) if kind == "array<string>" else F.col(f.name))
+        out.append(F.round(f.name, places).alias(f.name) if kind == "double" else F.concat_ws("; ", f.name).alias(f.name) if kind == "array<string>" else F.col(f.name))
     return df.select(*out)
 
 
@@ -215,15 +215,15 @@ def radar_coverage(s, d):
     return radar(s, d).radar_coverage()
 
 
-@query("""SELECT sp.cik, category, security, round(prv, 2) AS previous_raw_value, round(crv, 2) AS current_raw_value, round(pv, 2) AS previous_value, round(cv, 2) AS current_value, action, current_accession, previous_accession,
+@query("""SELECT sp.cik, category, security, round(prv, 5) AS previous_raw_value, round(crv, 5) AS current_raw_value, round(pv, 5) AS previous_value, round(cv, 5) AS current_value, action, current_accession, previous_accession,
  CASE WHEN sp.cik <> '0' THEN 'https://www.sec.gov/Archives/edgar/data/' || sp.cik || '/' || replace(current_accession, '-', '') || '/' || current_accession || '.txt' END AS current_url FROM sp JOIN comp ON sp.cik = comp.cik""")
 def audit_rows(s, d):
-    return tidy(radar(s, d).audit_rows().select("cik", "category", "security", "previous_raw_value", "current_raw_value", "previous_value", "current_value", "action", "current_accession", "previous_accession", "current_url"))
+    return tidy(radar(s, d).audit_rows().select("cik", "category", "security", "previous_raw_value", "current_raw_value", "previous_value", "current_value", "action", "current_accession", "previous_accession", "current_url"), 5)
 
 
-@query("SELECT row_id, cik, accession, quarter, period, issuer, round(value, 2) AS value, round(shares, 2) AS shares, array_to_string(list_sort(list(DISTINCT category)), '; ') AS categories, array_to_string(list_sort(list(DISTINCT label)), '; ') AS labels FROM asg JOIN m USING (issuer) GROUP BY row_id, cik, accession, quarter, period, issuer, value, shares")
+@query("SELECT row_id, cik, accession, quarter, period, issuer, round(value, 5) AS value, round(shares, 5) AS shares, array_to_string(list_sort(list(DISTINCT category)), '; ') AS categories, array_to_string(list_sort(list(DISTINCT label)), '; ') AS labels FROM asg JOIN m USING (issuer) GROUP BY row_id, cik, accession, quarter, period, issuer, value, shares")
 def raw_matched_holdings(s, d):
-    return tidy(radar(s, d).raw_matched_holdings().drop("cusip"))
+    return tidy(radar(s, d).raw_matched_holdings().drop("cusip"), 5)
 
 
 _OC = _CH + ", ocr AS (SELECT *, shares / sum(shares) OVER (PARTITION BY category) * 100 AS pct FROM ch)"

@@ -49,14 +49,14 @@ def scan_current_feed(s, d):
 
 def xml(s, d):
     """Each filing's information table as XML with a namespace prefix."""
-    row = text("<n1:infoTable><n1:nameOfIssuer>", F.col("issuer"), "</n1:nameOfIssuer><n1:value>", F.format_number("value", 2), "</n1:value><n1:shrsOrPrnAmt><n1:sshPrnamt>", F.col("shares").cast("string"), "</n1:sshPrnamt><n1:sshPrnamtType>SH</n1:sshPrnamtType></n1:shrsOrPrnAmt>", F.coalesce(text("<n1:putCall>", F.col("putcall"), "</n1:putCall>"), F.lit("")), "</n1:infoTable>")
+    row = text("<n1:infoTable><n1:nameOfIssuer>", F.col("issuer"), "</n1:nameOfIssuer><n1:value>", F.format_number("value", 5), "</n1:value><n1:shrsOrPrnAmt><n1:sshPrnamt>", F.col("shares").cast("string"), "</n1:sshPrnamt><n1:sshPrnamtType>SH</n1:sshPrnamtType></n1:shrsOrPrnAmt>", F.coalesce(text("<n1:putCall>", F.col("putcall"), "</n1:putCall>"), F.lit("")), "</n1:infoTable>")
     return holdings(s, d).groupBy("accession").agg(text('<?xml version="1.0"?><n1:informationTable xmlns:n1="urn:x"><n1:periodOfReport>06-30-2001</n1:periodOfReport>', F.array_join(F.collect_list(row), ""), "</n1:informationTable>").alias("xml"))
 
 
-@query("SELECT accession, upper(issuer) AS issuer, putcall, '2001-06-30' AS report_date, count(*) AS n, round(sum(round(value, 2)), 1) AS value, round(sum(shares), 2) AS shares FROM h WHERE value * 1000 % 10 <> 5 OR true GROUP BY 1, 2, 3")
+@query("SELECT accession, upper(issuer) AS issuer, putcall, '2001-06-30' AS report_date, count(*) AS n, round(sum(value), 5) AS value, round(sum(shares), 2) AS shares FROM h GROUP BY 1, 2, 3")
 def scan_13f_xml(s, d):
     out = SRC.scan_13f_xml(xml(s, d), ["accession"])
-    return out.groupBy("accession", "issuer", "putcall", "report_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 1).alias("value"), F.round(F.sum("shares"), 2).alias("shares"))
+    return out.groupBy("accession", "issuer", "putcall", "report_date").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 5).alias("value"), F.round(F.sum("shares"), 2).alias("shares"))
 
 
 @query("SELECT accession, '2001-06-30' AS report_date, count(*) AS n, round(sum(shares), 2) AS shares FROM h GROUP BY 1")

@@ -126,9 +126,9 @@ def latest_only_migration(s, d):
     return M.latest_only_migration(filings(s, d), holdings(s, d))[1].groupBy("quarter").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT accession, 'NO_CUSIP' AS cusip, upper(issuer) AS issuer, round(sum(value), 2) AS value, round(sum(shares), 2) AS shares FROM h GROUP BY 1, 3")
+@query("SELECT accession, 'NO_CUSIP' AS cusip, upper(issuer) AS issuer, round(sum(value), 5) AS value, round(sum(shares), 5) AS shares FROM h GROUP BY 1, 3")
 def snapshot_dedupe(s, d):
-    return tidy(M.snapshot_dedupe(holdings(s, d)))
+    return tidy(M.snapshot_dedupe(holdings(s, d)), 5)
 
 
 @query("SELECT accession, 'NO_CUSIP' AS cusip, upper(issuer) AS issuer, round(sum(shares) * CASE WHEN any_value(quarter) = '2001-Q3' THEN 2 ELSE 1 END, 2) AS shares FROM h WHERE quarter IN ('2001-Q3', '2001-Q2') GROUP BY 1, 3")
