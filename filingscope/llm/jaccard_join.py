@@ -152,13 +152,15 @@ def compare(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """(a, b) -> (a, b, common, na, nb) from the whole texts of both sets."""
 
     def run(batches):
-        hashes, kept = WordHashes(), {}
+        import zstandard
+
+        hashes, kept, unpacker = WordHashes(), {}, zstandard.ZstdDecompressor()
 
         def tokens(name, text):
             if name not in kept:
-                if len(kept) > 500:
+                if len(kept) > 200:
                     kept.clear()
-                kept[name] = token_set(text, hashes, k)
+                kept[name] = token_set(unpacker.decompress(text), hashes, k)
             return kept[name]
 
         for batch in batches:
@@ -242,9 +244,10 @@ def join_sets(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, id_col: s
     pivots = lists.join(typical, "set").groupBy("token").agg(F.max(F.struct("typical", "set", "n")).alias("top"))
     pivots = write_table(pivots.select("token", F.col("top.set").alias("pivot"), F.col("top.n").alias("np")), "pivots")
     pivoted = write_table(lists.drop("many").join(pivots, "token"), "pivoted")
-    # sets that share next to nothing with a pivot wait for the second comparison
+    # each set is compared with the pivot it shares most with, if that may be a link; the rest waits for the second comparison
     near = pivoted.filter("set != pivot").groupBy(F.col("pivot").alias("a"), F.col("set").alias("b"), F.col("np").alias("na"), F.col("n").alias("nb")).agg(F.count(F.lit(1)).alias("shared"))
-    near = write_table(near.filter(F.col("shared") * 2 >= least_shared(percent)).select("a", "b"), "near")
+    near = near.filter(F.col("shared") * 2 >= least_shared(percent)).groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best"))
+    near = write_table(near.select("best.a", "b"), "near")
     first = write_table(compare(near, texts_of_sets(docs, near, kinds, k, id_col, text_col), k), "compared")
     linked = F.col("common") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     roots = components(first.filter(linked))
@@ -287,18 +290,21 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def texts_of_sets(docs: DataFrame, pairs: DataFrame, kinds: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(set, text) of the pairs' sets: the text of the set's least id. Other texts of that id are other sets."""
+    """(set, text) of the pairs' sets, packed: the text of the set's least id. Other texts of that id are other sets."""
     wanted = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
     chosen = write_table(wanted.join(kinds, "set").select(F.coalesce("doc", F.lit(0)).alias("id"), "set"), "chosen")
     shared = docs.sparkSession.sparkContext.broadcast(id_bitmap(chosen.select("id")))
 
     def name(batches):
-        hashes = WordHashes()
+        import zstandard
+
+        hashes, packer = WordHashes(), zstandard.ZstdCompressor(3)
         for batch in batches:
             own = batch.column(0).fill_null(0)
             batch = batch.set_column(0, "id", own).filter(pa.array(shared.value[_bits(own.to_numpy(zero_copy_only=False))]))
-            names = [digest(token_set(t, hashes, k)) for t in texts_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), batch.column(1)], names=["id", "set", "text"])
+            texts = [t or b"" for t in texts_of(batch.column(1))]
+            names = [digest(token_set(t, hashes, k)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array([packer.compress(t) for t in texts], pa.binary())], names=["id", "set", "text"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(name, "id long, set long, text string")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(name, "id long, set long, text binary")
     return write_table(rows.join(chosen, ["id", "set"]).dropDuplicates(["set"]).select("set", "text"), "set-texts")
