@@ -21,7 +21,7 @@ def op1_decontamination(spark, sf_dir):
 def op2_warc(spark, sf_dir):
     from filingscope.llm.warc import archive_pages
 
-    return archive_pages(_read(spark, sf_dir, "pages"))
+    return archive_pages(_read(spark, sf_dir, "pages")).drop("record_id")
 
 
 def op3_fertility(spark, sf_dir):
