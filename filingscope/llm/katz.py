@@ -1,9 +1,11 @@
 """Katz backoff: Good-Turing discounted counts with exactly normalised backoff weights, in partitioned tables.
 
-The vocabulary of contexts is the most frequent words (a bounded list that every task knows), one class
-of all other words, and the end. A word's probability is that of its class after the class before,
-backing off to the class's own share; a word of the large class takes its part of that class from
-discounted word counts, unknown words the rest. Every level sums to 1.
+Bigrams are counted for the whole vocabulary. The most frequent words (a bounded list that every task
+knows) and the end have a class each, all other words share one. A pair of words with a class each is
+a pair of classes; a pair with a word of the large class has its own count in partitioned tables, and
+backs off to the model of classes: a class after the class before, backing off to the class's own
+share, and in the large class a word's part by discounted word counts, unknown words taking the rest.
+Every level sums to 1.
 """
 
 from __future__ import annotations
@@ -14,10 +16,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import WordHashes, scramble, texts_of, write_table
+from filingscope.llm.common import MIX, WordHashes, drop_table, scramble, texts_of, write_table
 
 #: Words with a class of their own, and pairs whose counts every task knows, at most.
 TOP_WORDS, TOP_PAIRS = 1 << 17, 1 << 20
@@ -40,6 +42,17 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """write_table(); the shuffle files of its plan, which nothing reads later, are deleted at its end."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        return write_table(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     """Hashes of a whole text's words (A-Z in lower case), then the end's key."""
     return np.append(hashes.of((text or b"").lower().split()), END_KEY)
@@ -94,7 +107,7 @@ def count_table(docs: DataFrame, keys_of, buckets: int, name: str) -> DataFrame:
         keys, counts = _sums(np.concatenate([unpack(x, np.uint64) for x in rows["keys"]]), np.concatenate([unpack(x, np.int64) for x in rows["counts"]]))
         return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "keys": [pack(keys)], "counts": [pack(counts)]})
 
-    return write_table(docs.mapInArrow(send, "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, counts binary"), name)
+    return _written(docs.mapInArrow(send, "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, counts binary"), name)
 
 
 def histogram(table: DataFrame) -> pd.DataFrame:
@@ -284,10 +297,111 @@ def _discounted(words: DataFrame, model: Katz, spark) -> float:
     return words.select("keys", "counts").mapInArrow(run, "s double").agg(F.sum("s")).first()[0] or 0.0
 
 
+def merged_pairs(t: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places, words before and words of the pairs that classes merge: one word at least is of the large class.
+
+    Texts may follow each other, as each ends with the end's key, which is the history of a first word too.
+    """
+    at = np.flatnonzero((classes == OTHER) | np.append(False, classes[:-1] == OTHER))
+    return at, np.append(END_KEY, t[:-1])[at], t[at]
+
+
+def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return scramble(h * MIX[0] + w * MIX[1])
+
+
+def _after_other(pairs: DataFrame, model: Katz) -> np.ndarray:
+    """Probability of each class after the large class."""
+
+    def run(batches):
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                keys, counts = unpack(k, np.uint64), unpack(c, np.int64)
+                at = keys >> np.uint64(32) == OTHER
+                yield pa.RecordBatch.from_arrays([pa.array([x[at].tobytes()], pa.binary()) for x in (keys, counts)], names=["keys", "counts"])
+
+    counts = np.zeros(len(model.share), np.int64)
+    for r in pairs.select("keys", "counts").mapInArrow(run, "keys binary, counts binary").collect():
+        counts[(np.frombuffer(r[0], np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.frombuffer(r[1], np.int64)
+    with np.errstate(divide="ignore"):
+        return 10 ** model.score_pairs(np.uint64(OTHER) << np.uint64(32) | np.arange(len(counts)).astype(np.uint64), counts)
+
+
+def fit_merged(docs: DataFrame, model: Katz, pairs: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, keys, counts) of the word pairs that classes merge: what a pair adds to the log of the
+    model of classes (kind 3), and what its history adds, seen pair or not (kind 4).
+
+    A history of the large class is followed by any word; after another history only the words of the
+    large class compete for that class's probability. Both back off to the model of classes.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, _after_other(pairs, model)))
+    fields = "h long, w long, own int, merged boolean, n long"
+
+    def count(batches):
+        m, hashes = shared.value[0], WordHashes()
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                found = [tokens(x, hashes) for d, x in zip(part.column(0).to_pylist(), texts_of(part.column(1))) if trains(d)]
+                if found:
+                    t = np.concatenate(found)
+                    c = m.classes(t)
+                    at_, h, w = merged_pairs(t, c)
+                    _, first, n = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
+                    merged = np.append(False, c[:-1] == OTHER)[at_]
+                    columns = (h[first].view(np.int64), w[first].view(np.int64), c[at_][first].astype(np.int32), merged[first], n.astype(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "w", "own", "merged", "n"])
+
+    # one exchange by word (rare, so no key is hot) gives both the pair's and the word's count
+    sent = _written(docs.mapInArrow(count, fields), "katz-merged-sent")
+    keys = ["h", "w", "own", "merged"]
+    others = sent.filter(F.col("own") == OTHER).repartition("w").groupBy(*keys).agg(F.sum("n").alias("c"))
+    others = others.withColumn("cw", F.sum("c").over(Window.partitionBy("w")))
+    known = sent.filter(F.col("own") != OTHER).groupBy(*keys).agg(F.sum("n").alias("c")).withColumn("cw", F.lit(0).cast("long"))
+    counted = _written(others.unionByName(known), "katz-merged")
+    drop_table(sent)
+    d = discounts(counted.filter(F.col("c") <= DISCOUNTED + 1).groupBy(F.col("c").alias("count")).agg(F.count(F.lit(1)).alias("keys")).toPandas())
+
+    def weigh(batches):
+        m, after = shared.value
+        for batch in batches:
+            h, w, own, merged, c, cw = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            q = np.where(merged, after[own], 1.0)
+            at = own == OTHER
+            q[at] *= 10 ** m.score_others(cw[at])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, w, c, d[np.where(c <= DISCOUNTED, c, 0)] * c, q)], names=["h", "w", "c", "d", "q"])
+
+    weighed = counted.mapInArrow(weigh, "h long, w long, c long, d double, q double")
+    sums = weighed.groupBy("h").agg(F.sum("c").alias("n"), F.sum("d").alias("d_"), F.sum("q").alias("q_"))
+    left = F.log10((1 - F.col("d_") / (F.col("n") + 1)) / F.greatest(1 - F.col("q_"), F.lit(1e-15)))
+    histories = _written(sums.select("h", "n", left.alias("left")), "katz-histories")
+    adds = F.col("own") - F.log10(F.col("n") + 1) - F.col("left")
+    seen = weighed.select("h", "w", F.log10(F.col("d") / F.col("q")).alias("own")).join(histories, "h").select(F.lit(3).alias("kind"), "h", "w", adds.alias("value"))
+    rows = seen.unionByName(histories.select(F.lit(4).alias("kind"), "h", F.lit(0).cast("long").alias("w"), F.col("left").alias("value")))
+
+    def place(batches):
+        for batch in batches:
+            kind, h, w = (x.to_numpy() for x in batch.columns[:3])
+            key = np.where(kind == 3, pair_keys(h.view(np.uint64), w.view(np.uint64)), h.view(np.uint64))
+            to = (scramble(key) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to), pa.array(key.view(np.int64)), batch.column(3)], names=["kind", "bucket", "key", "value"])
+
+    def gather(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = rows["key"].to_numpy().view(np.uint64)
+        by = np.argsort(keys)
+        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "bucket": [rows["bucket"].iloc[0]], "keys": [pack(keys[by])], "counts": [pack(rows["value"].to_numpy()[by])]})
+
+    placed = rows.mapInArrow(place, "kind int, bucket int, key long, value double")
+    table = _written(placed.groupBy("kind", "bucket").applyInPandas(gather, "kind int, bucket int, keys binary, counts binary"), "katz-added")
+    drop_table(counted)
+    drop_table(histories)
+    return table
+
+
 SENT = "kind int, bucket int, batch string, at binary, keys binary, n binary, doc binary"
 
 
-def score_texts(docs: DataFrame, model: Katz, words: DataFrame, pairs: DataFrame, buckets: int) -> DataFrame:
+def score_texts(docs: DataFrame, model: Katz, words: DataFrame, pairs: DataFrame, merged: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Frequent words and pairs are scored where the text is. The others go to the buckets of the tables,
@@ -331,8 +445,8 @@ def score_texts(docs: DataFrame, model: Katz, words: DataFrame, pairs: DataFrame
                 score = np.bincount(of[found], m.score_pairs(pair[found], m.known_counts[where[found]]), rows) if found.any() else np.zeros(rows)
                 doc = pack(np.array([(0 if d is None else d, d is None, not trains(d)) for d in part.column(0).to_pylist()], np.int64))
                 sent = [(0, 0, name, pack(sizes.astype(np.int64)), pack(np.stack([base, score])), pack(hits.astype(np.int64)), doc)]
-                for kind, take, key in ((1, ~local, t), (2, ~found, pair)):
-                    k, d = key[take], of[take]
+                own_pairs, h, w = merged_pairs(t, own)
+                for kind, k, d in ((1, t[~local], of[~local]), (2, pair[~found], of[~found]), (3, pair_keys(h, w), of[own_pairs]), (4, h, of[own_pairs])):
                     by = np.lexsort((d, k))
                     k, d = k[by], d[by]
                     new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.zeros(0, np.int64)
@@ -347,14 +461,14 @@ def score_texts(docs: DataFrame, model: Katz, words: DataFrame, pairs: DataFrame
             return pd.DataFrame()
         out = {"batch": [], "kind": [], "at": [], "sums": [], "hits": [], "doc": []}
         keys = unpack(right["keys"].iloc[0], np.uint64) if len(right) else np.zeros(0, np.uint64)
-        counts = unpack(right["counts"].iloc[0], np.int64) if len(right) else np.zeros(0, np.int64)
+        counts = unpack(right["counts"].iloc[0], np.int64 if kind < 3 else np.float64) if len(right) else np.zeros(0, np.int64)
         for r in left.itertuples():
             at, k, n = unpack(r.at, np.uint16), unpack(r.keys, np.uint64), unpack(r.n, np.uint32)
             where = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
             c = np.where(keys[where] == k, counts[where], 0) if len(keys) else np.zeros(len(k), np.int64)
             docs_, inverse = np.unique(at, return_inverse=True)
             base = np.bincount(inverse, n * m.base(c)) if kind == 1 else np.zeros(len(docs_))
-            score = np.bincount(inverse, n * (m.score_others(c) if kind == 1 else m.score_pairs(k, c)))
+            score = np.bincount(inverse, n * (m.score_others(c) if kind == 1 else m.score_pairs(k, c) if kind == 2 else c))
             hits = np.bincount(inverse, n * (c > 0)).astype(np.int64) if kind == 1 else np.zeros(len(docs_), np.int64)
             for x, y in zip(out, (r.batch, 1, pack(docs_), pack(np.stack([base, score])), pack(hits), None)):
                 out[x].append(y)
@@ -372,8 +486,8 @@ def score_texts(docs: DataFrame, model: Katz, words: DataFrame, pairs: DataFrame
         ids = pd.Series([None if none else i for i, none in zip(doc[:, 0].tolist(), doc[:, 1])], dtype=object)
         return pd.DataFrame({"doc_id": ids, "held_out": doc[:, 2] == 1, "n_tokens": sizes, "n_known": hits, "base_score": np.round(sums[0], 6), "score": np.round(sums[1], 6)})
 
-    sent = write_table(docs.mapInArrow(send, SENT), "katz-sent")
-    tables = words.withColumn("kind", F.lit(1)).unionByName(pairs.withColumn("kind", F.lit(2)))
+    sent = _written(docs.mapInArrow(send, SENT), "katz-sent")
+    tables = words.withColumn("kind", F.lit(1)).unionByName(pairs.withColumn("kind", F.lit(2))).unionByName(merged)
     middle = "batch string, kind int, at binary, sums binary, hits binary, doc binary"
     met = sent.filter("kind > 0").groupBy("kind", "bucket").cogroup(tables.groupBy("kind", "bucket")).applyInPandas(meet, middle)
     own = sent.filter("kind = 0").select("batch", "kind", "at", F.col("keys").alias("sums"), F.col("n").alias("hits"), "doc")
@@ -388,4 +502,5 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     result. Scores are rounded to six decimals, as sums may be added in another order.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return score_texts(rows, *fit_katz(rows, **fit))
+    model, words, pairs, buckets = fit_katz(rows, **fit)
+    return score_texts(rows, model, words, pairs, fit_merged(rows, model, pairs, buckets), buckets)

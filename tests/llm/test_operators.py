@@ -402,6 +402,53 @@ def test_katz(spark, docs, rows, empty):
     assert abs(p.sum() - 1) < 1e-9 and END == 1
 
 
+def test_katz_counts_the_pairs_of_all_words(spark, docs, rows):
+    import xxhash
+
+    from filingscope.llm.katz import END, OTHER, START, discounts, fit_katz, katz_scores, unpack
+
+    own = docs.select("doc_id", "text")
+    model, _, table, _ = fit_katz(own, 20, 10**6)
+    found = {k: c for r in table.collect() for k, c in zip(unpack(r["keys"], np.uint64).tolist(), unpack(r["counts"], np.int64).tolist())}
+    tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
+    train = [x for (i, _), x in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter(w for x in train for w in x)
+    names = [*{w for x in tokens for w in x}, b"never seen"]
+    cls = dict(zip(names, model.classes(np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in names], np.uint64)).tolist())) | {None: START}
+    assert sum(c == OTHER for c in cls.values()) > 200
+
+    def lower(h, w):  # the class after the class before
+        k = cls[h] << 32 | cls[w]
+        return 10 ** float(model.score_pairs(np.array([k], np.uint64), np.array([found.get(k, 0)]))[0])
+
+    def part(w):  # the word's part of its class
+        return 10 ** float(model.score_others(np.array([count[w]]))[0]) if cls[w] == OTHER else 1.0
+
+    follow = defaultdict(Counter)
+    for x in train:
+        for h, w in zip([None, *x], x):
+            if OTHER in (cls[h], cls[w]):
+                follow[h][w] += 1
+    n = Counter(c for x in follow.values() for c in x.values())
+    d = discounts(__import__("pandas").DataFrame(sorted(n.items()), columns=["count", "keys"]))
+    q = lambda h, w: (lower(h, w) if cls[h] == OTHER else 1.0) * part(w)
+    left = {h: (1 - sum(d[c if c <= 5 else 0] * c for c in x.values()) / (sum(x.values()) + 1)) / (1 - sum(q(h, w) for w in x)) for h, x in follow.items()}
+
+    def p(h, w):
+        if OTHER not in (cls[h], cls[w]):
+            return lower(h, w)
+        c, total = follow[h][w] if h in follow else 0, sum(follow[h].values()) if h in follow else 0
+        own = d[c if c <= 5 else 0] * c / (total + 1) if c else left.get(h, 1.0) * q(h, w)
+        return own if cls[h] == OTHER else own * lower(h, w)
+
+    known = [w for w in names if w in count or w == b"never seen"]
+    for h in [None, *[w for w in names if w and w in count][::25]]:
+        assert abs(sum(p(h, w) for w in known) - 1) < 1e-9
+    want = sorted((str(i), round(sum(math.log10(p(h, w)) for h, w in zip([None, *x], x)), 3)) for (i, _), x in zip(rows, tokens))
+    got = sorted((str(r["doc_id"]), round(r["score"], 3)) for r in katz_scores(docs, top_words=20, top_pairs=50).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 2e-3 for (_, a), (_, b) in zip(got, want)) and END == 1
+
+
 def test_katz_beats_its_base_on_held_out_texts(spark, sf):
     from filingscope.llm.katz import katz_scores
 
