@@ -42,13 +42,17 @@ def token_metrics(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[int
     """n_tokens, characters per token, share of byte-fallback tokens, token entropy.
 
     The entropy is that of windows of 256 tokens on average, as a share of the largest possible; so a
-    long text is not taken for a repetitive one.
+    long text is not taken for a repetitive one. Tokens after the last full window are in one more
+    window, which ends at the last token.
     """
     n = len(ids)
     if not n:
         return 0, 0.0, 0.0, 0.0
     size = min(n, WINDOW)
-    windows = np.sort(ids[: n // size * size].reshape(-1, size), axis=1)
+    windows = ids[: n // size * size].reshape(-1, size)
+    if n % size:
+        windows = np.concatenate([windows, ids[None, -size:]])
+    windows = np.sort(windows, axis=1)
     new = np.ones(windows.shape, bool)
     new[:, 1:] = windows[:, 1:] != windows[:, :-1]
     starts = np.flatnonzero(new)

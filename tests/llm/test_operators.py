@@ -219,6 +219,24 @@ def test_fertility(docs, rows, empty):
     assert fertility_rules(empty).count() == 0
 
 
+def test_entropy_sees_every_token():
+    from filingscope.llm.fertility import token_metrics
+
+    def entropy(ids):
+        return token_metrics(np.array(ids, "<u4"), 1, np.zeros(1000, bool))[3]
+
+    def share(window):
+        return sum(-c / 256 * math.log2(c / 256) for c in Counter(window).values()) / 8
+
+    rng = random.Random(4)
+    for n in (256, 257, 400, 511, 512, 700):
+        ids = [rng.randrange(1000) for _ in range(n)]
+        windows = [ids[a : a + 256] for a in range(0, n - 255, 256)] + ([ids[-256:]] if n % 256 else [])
+        assert abs(entropy(ids) - sum(map(share, windows)) / len(windows)) < 1e-9
+    assert entropy([*range(256), *[7] * 255]) < 0.6 < 0.999 < entropy(range(256))
+    assert entropy([1, 2, 3, 4]) == 1
+
+
 def test_bands_reject_what_stands_out(spark):
     from filingscope.llm.fertility import fertility_rules
 
