@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingscope.functions.columns import chunk_id, normalize_text, split_sentences
-from filingscope.operators.matching import bounded
 
 
 def html_to_text(html):
@@ -148,14 +147,16 @@ def dot(a, b):
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", company_col: str | None = None, most_queries: int = 10_000) -> DataFrame:
     """Per query the k most similar vectors by cosine, rounded to three decimals; a company of the query filters.
 
-    Queries (query_id, query, and company with company_col) are a bounded, broadcast set. Each task keeps
+    Queries (query_id, query, and company with company_col) are broadcast up to most_queries of them; more
+    meet the vectors block by block, partition with partition. Each task keeps
     its own k best per query before they are sorted together, so no query's scores meet in one task.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *([F.lower(company_col).alias("own")] if company_col else [])).withColumn("norm", F.sqrt(dot("v", "v")))
     q = queries.withColumn("query_norm", F.sqrt(dot("query", "query")))
     on = F.lower("company").eqNullSafe(F.col("own")) | F.col("company").isNull() if company_col else F.lit(True)
     score = F.when((F.col("norm") > 0) & (F.col("query_norm") > 0), dot("v", "query") / (F.col("norm") * F.col("query_norm"))).otherwise(0.0)
-    scored = rows.join(bounded(q, most_queries), on).select("query_id", "id", F.round(score, 3).alias("similarity"))
+    few = q.limit(most_queries + 1).count() <= most_queries
+    scored = rows.join(F.broadcast(q) if few else q.hint("shuffle_replicate_nl"), on).select("query_id", "id", F.round(score, 3).alias("similarity"))
     part = Window.partitionBy("query_id", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.desc("similarity"), "id")
     best = scored.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= k)
     whole = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.columns import form_matches, sec_document_url
-from filingscope.operators.matching import bounded
 
 
 def filing_date_form_filter(filings: DataFrame, start: str, end: str, form: str) -> DataFrame:
@@ -71,16 +70,27 @@ def insider_net_value(trades: DataFrame, n: int = 10, keys: tuple[str, ...] = ()
     return trades.groupBy(*keys, "insider").agg(F.sum(value).alias("net")).orderBy(F.abs("net").desc(), "insider").limit(n)
 
 
+#: Letters of a query by which it meets the titles that may contain it.
+GRAM = 8
+
+
 def entity_resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
-    """(query) -> cik by the first of: a number, a ticker (. as -), a title, the shortest title that contains it."""
+    """(query) -> cik by the first of: a number, a ticker (. as -), a title, the shortest title that contains it.
+
+    Titles are searched only for what the equi-joins leave. A query's last letters are part of every title
+    that contains it, so both sides are joined by them, for any number of queries.
+    """
     q = queries.select("query", F.upper(F.trim("query")).alias("q")).distinct()
     c = companies.select("cik", F.upper("ticker").alias("ticker"), F.upper("title").alias("title"))
     number = q.filter(F.col("q").rlike(r"^\d+$")).select("query", F.regexp_replace("q", "^0+", "").alias("cik"), F.lit(0).alias("rank"), F.lit(0).alias("n"))
     ticker = q.join(c, F.translate("q", ".", "-") == F.col("ticker")).select("query", "cik", F.lit(1).alias("rank"), F.lit(0).alias("n"))
     title = q.join(c, F.col("q") == F.col("title")).select("query", "cik", F.lit(2).alias("rank"), F.lit(0).alias("n"))
-    part = c.join(bounded(q.filter("q <> ''")), F.col("title").contains(F.col("q"))).select("query", "cik", F.lit(3).alias("rank"), F.length("title").alias("n"))
-    found = reduce(DataFrame.unionByName, (number, ticker, title, part))
-    best = found.groupBy("query").agg(F.min(F.struct("rank", "n", "cik")).alias("b"))
+    exact = reduce(DataFrame.unionByName, (number, ticker, title))
+    rest = q.filter("q <> ''").join(exact.select("query").distinct(), "query", "left_anti").withColumn("gram", F.expr(f"right(q, {GRAM})"))
+    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("title"), i, n)))))
+    titles = c.filter("title <> ''").select("cik", "title", F.explode(grams).alias("gram"))
+    part = titles.join(rest, "gram").filter(F.col("title").contains(F.col("q"))).select("query", "cik", F.lit(3).alias("rank"), F.length("title").alias("n"))
+    best = exact.unionByName(part).groupBy("query").agg(F.min(F.struct("rank", "n", "cik")).alias("b"))
     return best.select("query", "b.cik", F.element_at(F.array(F.lit("cik"), F.lit("ticker"), F.lit("title"), F.lit("contains")), F.col("b.rank") + 1).alias("by"))
 
 

@@ -82,6 +82,23 @@ def test_stream_emits_each_filing_once(spark, tmp_path):
     assert seen == ["a"]
 
 
+def test_any_number_of_queries_is_resolved(spark):
+    from filingscope.operators import signals as G
+
+    companies = spark.createDataFrame([("1", "AB-C", "Acme Rocket Corp"), ("2", "XY", "Acme Rocket"), ("3", "Q", "Zé Holdings International")], "cik string, ticker string, title string")
+    few = spark.createDataFrame([(x,) for x in ("0012", "ab.c", "acme rocket", "rocket c", "cme", "é h", "e", "dings internationa", "nowhere", "", None)], "query string")
+    many = spark.range(50_001).selectExpr("concat('no such company ', id) as query")
+    got = {r["query"]: (r["cik"], r["by"]) for r in G.entity_resolve(few.union(many), companies).collect()}
+    assert got == {"0012": ("12", "cik"), "ab.c": ("1", "ticker"), "acme rocket": ("2", "title"), "rocket c": ("1", "contains"), "cme": ("2", "contains"), "é h": ("3", "contains"), "e": ("2", "contains"), "dings internationa": ("3", "contains")}
+
+
+def test_more_vector_queries_than_are_broadcast(spark):
+    rows = spark.createDataFrame([(i, [float(i), 1.0], "ab"[i % 2]) for i in range(12)], "vec_id long, embedding array<double>, company string")
+    asked = rows.selectExpr("vec_id as query_id", "embedding as query", "if(vec_id = 3, null, company) as company")
+    few, many = (sorted(map(tuple, D.vector_top_k(rows, asked, 4, company_col="company", most_queries=n).collect())) for n in (100, 5))
+    assert few == many and len(few) == 48
+
+
 def test_snapshots(spark, tmp_path):
     from filingscope.operators import maintenance as M
 
