@@ -121,8 +121,18 @@ _DOT = lambda a, b: _SIM.format(a=a, b=b)
 
 @query(f"SELECT query_id, id, similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT('v.embedding', 'q.embedding')} / sqrt({_DOT('v.embedding', 'v.embedding')}) / sqrt({_DOT('q.embedding', 'q.embedding')}), 3) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT('v.embedding', 'q.embedding')} / sqrt({_DOT('v.embedding', 'v.embedding')}) / sqrt({_DOT('q.embedding', 'q.embedding')}), 3) DESC, v.vec_id) AS rank FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id < 3) q ON q.label = v.label) WHERE rank <= 10")
 def vector_top_k(s, d):
+    return similar(s, d, "vec_id < 3")
+
+
+@query(ORACLES["vector_top_k"].replace("vec_id < 3", "vec_id % 100 = 0"))
+def vector_top_k_all(s, d):
+    """The search of vector_top_k for every hundredth vector of the table."""
+    return similar(s, d, "vec_id % 100 = 0")
+
+
+def similar(s, d, asked):
     rows = read(s, d, "embeddings").withColumn("company", F.col("label").cast("string"))
-    queries = rows.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "company")
+    queries = rows.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "company")
     return D.vector_top_k(rows, queries, company_col="company")
 
 
@@ -173,7 +183,17 @@ def queried(s, d):
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS cik, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 0 AND s_suppkey < 50) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND contains(o_orderpriority, 'HIGH')")
 def filings_search(s, d):
-    rows = companies(s, d).filter("position between 1 and 49").select(F.concat(F.lit("00"), "cik").alias("query"))
+    return searched(s, d, "position between 1 and 49")
+
+
+@query(ORACLES["filings_search"].replace(" AND s_suppkey < 50", ""))
+def filings_search_all(s, d):
+    """The search of filings_search for all suppliers."""
+    return searched(s, d, "position > 0")
+
+
+def searched(s, d, asked):
+    rows = companies(s, d).filter(asked).select(F.concat(F.lit("00"), "cik").alias("query"))
     return S.filings_search(rows, companies(s, d), orders(s, d), "1996-01-01", "1997-12-31", "HIGH")[0].select("cik", "accession")
 
 

@@ -35,6 +35,12 @@ def rows(df):
     return cols, sorted((tuple(map(cell, r)) for r in df[cols].itertuples(index=False, name=None)), key=lambda r: tuple(map(str, r)))
 
 
+def test_searches_over_all_rows_are_registered(duck):
+    asked = {r[0] for r in duck.sql("select vec_id from embeddings where vec_id % 100 = 0").fetchall()}
+    assert {r[0] for r in duck.sql(f"select query_id from ({ORACLES['vector_top_k_all']})").fetchall()} == asked and len(asked) > 1
+    assert "< 50" not in ORACLES["filings_search_all"] and {"vector_top_k_all", "filings_search_all"} <= set(QUERIES)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, sf, name):
     got = QUERIES[name](spark, sf).toPandas()
