@@ -338,9 +338,31 @@ def test_chains_and_large_groups(spark):
         for _ in range(3):
             w[rng.randrange(200)] = f"e{i}{rng.random()}"
         rows.append((i, " ".join(w)))
+    for i in range(200, 260):  # near copies of a text that is not there: some link to each other
+        w = [f"g{j}" for j in range(150)]
+        for _ in range(rng.randint(1, 4)):
+            w[rng.choice([5, 40, 80, 120, rng.randrange(150)])] = f"h{rng.randrange(6)}"
+        rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in join_sets(df).collect()), key=str)
-    assert got == brute_groups(rows, 4, 85)
+    for short in (1, 3, 1000):  # all lists by their pivots, some, none
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in join_sets(df, short=short).collect()), key=str)
+        assert got == brute_groups(rows, 4, 85)
+
+
+def test_one_of_each_group_stays_by_row(spark, empty):
+    from filingscope.llm.jaccard_join import keep_one
+
+    rng = random.Random(3)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    near = b.split()
+    near[30] = "changed"
+    near = " ".join(near)
+    rows = [(3, b), (7, a), (7, near), (8, c), (8, c), (None, a), (None, "only here without an id"), (9, None), (9, None), (10, ""), (11, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("clash") for x in ("set", "key", "n", "root", "_id")})
+    got = keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(3, b), (7, a), (8, c), (None, "only here without an id"), (9, None), (9, None), (10, "")], key=str)
+    assert keep_one(empty).count() == 0
 
 
 # --- decontamination
