@@ -287,8 +287,8 @@ def find_links(live: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
     few, long = lists.filter(F.col("many") <= short).drop("many"), lists.filter(F.col("many") > short)
     ordered = F.col("l.set") < F.col("r.set")
     pairs = few.alias("l").join(few.alias("r"), (F.col("l.token") == F.col("r.token")) & ordered & room(percent)).select(F.col("l.set").alias("a"), F.col("r.set").alias("b"))
-    # the pivot of a long list is the set whose tokens are shared most
-    typical = long.groupBy("set").agg(F.avg("many").alias("typical"))
+    # the pivot of a long list is the set that meets most others in long lists
+    typical = long.groupBy("set").agg(F.sum("many").alias("typical"))
     pivots = long.join(typical, "set").groupBy("token").agg(F.max(F.struct("typical", "set", "n")).alias("top"))
     pivots = write_table(pivots.select("token", F.col("top.set").alias("pivot"), F.col("top.n").alias("np")), "pivots")
     pivoted = write_table(long.drop("many").join(pivots, "token"), "pivoted")
