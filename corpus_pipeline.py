@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from filingscope import ship
 from filingscope.llm.common import write_table
-from filingscope.llm.decontamination import find_leaks
-from filingscope.llm.jaccard_join import join_sets
+from filingscope.llm.decontamination import without_leaks
+from filingscope.llm.jaccard_join import keep_one
 from filingscope.llm.line_dedup import MADE, dedupe_lines
 from filingscope.llm.packing import pack
 from filingscope.llm.quality_classifier import fit_quality, score_quality
@@ -29,19 +29,19 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group that 0.8 of the five-word shingles links."""
+    """One document, that with the least id, of each group that 0.8 of the five-word shingles links.
+
+    Decisions are by row: of rows with one id and different texts each is judged by its own text, rows
+    without an id come after those with one, and texts without a word stay.
+    """
     ship(spark)
-    grouped = write_table(join_sets(docs, k=5, percent=80), "near")
-    gone = grouped.filter("component_id <> doc_id").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))
+    return keep_one(docs, k=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a test item."""
+    """Documents without a test item. Rows are told apart by id and text, so rows without an id go too if they hold one."""
     ship(spark)
-    found = find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(write_table(found.select("doc_id").distinct(), "leaks"), "doc_id", "left_anti").select(docs.columns)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

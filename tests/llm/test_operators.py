@@ -288,6 +288,41 @@ def test_line_dedup(spark, empty, least):
     assert dedupe_lines(empty).count() == 0
 
 
+def brute_runs(texts, least):
+    """(text, first, n, text and line of the first copy) of all maximal runs with an earlier copy."""
+    lines = [[(x.strip(), len(text_words(x))) for x in t.split("\n") if text_words(x)] for t in texts]
+    out = []
+    for a, mine in enumerate(lines):
+        last = 0
+        for i in range(len(mine)):
+            best, where = 0, None
+            for b in range(a + 1):
+                for j in range(len(lines[b]) if b < a else i):
+                    n = 0
+                    while i + n < len(mine) and j + n < len(lines[b]) and mine[i + n][0] == lines[b][j + n][0]:
+                        n += 1
+                    if n > best:
+                        best, where = n, (b, j)
+            if best and best != last - 1 and sum(x[1] for x in mine[i : i + best]) >= least:
+                out.append((a, i, best, *where))
+            last = best
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [1, 12])
+def test_maximal_runs(spark, least):
+    from filingscope.llm.line_dedup import line_table, repeated_runs
+
+    rng = random.Random(40 + least)
+    pool = [f"v{i} " * rng.randint(1, 5) for i in range(6)]
+    long = [f"line {i} of a long run" for i in range(45)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(20)]
+    texts += ["\n".join(["start", *long, "end"]), "\n".join(long[3:24]), "\n".join(long[2:30] + ["other"] + long[5:26]), "\n".join(["same"] * 21), "\n".join(["same"] * 33), "\n".join(long)]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc long, row long, text string").repartition(3)
+    got = sorted((r["row"], r["first"], r["n"], r["origin"]["row"], r["origin"]["at"]) for r in repeated_runs(line_table(rows, least)).collect())
+    assert got == brute_runs(texts, least) and any(n > 20 for _, _, n, _, _ in got)
+
+
 # --- Jaccard join
 
 
@@ -375,15 +410,19 @@ def test_block_max_wand_finds_all():
     items = [(i, " ".join(words(rng, rng.randint(5, 30), 150)) + ".") for i in range(60)]
     index = BlockMaxIndex(items)
     dense = np.zeros((len(index.terms), len(index.ids)))
-    for t, (at, w) in enumerate(index.postings):
+    for t in range(len(index.terms)):
+        at, w = index.postings(t)
         dense[t, at] = w
     for _ in range(60):
         q = sorted(rng.sample(range(len(index.terms)), rng.randint(1, 50)))
         for threshold in (0.2, 0.5, 0.9):
             want = np.flatnonzero(dense[q].sum(axis=0) >= threshold - 1e-6).tolist()
             assert [i for i, _ in index.search(q, threshold)] == want
-            blocks = index.bounds[q].sum(axis=0) >= threshold - 1e-4
-            assert [i for i, _ in index.search(q, threshold, blocks)] == want
+            of, term = np.repeat([0, 1, 2], len(q)), np.array(q * 3)
+            bounds = np.array([sum(index.bound(t, b) for t in q) for b in range(index.blocks)])
+            reached = index.reachable(of, term, threshold)
+            assert reached.tolist() == [i * index.blocks + b for i in range(3) for b in np.flatnonzero(bounds >= threshold - 1e-6)]
+            assert [i for i, _ in index.search(q, threshold, reached[: len(reached) // 3])] == want
 
 
 def test_leaks(spark, docs, empty):
@@ -410,83 +449,107 @@ def test_leaks(spark, docs, empty):
     assert find_leaks(docs, bench.limit(0)).count() == 0 == find_leaks(empty, bench).count()
 
 
-# --- Katz backoff
+def test_scores_do_not_depend_on_slices(spark):
+    from filingscope.llm.decontamination import find_leaks
 
+    rng = random.Random(12)
+    items = [(i, " ".join(f"q{rng.randrange(60)}" for _ in range(rng.randint(12, 40))) + ". " + " ".join(f"a{rng.randrange(60)}" for _ in range(5)) + ".") for i in range(90)]
+    texts = []
+    for d in range(120):  # parts of items, around the threshold
+        w = items[rng.randrange(90)][1].split()
+        texts.append((d, " ".join(words(rng, 30) + [x if rng.random() < 0.85 else "other" for x in w] + words(rng, 30))))
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    got = [sorted(tuple(r) for r in find_leaks(df, bench, question=0.2, answer=0.2, slice_items=n).collect()) for n in (5, 40, 512)]
+    assert got[0] == got[1] == got[2] and len(got[2]) > 30
+
+
+def test_short_items_and_marks(spark):
+    from filingscope.llm.decontamination import BlockMaxIndex, find_leaks, search_text, without_leaks
+
+    bench = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta"), *[(i, f"x{i} y{i} z{i}") for i in range(3, 15)]], "item_id long, text string")
+    df = spark.createDataFrame([(1, "z10 alpha, beta x10"), (2, "z10 delta x11 gamma"), (None, "so: Alpha Beta!"), (None, "beta alpha"), (3, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in find_leaks(df, bench).collect()] == [(1, 1), (None, 1)]
+    assert sorted(((r["doc_id"], r["text"]) for r in without_leaks(df, bench).collect()), key=str) == sorted([(2, "z10 delta x11 gamma"), (None, "beta alpha"), (3, None)], key=str)
+    item = " ".join(f"t{i} -" for i in range(62))  # every second word is a mark
+    index = BlockMaxIndex([(1, item)])
+    terms = {w: i for w, i in index.terms.items()}
+    for before in range(0, 130):
+        text = ["other"] * before + item.split() + ["other"] * 40
+        ids = np.array([terms.get(w, -2 if w == "-" else -1) for w in text])
+        assert [(r[0], round(r[1], 6)) for r in search_text(index, ids, 0.99, 0.9, 0.9)] == [(0, 1.0)]
 
-def test_katz(spark, docs, rows, empty):
-    from filingscope.llm.katz import END, OTHER, START, Katz, fit_katz, katz_scores, unpack
 
-    tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
-    train = [x for (i, _), x in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    count = Counter(w for x in train for w in x)
-    n, v = sum(count.values()), len(count)
-    want = sorted(((i, len(x), sum(w in count for w in x), n, round(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in x), 4)) for (i, _), x in zip(rows, tokens)), key=str)
-    got = katz_scores(docs, top_words=100, top_pairs=200).collect()
-    assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got), key=str) == want
-    assert all(r["score"] < 0 for r in got)
-    everywhere = katz_scores(docs, top_words=100, top_pairs=0, bucket=50).collect()  # where pairs are scored changes nothing
-    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in everywhere) == sorted((str(r["doc_id"]), round(r["score"], 4)) for r in got)
-    assert katz_scores(empty).count() == 0
+# --- Katz backoff
 
-    own = docs.select("doc_id", "text")
-    model, _, table, _ = fit_katz(own, 100, 10**6)
-    assert isinstance(model, Katz)
-    size = len(model.share)
-    found = {k: c for r in table.collect() for k, c in zip(unpack(r["keys"], np.uint64).tolist(), unpack(r["counts"], np.int64).tolist())}
-    for before in [START, OTHER, *range(3, size)]:  # every context's probabilities sum to 1
-        pairs = (np.uint64(before) << np.uint64(32)) | np.arange(1, size).astype(np.uint64)
-        counts = np.array([found.get(k, 0) for k in pairs.tolist()])
-        assert abs((10 ** model.score_pairs(pairs, counts)).sum() - 1) < 1e-9
-    rest = [c for w, c in count.items() if w and model.classes(np.array([__import__("xxhash").xxh3_64_intdigest(w)], np.uint64))[0] == OTHER]
-    p = 10 ** model.score_others(np.array([*rest, 0]))
-    assert abs(p.sum() - 1) < 1e-9 and END == 1
 
+def brute_katz(train):
+    """P(w | u, v) of a word trigram model with Katz backoff, and its words; start and unknown words are None."""
+    from filingscope.llm.katz import discounts
 
-def test_katz_counts_the_pairs_of_all_words(spark, docs, rows):
-    import xxhash
+    grams = [Counter(), Counter(), Counter()]
+    for x in train:
+        y = [None, None, *x]
+        for i in range(2, len(y)):
+            for k in range(3):
+                grams[k][tuple(y[i - k : i + 1])] += 1
+    d = [discounts(Counter(g.values())) for g in grams]
+    n = sum(grams[0].values())
+    after = [defaultdict(Counter) for _ in range(3)]
+    for k in range(3):
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+    star = lambda k, c: d[k][c if c <= 5 else 0] * c
+    left = {}
+
+    def p(context, w):
+        k = len(context)
+        seen = after[k].get(context)
+        if k == 0:
+            return star(0, seen[w]) / (n + 1) if seen and w in seen else 1 - sum(star(0, c) for c in (seen or {}).values()) / (n + 1)
+        if not seen:
+            return p(context[1:], w)
+        total = sum(seen.values())
+        if w in seen:
+            return star(k, seen[w]) / (total + 1)
+        if context not in left:
+            left[context] = (1 - sum(star(k, c) for c in seen.values()) / (total + 1)) / (1 - sum(p(context[1:], x) for x in seen))
+        return left[context] * p(context[1:], w)
+
+    return p, after, grams[0]
 
-    from filingscope.llm.katz import END, OTHER, START, discounts, fit_katz, katz_scores, unpack
 
-    own = docs.select("doc_id", "text")
-    model, _, table, _ = fit_katz(own, 20, 10**6)
-    found = {k: c for r in table.collect() for k, c in zip(unpack(r["keys"], np.uint64).tolist(), unpack(r["counts"], np.int64).tolist())}
+def test_katz(spark, docs, rows, empty):
+    from filingscope.llm.katz import katz_scores
+
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
     train = [x for (i, _), x in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
-    count = Counter(w for x in train for w in x)
-    names = [*{w for x in tokens for w in x}, b"never seen"]
-    cls = dict(zip(names, model.classes(np.array([xxhash.xxh3_64_intdigest(w) if w else 0 for w in names], np.uint64)).tolist())) | {None: START}
-    assert sum(c == OTHER for c in cls.values()) > 200
+    p, after, count = brute_katz(train)
+    for k in (1, 2):  # every context's probabilities sum to 1
+        for context in [*list(after[k])[::40], (b"never", b"seen")[:k], (b"never", b"w1")[2 - k :]]:
+            assert abs(sum(p(context, w[0]) for w in count) + p(context, None) - 1) < 1e-9
+    n, v = sum(count.values()), len(count)
+    want = []
+    for (i, _), x in zip(rows, tokens):
+        base = sum(math.log10((count[w,] + 1) / (n + v + 1)) for w in x)
+        score = sum(math.log10(p((a, b), w)) for a, b, w in zip([None, None, *x], [None, *x], x))
+        want.append((str(i), len(x), sum((w,) in count for w in x), n, base, score))
+    for made in (docs, docs.repartition(11)):  # how texts are dealt to messages changes nothing
+        got = [(str(r["doc_id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in katz_scores(made, bucket=500).collect()]
+        assert [x[:4] for x in sorted(got)] == [x[:4] for x in sorted(want)]
+        assert all(abs(a - b) < 1e-4 for x, y in zip(sorted(got), sorted(want)) for a, b in zip(x[4:], y[4:]))
+    assert sum(r["held_out"] for r in katz_scores(docs).collect()) == len(rows) - len(train)
+    assert katz_scores(empty).count() == 0
+    only = spark.createDataFrame([(next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2), "no text to learn from")], "doc_id long, text string")
+    assert [(r["n_known"], r["train_tokens"], r["score"]) for r in katz_scores(only).collect()] == [(0, 0, 0.0)]
 
-    def lower(h, w):  # the class after the class before
-        k = cls[h] << 32 | cls[w]
-        return 10 ** float(model.score_pairs(np.array([k], np.uint64), np.array([found.get(k, 0)]))[0])
 
-    def part(w):  # the word's part of its class
-        return 10 ** float(model.score_others(np.array([count[w]]))[0]) if cls[w] == OTHER else 1.0
+def test_katz_message_size_changes_nothing(spark, sf):
+    from filingscope.llm import katz
 
-    follow = defaultdict(Counter)
-    for x in train:
-        for h, w in zip([None, *x], x):
-            if OTHER in (cls[h], cls[w]):
-                follow[h][w] += 1
-    n = Counter(c for x in follow.values() for c in x.values())
-    d = discounts(__import__("pandas").DataFrame(sorted(n.items()), columns=["count", "keys"]))
-    q = lambda h, w: (lower(h, w) if cls[h] == OTHER else 1.0) * part(w)
-    left = {h: (1 - sum(d[c if c <= 5 else 0] * c for c in x.values()) / (sum(x.values()) + 1)) / (1 - sum(q(h, w) for w in x)) for h, x in follow.items()}
-
-    def p(h, w):
-        if OTHER not in (cls[h], cls[w]):
-            return lower(h, w)
-        c, total = follow[h][w] if h in follow else 0, sum(follow[h].values()) if h in follow else 0
-        own = d[c if c <= 5 else 0] * c / (total + 1) if c else left.get(h, 1.0) * q(h, w)
-        return own if cls[h] == OTHER else own * lower(h, w)
-
-    known = [w for w in names if w in count or w == b"never seen"]
-    for h in [None, *[w for w in names if w and w in count][::25]]:
-        assert abs(sum(p(h, w) for w in known) - 1) < 1e-9
-    want = sorted((str(i), round(sum(math.log10(p(h, w)) for h, w in zip([None, *x], x)), 3)) for (i, _), x in zip(rows, tokens))
-    got = sorted((str(r["doc_id"]), round(r["score"], 3)) for r in katz_scores(docs, top_words=20, top_pairs=50).collect())
-    assert [i for i, _ in got] == [i for i, _ in want] and all(abs(a - b) < 2e-3 for (_, a), (_, b) in zip(got, want)) and END == 1
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    whole = {r["doc_id"]: r["score"] for r in katz.katz_scores(docs).collect()}
+    parts = {r["doc_id"]: r["score"] for r in katz.katz_scores(docs.repartition(9), bucket=10_000).collect()}
+    assert whole.keys() == parts.keys() and all(abs(whole[i] - parts[i]) < 1e-4 for i in whole)
 
 
 def test_katz_beats_its_base_on_held_out_texts(spark, sf):
