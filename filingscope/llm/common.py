@@ -28,17 +28,19 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+def write_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: the lineage ends here, and a lost executor loses nothing.
 
     The shuffle files of its plan, which nothing reads later, are deleted once it is written.
+    by is a column of few values that deals the rows out to folders.
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key)
     spark.conf.set(key, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        writer = df.write.option("compression", "zstd")
+        (writer.partitionBy(by) if by else writer).parquet(path)
     finally:
         spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)

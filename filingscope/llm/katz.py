@@ -1,11 +1,12 @@
-"""Katz backoff: Good-Turing discounted counts with exactly normalised backoff weights, in partitioned tables.
-
-Bigrams are counted for the whole vocabulary. The most frequent words (a bounded list that every task
-knows) and the end have a class each, all other words share one. A pair of words with a class each is
-a pair of classes; a pair with a word of the large class has its own count in partitioned tables, and
-backs off to the model of classes: a class after the class before, backing off to the class's own
-share, and in the large class a word's part by discounted word counts, unknown words taking the rest.
-Every level sums to 1.
+"""Katz backoff over words: Good-Turing discounted trigrams, bigrams and unigrams with exactly normalised backoff weights.
+
+Texts are read once and become messages of about a million tokens: the words, their order, and each
+n-gram of the message once. N-grams go to the buckets of partitioned tables, which sum up the training
+counts and answer each message. Every n-gram that the training texts have belongs to one message,
+which adds its discounted count and its probability at the next lower order to its context; the
+contexts are summed up in the same buckets, and a message gets the sums of those from which its
+texts back off. Then each token is evaluated recursively: trigram, else bigram, else word, else the
+share that is left for unknown words. Nothing is held for the whole vocabulary outside the tables.
 """
 
 from __future__ import annotations
@@ -16,41 +17,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filingscope.llm.common import MIX, WordHashes, drop_table, scramble, texts_of, write_table
+from filingscope.llm.common import MIX, WordHashes, bucket_of, pack, pack_sorted, scramble, slices_of, texts_of, unpack, unpack_sorted, write_table
 
-#: Words with a class of their own, and pairs whose counts every task knows, at most.
-TOP_WORDS, TOP_PAIRS = 1 << 17, 1 << 20
-#: Counts up to which Good-Turing discounts; entries of one bucket of a table.
-DISCOUNTED, BUCKET = 5, 1_500_000
-BATCH = 1000
-START, END, OTHER = 0, 1, 2
-END_KEY = np.uint64(0)
-
-
-def pack(a: np.ndarray) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdCompressor(1).compress(a.tobytes())
-
-
-def unpack(data: bytes, kind) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """write_table(); the shuffle files of its plan, which nothing reads later, are deleted at its end."""
-    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = conf.get(key)
-    conf.set(key, "true")
-    try:
-        return write_table(df, name)
-    finally:
-        conf.set(key, before)
+#: Counts up to which Good-Turing discounts.
+DISCOUNTED = 5
+#: Tokens of a message (a longer text is one by itself), texts of a message, and keys of a bucket, on average.
+MESSAGE_TOKENS, MESSAGE_TEXTS, BUCKET = 1_000_000, 20_000, 2_000_000
+END_KEY, START_KEY = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
@@ -62,445 +38,289 @@ def trains(doc: int | None) -> bool:
     return doc is None or zlib.crc32(str(doc).encode()) % 7 != 2
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(keys, kind="stable")
-    keys, counts = keys[by], counts[by]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _bucketed(keys: np.ndarray, buckets: int):
-    """(bucket, places of its keys) for each bucket with keys."""
-    to = (scramble(keys) % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.append(True, np.diff(to[by]) != 0)) if len(by) else np.zeros(0, np.int64)
-    for a, b in zip(cuts, np.append(cuts[1:], len(by))):
-        yield int(to[by[a]]), by[a:b]
-
-
-def count_table(docs: DataFrame, keys_of, buckets: int, name: str) -> DataFrame:
-    """(bucket, keys, counts) of what keys_of finds in the training texts; tasks sum up before they send."""
-
-    def send(batches):
-        hashes, waiting, n = WordHashes(), [], 0
-
-        def flush():
-            keys, counts = _sums(np.concatenate([k for k, _ in waiting]), np.concatenate([c for _, c in waiting]))
-            parts = [(b, pack(keys[at]), pack(counts[at])) for b, at in _bucketed(keys, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "keys", "counts"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                found = [keys_of(tokens(x, hashes)) for d, x in zip(part.column(0).to_pylist(), texts_of(part.column(1))) if trains(d)]
-                if found:
-                    keys, counts = np.unique(np.concatenate(found), return_counts=True)
-                    waiting.append((keys, counts.astype(np.int64)))
-                    n += len(keys)
-                    if n > 4_000_000:
-                        yield flush()
-                        waiting, n = [], 0
-        if waiting:
-            yield flush()
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _sums(np.concatenate([unpack(x, np.uint64) for x in rows["keys"]]), np.concatenate([unpack(x, np.int64) for x in rows["counts"]]))
-        return pd.DataFrame({"bucket": [rows["bucket"].iloc[0]], "keys": [pack(keys)], "counts": [pack(counts)]})
-
-    return _written(docs.mapInArrow(send, "bucket int, keys binary, counts binary").groupBy("bucket").applyInPandas(gather, "bucket int, keys binary, counts binary"), name)
-
-
-def histogram(table: DataFrame) -> pd.DataFrame:
-    """Number of keys per count, in classes: exact up to 64, then 16 to a power of two. Its size is bounded."""
-
-    def run(batches):
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                c, n = np.unique(floor_count(unpack(x, np.int64)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n)], names=["count", "keys"])
-
-    rows = table.select("counts").mapInArrow(run, "count long, keys long").groupBy("count").agg(F.sum("keys").alias("keys"))
-    return rows.toPandas().sort_values("count")
-
-
-def floor_count(c: np.ndarray) -> np.ndarray:
-    step = np.left_shift(1, np.maximum(0, np.floor(np.log2(np.maximum(c, 1))).astype(np.int64) - 4))
-    return np.where(c <= 64, c, c // step * step)
-
-
-def threshold(counts: pd.DataFrame, most: int) -> int:
-    """The least count, 2 at least, that no more than `most` keys reach."""
-    reach = counts["keys"][::-1].cumsum()[::-1].to_numpy()
-    fits = counts["count"].to_numpy()[reach <= most]
-    return max(2, int(fits.min()) if len(fits) else int(counts["count"].max()) + 1 if len(counts) else 2)
-
-
-def most_frequent(table: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with that count at least, and their counts; threshold() bounds their number."""
-
-    def run(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = unpack(k, np.uint64), unpack(c, np.int64)
-                at = floor_count(counts) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([keys[at].tobytes()], pa.binary()), pa.array([counts[at].tobytes()], pa.binary())], names=["keys", "counts"])
-
-    rows = table.select("keys", "counts").mapInArrow(run, "keys binary, counts binary").collect()
-    keys = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r[0], np.uint64) for r in rows]])
-    counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r[1], np.int64) for r in rows]])
-    by = np.argsort(keys)
-    return keys[by], counts[by]
-
-
-def discounts(counts: pd.DataFrame) -> np.ndarray:
+def discounts(counts: dict[int, int]) -> np.ndarray:
     """Factor of each count 0..DISCOUNTED: Good-Turing's, or (r - 1/2) / r where the counts of counts give none."""
-    n = dict(zip(counts["count"].tolist(), counts["keys"].tolist()))
     out = np.ones(DISCOUNTED + 1)
-    n1 = n.get(1, 0)
-    cut = (DISCOUNTED + 1) * n.get(DISCOUNTED + 1, 0) / n1 if n1 else 1.0
+    n1 = counts.get(1, 0)
+    cut = (DISCOUNTED + 1) * counts.get(DISCOUNTED + 1, 0) / n1 if n1 else 1.0
     for r in range(1, DISCOUNTED + 1):
-        d = ((r + 1) * n.get(r + 1, 0) / (r * n[r]) - cut) / (1 - cut) if n.get(r) and cut < 1 else -1.0
+        d = ((r + 1) * counts.get(r + 1, 0) / (r * counts[r]) - cut) / (1 - cut) if counts.get(r) and cut < 1 else -1.0
         out[r] = d if 0 < d < 1 else (r - 0.5) / r
     return out
 
 
-class Katz:
-    """What every task knows of a model; its size is bounded by TOP_WORDS and TOP_PAIRS."""
-
-    def __init__(self, words, counts, n: int, v: int, word_counts: pd.DataFrame):
-        self.words, self.n, self.v = words, n, v
-        self.word_counts = counts
-        own = np.zeros(len(words) + 3)
-        own[3:] = counts
-        at = np.searchsorted(words, END_KEY)
-        self.end_at = int(at) if at < len(words) and words[at] == END_KEY else -1
-        if self.end_at >= 0:
-            own[END] = own[3 + self.end_at]
-            own[3 + self.end_at] = 0
-        self.others = n - int(own.sum())
-        own[OTHER] = self.others + 1
-        self.history = own.copy()  # a history's count: each word is followed by one token
-        self.history[START], self.history[END], self.history[OTHER] = own[END], 0, self.others
-        self.share = own / own.sum()
-        self.word_discounts = discounts(word_counts)
-
-    def classes(self, t: np.ndarray) -> np.ndarray:
-        """Class of each token."""
-        if not len(self.words):
-            return np.where(t == END_KEY, END, OTHER)
-        at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
-        return np.where(t == END_KEY, END, np.where(self.words[at] == t, at + 3, OTHER))
-
-    def pairs(self, t: np.ndarray) -> np.ndarray:
-        c = self.classes(t).astype(np.uint64)
-        return np.append(np.uint64(START), c[:-1]) << np.uint64(32) | c
-
-    def learnt(self, pair_counts: pd.DataFrame, pairs, counts) -> None:
-        self.pair_discounts = discounts(pair_counts)
-        self.known_pairs, self.known_counts = pairs, counts
-
-    def seen(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Probability of pairs that the training text has; what is left is at least 1 / (history's count + 1)."""
-        d = self.pair_discounts[np.where(counts <= DISCOUNTED, counts, 0)]
-        return d * counts / (self.history[(pairs >> np.uint64(32)).astype(np.int64)] + 1)
-
-    def score_pairs(self, pairs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 P(class | class before), recursively: the pair's own probability or what is left for the class's share."""
-        before, after = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        p = np.where(counts > 0, self.seen(pairs, counts) * self.full[before], self.left[before] * self.share[after])
-        return np.log10(p)
-
-    def score_others(self, counts: np.ndarray) -> np.ndarray:
-        """log10 P(word | class of other words)."""
-        d = self.word_discounts[np.where(counts <= DISCOUNTED, counts, 0)]
-        return np.log10(np.where(counts > 0, d * counts, self.unknown) / (self.others + 1))
+class Model:
+    """What every task knows: the discounts of the three orders, tokens, words, texts and the share of unknown words."""
+
+    def __init__(self, stats: np.ndarray):
+        """stats: per order the keys with counts 1 to DISCOUNTED + 1, the distinct keys and the sum of counts."""
+        self.d = [discounts({r + 1: int(n) for r, n in enumerate(x[: DISCOUNTED + 1])}) for x in stats]
+        self.n, self.v = int(stats[0][-1]), int(stats[0][-2])
+        lost = sum((1 - self.d[0][r]) * r * int(stats[0][r - 1]) for r in range(1, DISCOUNTED + 1))
+        self.unknown = 1 - (self.n - lost) / (self.n + 1)
+
+    def discounted(self, order: int, counts: np.ndarray) -> np.ndarray:
+        return self.d[order - 1][np.where(counts <= DISCOUNTED, counts, 0)] * counts
+
+    def words(self, counts: np.ndarray) -> np.ndarray:
+        """P(word)."""
+        return np.where(counts > 0, self.discounted(1, counts) / (self.n + 1), self.unknown)
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.n + self.v + 1))
 
 
-def _left_over(table: DataFrame, model: Katz, shared) -> None:
-    """Sets the backoff weights: what each history's seen classes leave, over the shares of the unseen ones."""
-    size = len(model.share)
+class Message:
+    """Texts as sequences of local word numbers, and each of their n-grams once.
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pairs, counts = unpack(k, np.uint64), unpack(c, np.int64)
-                before, after = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                at, inverse = np.unique(before, return_inverse=True)
-                seen, share = np.bincount(inverse, m.seen(pairs, counts)), np.bincount(inverse, m.share[after])
-                for block, own in _blocks(at):
-                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *[pa.array([x[own].tobytes()], pa.binary()) for x in (at, seen, share)]], names=["block", "at", "seen", "share"])
-
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        at, inverse = np.unique(np.concatenate([np.frombuffer(x, np.int64) for x in rows["at"]]), return_inverse=True)
-        seen, share = (np.bincount(inverse, np.concatenate([np.frombuffer(x, np.float64) for x in rows[c]])) for c in ("seen", "share"))
-        return pd.DataFrame({"at": [at.tobytes()], "seen": [seen.tobytes()], "share": [share.tobytes()]})
-
-    def _blocks(at):
-        block = at % 16
-        for b in np.unique(block):
-            yield int(b), np.flatnonzero(block == b)
-
-    seen, share = np.zeros(size), np.zeros(size)
-    sums = table.select("keys", "counts").mapInArrow(run, "block int, at binary, seen binary, share binary")
-    for r in sums.groupBy("block").applyInPandas(gather, "at binary, seen binary, share binary").collect():
-        at = np.frombuffer(r["at"], np.int64)
-        seen[at], share[at] = np.frombuffer(r["seen"], np.float64), np.frombuffer(r["share"], np.float64)
-    rest = 1 - share
-    whole = rest <= 1e-12  # every class was seen after it: nothing is left to share, the seen ones take all
-    model.left = np.where(whole, 0.0, (1 - seen) / np.maximum(rest, 1e-12))
-    model.full = np.where(whole & (seen > 0), 1 / np.maximum(seen, 1e-300), 1.0)
-
-
-def fit_katz(docs: DataFrame, top_words: int = TOP_WORDS, top_pairs: int = TOP_PAIRS, bucket: int = BUCKET) -> tuple[Katz, DataFrame, DataFrame, int]:
-    """Learns from the training texts: the model, its table of words and its table of class pairs, and their buckets."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, size // 7 // bucket + 1)
-    words = count_table(docs, lambda t: t, buckets, "katz-words")
-    word_counts = histogram(words)
-    n_tokens = _total(words)
-    model = Katz(*most_frequent(words, threshold(word_counts, top_words)), n_tokens, int(word_counts["keys"].sum()), word_counts)
-    first = spark.sparkContext.broadcast(model)
-    pairs = count_table(docs, lambda t: first.value.pairs(t), buckets, "katz-pairs")
-    pair_counts = histogram(pairs)
-    model.learnt(pair_counts, *most_frequent(pairs, threshold(pair_counts, top_pairs)))
-    # the discounted counts of other words: those below the most frequent ones
-    model.unknown = model.others + 1 - _discounted(words, model, spark)
-    _left_over(pairs, model, spark.sparkContext.broadcast(model))
-    return model, words, pairs, buckets
-
-
-def _total(table: DataFrame) -> int:
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([sum(int(unpack(x, np.int64).sum()) for x in batch.column(0).to_pylist())], pa.int64())], names=["n"])
+    words are hashes; before a text stand two starts. one, two and three are the places of each
+    token's word, bigram and trigram; a context is a word or the start, or a bigram or two starts.
+    """
 
-    return table.select("counts").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    def __init__(self, words: np.ndarray, seq: np.ndarray, sizes: np.ndarray):
+        v, first = len(words), np.cumsum(sizes) - sizes
+        self.words, self.sizes, self.one = words, sizes, seq
+        before = np.append(v, seq[:-1])
+        before[first] = v
+        pairs, self.two = np.unique(before * (v + 1) + seq, return_inverse=True)
+        context = np.append(len(pairs), self.two[:-1])
+        context[first] = len(pairs)
+        triples, self.three = np.unique(context * (v + 1) + seq, return_inverse=True)
+        #: context and word of each bigram, context and word of each trigram, and the bigram that a trigram ends with
+        self.context2, self.word2 = pairs // (v + 1), pairs % (v + 1)
+        self.context3, self.word3 = triples // (v + 1), triples % (v + 1)
+        self.bigram3 = np.empty(len(triples), np.int64)
+        self.bigram3[self.three] = self.two
+        h1 = np.append(words, START_KEY)
+        h2 = scramble(h1[self.context2] * MIX[0] + h1[self.word2] * MIX[1])
+        h2 = np.append(h2, scramble(np.array([START_KEY]) * MIX[2]))
+        h3 = scramble(h2[self.context3] * MIX[3] + h1[self.word3] * MIX[4])
+        low = np.uint64(3)
+        #: keys of contexts: words and the start, then bigrams and two starts; the lowest bits are the order
+        self.context_keys = np.concatenate([h1 & ~low | np.uint64(1), h2 & ~low | np.uint64(2)])
+        self.keys = np.concatenate([self.context_keys[:v], self.context_keys[v + 1 : -1], h3 & ~low | low])
+        self.by = np.argsort(self.keys)
+
+    @classmethod
+    def of_texts(cls, texts: list[np.ndarray]) -> "Message":
+        words, seq = np.unique(np.concatenate(texts), return_inverse=True)
+        # frequent words get small numbers, so that the sequence packs well
+        by = np.argsort(-np.bincount(seq), kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return cls(words[by], place[seq], np.array([len(x) for x in texts]))
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Of each key, in the order of keys: tokens of training texts."""
+        at = np.repeat(train, self.sizes)
+        numbers = (len(self.words), len(self.context2), len(self.context3))
+        return np.concatenate([np.bincount(x[at], minlength=n) for x, n in zip((self.one, self.two, self.three), numbers)])
+
+    def packed(self, docs: np.ndarray) -> tuple[bytes, bytes, bytes]:
+        return pack(self.words), pack(self.one.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), pack(np.column_stack([docs, self.sizes]))
+
+    @classmethod
+    def unpacked(cls, a: bytes, b: bytes, c: bytes) -> tuple["Message", np.ndarray]:
+        docs = unpack(c, np.int64).reshape(-1, 4)
+        seq = np.ascontiguousarray(unpack(b, np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64)
+        return cls(unpack(a, np.uint64), seq, docs[:, 3]), docs
+
+
+FIELDS = "kind string, batch string, bucket int, a binary, b binary, c binary"
+NAMES = [x.split()[0] for x in FIELDS.split(", ")]
+KINDS = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def send_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
+    """(id, text) -> messages: their texts (kind home) and, by bucket, their n-grams with training counts (kind asks)."""
 
+    def send(batches):
+        part, hashes, number, about, texts, total = TaskContext.get().partitionId(), WordHashes(), 0, [], [], 0
 
-def _discounted(words: DataFrame, model: Katz, spark) -> float:
-    shared = spark.sparkContext.broadcast(model)
+        def flush():
+            message = Message.of_texts(texts)
+            docs_ = np.array([(d or 0, d is None, trains(d)) for d in about], np.int64)
+            keys, counts = message.keys[message.by], message.counts(docs_[:, 2] == 1)[message.by]
+            name = f"{part}-{number}"
+            rows = [("home", name, number % buckets, *message.packed(docs_))]
+            rows += [("asks", name, int(to), pack_sorted(keys[a:b]), pack(counts[a:b]), None) for to, a, b in _buckets(keys, buckets)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
 
-    def run(batches):
-        m = shared.value
         for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = unpack(k, np.uint64), unpack(c, np.int64)
-                counts = counts[m.classes(keys) == OTHER]
-                d = m.word_discounts[np.where(counts <= DISCOUNTED, counts, 0)]
-                yield pa.RecordBatch.from_arrays([pa.array([float((d * counts).sum())])], names=["s"])
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                about.append(doc)
+                texts.append(tokens(text, hashes))
+                total += len(texts[-1])
+                if total >= MESSAGE_TOKENS or len(texts) >= MESSAGE_TEXTS:
+                    yield flush()
+                    number, about, texts, total = number + 1, [], [], 0
+        if about:
+            yield flush()
 
-    return words.select("keys", "counts").mapInArrow(run, "s double").agg(F.sum("s")).first()[0] or 0.0
+    return docs.mapInArrow(send, FIELDS)
 
 
-def merged_pairs(t: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places, words before and words of the pairs that classes merge: one word at least is of the large class.
+def _buckets(keys: np.ndarray, buckets: int):
+    to = bucket_of(keys, buckets)
+    for a, b in zip(*slices_of(to)):
+        yield to[a], a, b
 
-    Texts may follow each other, as each ends with the end's key, which is the history of a first word too.
-    """
-    at = np.flatnonzero((classes == OTHER) | np.append(False, classes[:-1] == OTHER))
-    return at, np.append(END_KEY, t[:-1])[at], t[at]
 
+def _count(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's messages -> its table of counts, the answers, and its counts of counts.
 
-def pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return scramble(h * MIX[0] + w * MIX[1])
+    An answer is twice a key's count, and one more in the message that the key belongs to, the first that trains on it.
+    """
+    rows = rows.sort_values("batch")
+    home, asks = rows[rows["kind"] == "home"], rows[rows["kind"] == "asks"]
+    if not len(asks):
+        return home
+    parts = [unpack_sorted(x) for x in asks["a"]]
+    keys, own = np.concatenate(parts), np.concatenate([unpack(x, np.int64) for x in asks["b"]])
+    by = np.argsort(keys, kind="stable")
+    keys, own = keys[by], own[by]
+    starts, ends = slices_of(keys)
+    totals = np.add.reduceat(own, starts)
+    value = np.repeat(2 * totals, ends - starts)
+    value[np.minimum.reduceat(np.where(own > 0, np.arange(len(own)), len(own) - 1), starts)[totals > 0]] += 1
+    answer = np.empty(len(value), np.int64)
+    answer[by] = value
+    cuts = np.cumsum([0, *(len(x) for x in parts)])
+    bucket = int(asks["bucket"].iloc[0])
+    out = [("answer", name, bucket, None, pack(answer[a:b]), None) for name, a, b in zip(asks["batch"], cuts, cuts[1:])]
+    keys, totals = keys[starts][totals > 0], totals[totals > 0]
+    stats = np.zeros((3, DISCOUNTED + 3), np.int64)
+    for order in (1, 2, 3):
+        c = totals[keys & np.uint64(3) == order]
+        stats[order - 1] = [*(np.sum(c == r) for r in range(1, DISCOUNTED + 2)), len(c), c.sum()]
+    out += [("counts", None, bucket, pack_sorted(keys), pack(totals), None), ("stats", None, bucket, stats.tobytes(), None, None)]
+    return pd.concat([home, pd.DataFrame(out, columns=NAMES)])
+
+
+def _opened(rows: pd.DataFrame) -> tuple[Message, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """A message, its texts (id, null, trains, size), and by order the counts of its n-grams and which belong to it."""
+    own = rows[rows["kind"] == "home"].iloc[0]
+    message, docs = Message.unpacked(own["a"], own["b"], own["c"])
+    answers = rows[rows["kind"] == "answer"].sort_values("bucket")
+    value = np.empty(len(message.keys), np.int64)
+    value[message.by] = np.concatenate([unpack(x, np.int64) for x in answers["b"]])
+    cuts = np.cumsum([len(message.words), len(message.context2)])
+    return message, docs, np.split(value >> 1, cuts), np.split(value & 1, cuts)
+
+
+def _needed(m: Message, docs: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """Of each context key, whether a text backs off from it: a known context that the token was never seen after."""
+    one, two = np.zeros(len(m.words) + 1, bool), np.zeros(len(m.context2) + 1, bool)
+    lost = counts[2] == 0
+    two[m.context3[lost]] = True
+    lost &= counts[1][m.bigram3] == 0
+    one[m.context2[m.bigram3[lost]]] = True
+    return np.concatenate([one, two])
+
+
+def _contexts(model: Model, buckets: int):
+    """A message -> by bucket, its contexts with what its own n-grams add, and which of them it needs (kind adds)."""
+
+    def contexts(rows: pd.DataFrame) -> pd.DataFrame:
+        m, docs, counts, own = _opened(rows)
+        g2, g3 = model.discounted(2, counts[1]), model.discounted(3, counts[2])
+        seen = [np.bincount(c, w * o, n + 1) for c, w, o, n in ((m.context2, g2, own[1], len(m.words)), (m.context3, g3, own[2], len(m.context2)))]
+        lower = [np.bincount(m.context2, model.words(counts[0])[m.word2] * own[1], len(m.words) + 1), np.bincount(m.context3, g2[m.bigram3] * own[2], len(m.context2) + 1)]
+        seen, lower, needed = np.concatenate(seen), np.concatenate(lower), _needed(m, docs, counts)
+        at = np.flatnonzero((seen > 0) | needed)
+        at = at[np.argsort(m.context_keys[at])]
+        keys = m.context_keys[at]
+        out = [("adds", rows["batch"].iloc[0], int(to), pack_sorted(keys[a:b]), pack(np.stack([seen[at[a:b]], lower[at[a:b]]])), np.packbits(needed[at[a:b]]).tobytes()) for to, a, b in _buckets(keys, buckets)]
+        return pd.DataFrame(out, columns=NAMES)
+
+    return contexts
+
+
+def _weigh(rows: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's contexts -> their sums as a table (kind weights), and those that messages need (kind sums)."""
+    rows = rows.sort_values("batch")
+    parts = [unpack_sorted(x) for x in rows["a"]]
+    keys, own = np.concatenate(parts), np.concatenate([unpack(x, np.float64).reshape(2, -1) for x in rows["b"]], axis=1)
+    needed = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows["c"], parts)])
+    by = np.argsort(keys, kind="stable")
+    starts, ends = slices_of(keys[by])
+    totals = np.add.reduceat(own[:, by], starts, axis=1)
+    sums = np.empty(own.shape)
+    sums[:, by] = np.repeat(totals, ends - starts, axis=1)
+    cuts = np.cumsum([0, *(len(x) for x in parts)])
+    bucket = int(rows["bucket"].iloc[0])
+    out = [("sums", name, bucket, None, pack(sums[:, a:b][:, needed[a:b]]), None) for name, a, b in zip(rows["batch"], cuts, cuts[1:]) if needed[a:b].any()]
+    return pd.DataFrame([*out, ("weights", None, bucket, pack_sorted(keys[by][starts]), pack(totals), None)], columns=NAMES)
 
 
-def _after_other(pairs: DataFrame, model: Katz) -> np.ndarray:
-    """Probability of each class after the large class."""
+def _left(seen: np.ndarray, lower: np.ndarray, history: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Backoff weight: what the tokens seen after a context leave, over what their lower orders leave. 1 if none is seen."""
+    return np.where(history > 0, (1 - seen / (history + 1)) / (1 - lower / below), 1.0)
 
-    def run(batches):
-        for batch in batches:
-            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys, counts = unpack(k, np.uint64), unpack(c, np.int64)
-                at = keys >> np.uint64(32) == OTHER
-                yield pa.RecordBatch.from_arrays([pa.array([x[at].tobytes()], pa.binary()) for x in (keys, counts)], names=["keys", "counts"])
 
-    counts = np.zeros(len(model.share), np.int64)
-    for r in pairs.select("keys", "counts").mapInArrow(run, "keys binary, counts binary").collect():
-        counts[(np.frombuffer(r[0], np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.int64)] = np.frombuffer(r[1], np.int64)
-    with np.errstate(divide="ignore"):
-        return 10 ** model.score_pairs(np.uint64(OTHER) << np.uint64(32) | np.arange(len(counts)).astype(np.uint64), counts)
+def token_probabilities(model: Model, m: Message, counts: list[np.ndarray], sums: np.ndarray) -> np.ndarray:
+    """P(token | two before) of each trigram of a message; sums: of each context key, discounted counts and lower orders."""
+    v, texts = len(m.words), counts[0][m.words == END_KEY]
+    history1, history2 = np.append(counts[0], texts), np.append(counts[1], texts)  # of the start, and of two starts: the training texts
+    one, two = sums[:, : v + 1], sums[:, v + 1 :]
+    left1 = _left(one[0], one[1], history1, np.ones(v + 1))
+    p2 = np.where(counts[1] > 0, model.discounted(2, counts[1]) / (history1[m.context2] + 1), left1[m.context2] * model.words(counts[0])[m.word2])
+    last = np.append(m.word2, v)  # of a context of two tokens, the last
+    left2 = _left(two[0], two[1], history2, history1[last] + 1)
+    return np.where(counts[2] > 0, model.discounted(3, counts[2]) / (history2[m.context3] + 1), left2[m.context3] * p2[m.bigram3])
 
 
-def fit_merged(docs: DataFrame, model: Katz, pairs: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, keys, counts) of the word pairs that classes merge: what a pair adds to the log of the
-    model of classes (kind 3), and what its history adds, seen pair or not (kind 4).
+def _score(model: Model):
+    """A message with its answers and sums -> its texts' rows."""
 
-    A history of the large class is followed by any word; after another history only the words of the
-    large class compete for that class's probability. Both back off to the model of classes.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((model, _after_other(pairs, model)))
-    fields = "h long, w long, own int, merged boolean, n long"
+    def score(rows: pd.DataFrame) -> pd.DataFrame:
+        m, docs, counts, _ = _opened(rows)
+        sums = np.zeros((2, len(m.context_keys)))
+        at = np.flatnonzero(_needed(m, docs, counts))
+        if len(at):
+            at = at[np.argsort(m.context_keys[at])]
+            found = rows[rows["kind"] == "sums"].sort_values("bucket")
+            sums[:, at] = np.concatenate([unpack(x, np.float64).reshape(2, -1) for x in found["b"]], axis=1)
+        of, n = np.repeat(np.arange(len(docs)), m.sizes), len(docs)
+        score = np.bincount(of, np.log10(token_probabilities(model, m, counts, sums))[m.three], n)
+        base = np.bincount(of, model.base(counts[0])[m.one], n)
+        known = np.bincount(of, counts[0][m.one] > 0, n).astype(np.int64)
+        ids = pd.Series([None if none else i for i, none in docs[:, :2].tolist()], dtype=object)
+        return pd.DataFrame({"doc_id": ids, "held_out": docs[:, 2] == 0, "n_tokens": m.sizes, "n_known": known, "train_tokens": model.n, "base_score": np.round(base, 6), "score": np.round(score, 6)})
 
-    def count(batches):
-        m, hashes = shared.value[0], WordHashes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                found = [tokens(x, hashes) for d, x in zip(part.column(0).to_pylist(), texts_of(part.column(1))) if trains(d)]
-                if found:
-                    t = np.concatenate(found)
-                    c = m.classes(t)
-                    at_, h, w = merged_pairs(t, c)
-                    _, first, n = np.unique(pair_keys(h, w), return_index=True, return_counts=True)
-                    merged = np.append(False, c[:-1] == OTHER)[at_]
-                    columns = (h[first].view(np.int64), w[first].view(np.int64), c[at_][first].astype(np.int32), merged[first], n.astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["h", "w", "own", "merged", "n"])
-
-    # one exchange by word (rare, so no key is hot) gives both the pair's and the word's count
-    sent = _written(docs.mapInArrow(count, fields), "katz-merged-sent")
-    keys = ["h", "w", "own", "merged"]
-    others = sent.filter(F.col("own") == OTHER).repartition("w").groupBy(*keys).agg(F.sum("n").alias("c"))
-    others = others.withColumn("cw", F.sum("c").over(Window.partitionBy("w")))
-    known = sent.filter(F.col("own") != OTHER).groupBy(*keys).agg(F.sum("n").alias("c")).withColumn("cw", F.lit(0).cast("long"))
-    counted = _written(others.unionByName(known), "katz-merged")
-    drop_table(sent)
-    d = discounts(counted.filter(F.col("c") <= DISCOUNTED + 1).groupBy(F.col("c").alias("count")).agg(F.count(F.lit(1)).alias("keys")).toPandas())
-
-    def weigh(batches):
-        m, after = shared.value
-        for batch in batches:
-            h, w, own, merged, c, cw = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-            q = np.where(merged, after[own], 1.0)
-            at = own == OTHER
-            q[at] *= 10 ** m.score_others(cw[at])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, w, c, d[np.where(c <= DISCOUNTED, c, 0)] * c, q)], names=["h", "w", "c", "d", "q"])
-
-    weighed = counted.mapInArrow(weigh, "h long, w long, c long, d double, q double")
-    sums = weighed.groupBy("h").agg(F.sum("c").alias("n"), F.sum("d").alias("d_"), F.sum("q").alias("q_"))
-    left = F.log10((1 - F.col("d_") / (F.col("n") + 1)) / F.greatest(1 - F.col("q_"), F.lit(1e-15)))
-    histories = _written(sums.select("h", "n", left.alias("left")), "katz-histories")
-    adds = F.col("own") - F.log10(F.col("n") + 1) - F.col("left")
-    seen = weighed.select("h", "w", F.log10(F.col("d") / F.col("q")).alias("own")).join(histories, "h").select(F.lit(3).alias("kind"), "h", "w", adds.alias("value"))
-    rows = seen.unionByName(histories.select(F.lit(4).alias("kind"), "h", F.lit(0).cast("long").alias("w"), F.col("left").alias("value")))
-
-    def place(batches):
-        for batch in batches:
-            kind, h, w = (x.to_numpy() for x in batch.columns[:3])
-            key = np.where(kind == 3, pair_keys(h.view(np.uint64), w.view(np.uint64)), h.view(np.uint64))
-            to = (scramble(key) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to), pa.array(key.view(np.int64)), batch.column(3)], names=["kind", "bucket", "key", "value"])
+    return score
 
-    def gather(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows["key"].to_numpy().view(np.uint64)
-        by = np.argsort(keys)
-        return pd.DataFrame({"kind": [rows["kind"].iloc[0]], "bucket": [rows["bucket"].iloc[0]], "keys": [pack(keys[by])], "counts": [pack(rows["value"].to_numpy()[by])]})
 
-    placed = rows.mapInArrow(place, "kind int, bucket int, key long, value double")
-    table = _written(placed.groupBy("kind", "bucket").applyInPandas(gather, "kind int, bucket int, keys binary, counts binary"), "katz-added")
-    drop_table(counted)
-    drop_table(histories)
-    return table
+RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SENT = "kind int, bucket int, batch string, at binary, keys binary, n binary, doc binary"
+def read_stats(counted: DataFrame) -> np.ndarray:
+    """Per order the counts of counts, distinct keys and sum of counts over all buckets."""
 
+    def spread(batches):
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(x) // 8), pa.int32()), pa.array(np.frombuffer(x, np.int64))], names=["at", "n"])
 
-def score_texts(docs: DataFrame, model: Katz, words: DataFrame, pairs: DataFrame, merged: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    out = np.zeros(3 * (DISCOUNTED + 3), np.int64)
+    for r in counted.filter("kind = 'stats'").select("a").mapInArrow(spread, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out.reshape(3, -1)
 
-    Frequent words and pairs are scored where the text is. The others go to the buckets of the tables,
-    meet their counts there, and come back summed up by text.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
 
-    def send(batches):
-        m, hashes, number = shared.value, WordHashes(), 0
-        context = TaskContext.get()
-        for batch in batches:
-            for begin in range(0, batch.num_rows, BATCH):
-                part = batch.slice(begin, BATCH)
-                name, number = f"{context.partitionId()}-{number}", number + 1
-                of, keys = [], []
-                for i, x in enumerate(texts_of(part.column(1))):
-                    t = tokens(x, hashes)
-                    keys.append(t)
-                    of.append(np.full(len(t), i, np.uint16))
-                sizes = np.array([len(x) for x in keys])
-                t, of = np.concatenate(keys), np.concatenate(of)
-                own = m.classes(t)
-                c = own.astype(np.uint64)
-                before = np.append(np.uint64(START), c[:-1])
-                before[np.cumsum(sizes)[:-1]] = START
-                pair = before << np.uint64(32) | c
-                # frequent words and the end
-                local = own != OTHER
-                known = m.word_counts
-                at = np.where(own == END, max(m.end_at, 0), own - 3)[local]
-                counts = known[at] if len(known) else np.zeros(0, np.int64)
-                if m.end_at < 0:
-                    counts = np.where(own[local] == END, 0, counts) if len(known) else np.zeros(int(local.sum()), np.int64)
-                rows = part.num_rows
-                base = np.bincount(of[local], m.base(counts), rows)
-                hits = np.bincount(of[local], counts > 0, rows)
-                # frequent pairs
-                where = np.minimum(np.searchsorted(m.known_pairs, pair), max(len(m.known_pairs) - 1, 0))
-                found = m.known_pairs[where] == pair if len(m.known_pairs) else np.zeros(len(pair), bool)
-                score = np.bincount(of[found], m.score_pairs(pair[found], m.known_counts[where[found]]), rows) if found.any() else np.zeros(rows)
-                doc = pack(np.array([(0 if d is None else d, d is None, not trains(d)) for d in part.column(0).to_pylist()], np.int64))
-                sent = [(0, 0, name, pack(sizes.astype(np.int64)), pack(np.stack([base, score])), pack(hits.astype(np.int64)), doc)]
-                own_pairs, h, w = merged_pairs(t, own)
-                for kind, k, d in ((1, t[~local], of[~local]), (2, pair[~found], of[~found]), (3, pair_keys(h, w), of[own_pairs]), (4, h, of[own_pairs])):
-                    by = np.lexsort((d, k))
-                    k, d = k[by], d[by]
-                    new = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.zeros(0, np.int64)
-                    n = np.diff(np.append(new, len(k))).astype(np.uint32)
-                    k, d = k[new], d[new]
-                    sent += [(kind, b, name, pack(d[at]), pack(k[at]), pack(n[at]), None) for b, at in _bucketed(k, buckets)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(zip(*sent), (pa.int32(), pa.int32(), pa.string(), *[pa.binary()] * 4))], names=[x.split()[0] for x in SENT.split(", ")])
-
-    def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        m, kind = shared.value, key[0]
-        if not len(left):  # a bucket that no text asks for
-            return pd.DataFrame()
-        out = {"batch": [], "kind": [], "at": [], "sums": [], "hits": [], "doc": []}
-        keys = unpack(right["keys"].iloc[0], np.uint64) if len(right) else np.zeros(0, np.uint64)
-        counts = unpack(right["counts"].iloc[0], np.int64 if kind < 3 else np.float64) if len(right) else np.zeros(0, np.int64)
-        for r in left.itertuples():
-            at, k, n = unpack(r.at, np.uint16), unpack(r.keys, np.uint64), unpack(r.n, np.uint32)
-            where = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-            c = np.where(keys[where] == k, counts[where], 0) if len(keys) else np.zeros(len(k), np.int64)
-            docs_, inverse = np.unique(at, return_inverse=True)
-            base = np.bincount(inverse, n * m.base(c)) if kind == 1 else np.zeros(len(docs_))
-            score = np.bincount(inverse, n * (m.score_others(c) if kind == 1 else m.score_pairs(k, c) if kind == 2 else c))
-            hits = np.bincount(inverse, n * (c > 0)).astype(np.int64) if kind == 1 else np.zeros(len(docs_), np.int64)
-            for x, y in zip(out, (r.batch, 1, pack(docs_), pack(np.stack([base, score])), pack(hits), None)):
-                out[x].append(y)
-        return pd.DataFrame(out)
-
-    def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows[rows["kind"] == 0].iloc[0]
-        sizes, hits = unpack(own["at"], np.int64), unpack(own["hits"], np.int64).copy()
-        sums = unpack(own["sums"], np.float64).reshape(2, -1).copy()
-        doc = unpack(own["doc"], np.int64).reshape(-1, 3)
-        for r in rows[rows["kind"] == 1].sort_values("sums").itertuples():
-            at = unpack(r.at, np.uint16)
-            sums[:, at] += unpack(r.sums, np.float64).reshape(2, -1)
-            hits[at] += unpack(r.hits, np.int64)
-        ids = pd.Series([None if none else i for i, none in zip(doc[:, 0].tolist(), doc[:, 1])], dtype=object)
-        return pd.DataFrame({"doc_id": ids, "held_out": doc[:, 2] == 1, "n_tokens": sizes, "n_known": hits, "base_score": np.round(sums[0], 6), "score": np.round(sums[1], 6)})
-
-    sent = _written(docs.mapInArrow(send, SENT), "katz-sent")
-    tables = words.withColumn("kind", F.lit(1)).unionByName(pairs.withColumn("kind", F.lit(2))).unionByName(merged)
-    middle = "batch string, kind int, at binary, sums binary, hits binary, doc binary"
-    met = sent.filter("kind > 0").groupBy("kind", "bucket").cogroup(tables.groupBy("kind", "bucket")).applyInPandas(meet, middle)
-    own = sent.filter("kind = 0").select("batch", "kind", "at", F.col("keys").alias("sums"), F.col("n").alias("hits"), "doc")
-    result = own.unionByName(met).groupBy("batch").applyInPandas(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return result.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **fit) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
     """Scores all whole texts; learns from those whose crc32(id as text) mod 7 is not 2 (null ids too).
 
     A null or empty text is its end alone. Equal rows are scored each; an empty table gives an empty
-    result. Scores are rounded to six decimals, as sums may be added in another order.
+    result; other columns, whatever their names, are not read. Scores are rounded to six decimals.
+    The tables of counts and of contexts' sums stay in the shared folder until the session's end.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    model, words, pairs, buckets = fit_katz(rows, **fit)
-    return score_texts(rows, model, words, pairs, fit_merged(rows, model, pairs, buckets), buckets)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(32, size // 5 // bucket + 1)
+    counted = write_table(send_ngrams(rows, buckets).groupBy("bucket").applyInPandas(_count, FIELDS), "katz-counts", by="kind")
+    model = Model(read_stats(counted))
+    texts = counted.filter("kind in ('home', 'answer')")
+    added = texts.groupBy("batch").applyInPandas(_contexts(model, buckets), FIELDS)
+    weighed = write_table(added.groupBy("bucket").applyInPandas(_weigh, FIELDS), "katz-weights", by="kind")
+    return texts.unionByName(weighed.filter("kind = 'sums'")).groupBy("batch").applyInPandas(_score(model), RESULT)
