@@ -1,98 +1,135 @@
-"""Line deduplication: a suffix array over line-ID sequences by prefix doubling, later copies of repeated runs deleted."""
+"""Line deduplication: prefix doubling over line-ID sequences, LCP intervals, later copies of repeated runs deleted.
+
+A suffix is a text from one of its lines on. Doubling ranks the suffixes by their first 1, 2, 4, ...
+lines until no two are equal. From the longest such prefixes down, the ranks split the suffixes into
+the intervals of the suffix array with one longest common prefix: that tells, for each suffix, how many
+lines it has in common with an earlier one, and where those stand first.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from filingscope.llm.common import texts_of, write_table
+from filingscope.llm.common import drop_table, texts_of, write_table
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 6
 
 
-def run_lengths(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per line, the lines of the shortest run with `least` words that starts there, and that ends there (0: none)."""
+def run_lengths(words: np.ndarray, least: int) -> np.ndarray:
+    """Per line, the lines of the shortest run with `least` words that starts there (0: none)."""
     total = np.concatenate([[0], np.cumsum(words)])
     end = np.searchsorted(total, total[:-1] + least)
-    begin = np.searchsorted(total, total[1:] - least, side="right") - 1
-    at = np.arange(len(words))
-    return np.where(end <= len(words), end - at, 0), np.where(total[1:] >= least, at + 1 - begin, 0)
+    return np.where(end <= len(words), end - np.arange(len(words)), 0)
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """(doc, row, text) -> lines with a word: doc, row, at (among the text's lines with a word), id, ahead, behind."""
-    schema = "doc long, row long, at int, id long, ahead int, behind int"
+    """(doc, row, text) -> lines with a word: doc, row, at (among the text's lines with a word), id, ahead."""
+    schema = "doc long, row long, at int, id long, ahead int"
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
 
     def cut(batches):
         import xxhash
 
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], []]
             for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))):
                 lines = [(x, len(x.split())) for x in (text or b"").split(b"\n")]
                 lines = [x for x in lines if x[1]]
-                ahead, behind = run_lengths(np.array([n for _, n in lines], np.int64), least)
                 ids = np.array([xxhash.xxh3_64_intdigest(x.strip()) for x, _ in lines], np.uint64).view(np.int64)
-                for c, new in zip(cols, ([doc] * len(lines), [row] * len(lines), range(len(lines)), ids, ahead, behind)):
+                ahead = run_lengths(np.array([n for _, n in lines], np.int64), least)
+                for c, new in zip(cols, ([doc] * len(lines), [row] * len(lines), range(len(lines)), ids, ahead)):
                     c.extend(new)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=[x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
     return docs.select("doc", "row", "text").mapInArrow(cut, schema)
 
 
 def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """row, at and the rank of its keys among the sorted keys that occur twice or more; the others are dropped."""
+    """doc, row, at and the rank of its keys among the sorted keys that occur twice or more; the others are dropped."""
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # ids of a range-sorted table are in the keys' order
     ranks = write_table(twice.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
-    return write_table(rows.join(ranks, keys).select("row", "at", "rank"), name)
+    found = write_table(rows.join(ranks, keys).select("doc", "row", "at", "rank"), name)
+    drop_table(ranks)
+    return found
 
 
-def suffix_ranks(lines: DataFrame, most: int) -> dict[int, DataFrame]:
-    """h -> (row, at, rank): the suffixes' ranks by their first h lines, for h = 1, 2, 4, ... up to most.
+def suffix_ranks(lines: DataFrame) -> dict[int, DataFrame]:
+    """h -> (doc, row, at, rank): the suffixes' ranks by their first h lines, for h = 1, 2, 4, ... until none are equal.
 
     Each round sorts the pairs (rank at h, rank h lines on). Suffixes whose first h lines occur once
-    are in no repeated run of h lines and drop out, so later rounds have fewer rows; equal ranks are
-    the intervals of the suffix array with a longest common prefix of h lines or more. It ends when
-    no suffixes are left or when h lines reach the longest run that is asked for.
+    are in no repeated run of h lines and drop out, so later rounds have fewer rows.
     """
     h, levels = 1, {}
     found = _ranked(lines, ["id"], "suffixes")
-    while True:
+    while not found.isEmpty():
         levels[h] = found
-        if 2 * h > most or found.isEmpty():
-            return levels
         later = found.select("row", (F.col("at") - h).alias("at"), F.col("rank").alias("later"))
         found = _ranked(found.join(later, ["row", "at"]).withColumnRenamed("rank", "first"), ["first", "later"], "suffixes")
         h *= 2
+    drop_table(found)
+    return levels
 
 
-def later_copies(lines: DataFrame) -> DataFrame:
-    """(row, first, n): line runs that stand earlier too, which cover all later copies of maximal repeated runs.
+def earlier_copies(levels: dict[int, DataFrame]) -> DataFrame | None:
+    """(row, at, n, origin): for each suffix with an earlier one that starts with the same line, the most lines n that
+    it has in common with an earlier one, and the place (doc, row, at) where these n lines stand first.
 
-    A maximal run is the union of the shortest qualifying runs within it, those that start and those
-    that end at each of its lines. Such a run of n lines is named by its ranks at the largest power of
-    two that fits, at its start and up to its end; of equal names all but the first by document
-    and line are later copies.
+    Suffixes are in groups of which the first n lines are known to be equal; at the beginning there is
+    one, with n = 0. Each step, of half the lines of the last, splits the groups by the next s lines.
+    What is equal there is a group with n + s lines, an interval of the suffix array with that common
+    prefix; in the group with n only its first suffix stays, as the others have s lines more in common
+    with that one, and for the rest of the group they are no better. So each suffix is looking for
+    earlier copies in one group only, the number of rows is twice that of the suffixes at most, and no
+    task needs a group as a whole.
+    """
+    place = F.struct("doc", "row", "at")
+    deeper = gone = None
+    for s in sorted(levels, reverse=True):
+        ranks = levels[s]
+        whole = ranks if gone is None else ranks.join(gone, ["row", "at"], "left_anti")
+        rows = whole.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("n"), "doc", "row", "at", F.lit(True).alias("seeks"), "rank", F.lit(None).cast("struct<doc:long,row:long,at:int>").alias("origin"))
+        if deeper is not None:
+            ahead = ranks.select("row", F.col("at").alias("next"), "rank")
+            rows = rows.unionByName(deeper.withColumn("next", F.col("at") + F.col("n")).join(ahead, ["row", "next"], "left").drop("next"))
+        rows = write_table(rows, "line-groups")
+        parts = rows.filter("rank is not null").groupBy("group", "rank").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
+        parts = write_table(parts, "line-parts")  # as a table, its join with a line that very many texts have can be split
+        split = write_table(rows.join(parts, ["group", "rank"], "left").withColumn("leads", (F.col("lead.row") == F.col("row")) & (F.col("lead.at") == F.col("at"))), "line-split")
+        stay = split.filter("group != 0 and (lead is null or leads)").select("group", "n", "doc", "row", "at", "seeks", "origin")
+        inner = split.filter("lead is not null")
+        inner = inner.select(F.xxhash64("group", "n", F.lit(s), "rank").alias("group"), (F.col("n") + s).alias("n"), "doc", "row", "at", (F.col("seeks") & ~F.col("leads")).alias("seeks"), F.when(F.col("leads"), F.col("origin")).otherwise(F.col("lead")).alias("origin"))
+        left = inner.filter("n = %d and seeks" % s).select("row", "at")
+        former = [x for x in (deeper, gone) if x is not None]
+        left = left if gone is None else left.unionByName(gone)
+        deeper, gone = write_table(stay.unionByName(inner), "line-deeper"), write_table(left, "line-gone")
+        drop_table(rows, parts, split, *former)
+    if gone is not None:
+        drop_table(gone)
+    return None if deeper is None else deeper.filter("seeks").select("row", "at", "n", "origin")
+
+
+def repeated_runs(lines: DataFrame) -> DataFrame | None:
+    """(row, first, n, origin): all maximal runs of lines with an earlier copy, as long as `ahead` asks for; None: no lines.
+
+    A run goes on as far as an earlier copy of it does, and is left out if it is part of the run that starts a line before.
     """
-    runs = lines.filter("ahead > 0").select("doc", "row", F.col("at").alias("first"), F.col("ahead").alias("n"))
-    runs = runs.unionByName(lines.filter("behind > 0").select("doc", "row", (F.col("at") + 1 - F.col("behind")).alias("first"), F.col("behind").alias("n"))).distinct()
-    most = lines.agg(F.max(F.greatest("ahead", "behind"))).first()[0] or 1
-    copies = None
-    for h, ranks in suffix_ranks(lines, most).items():
-        own = runs.filter((F.col("n") >= h) & (F.col("n") < 2 * h))
-        named = own.join(ranks.select("row", F.col("at").alias("first"), F.col("rank").alias("a")), ["row", "first"])
-        named = named.withColumn("last", F.col("first") + F.col("n") - h)
-        named = named.join(ranks.select("row", F.col("at").alias("last"), F.col("rank").alias("b")), ["row", "last"])
-        firsts = named.groupBy("n", "a", "b").agg(F.min(F.struct("doc", "row", "first")).alias("origin"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-        firsts = write_table(firsts, "firsts")  # as a table, its join with a run that very many texts have can be split
-        later = named.join(firsts, ["n", "a", "b"]).filter(F.struct("doc", "row", "first") > F.col("origin")).select("row", "first", "n")
-        copies = later if copies is None else copies.unionByName(later)
-    return copies
+    levels = suffix_ranks(lines)
+    found = earlier_copies(levels)
+    if found is None:
+        return None
+    before = Window.partitionBy("row").orderBy("at")  # the lines of one text
+    inside = (F.lag("at").over(before) == F.col("at") - 1) & (F.lag("n").over(before) == F.col("n") + 1)
+    maximal = found.withColumn("inside", F.coalesce(inside, F.lit(False))).filter("not inside")
+    asked = lines.filter("ahead > 0").select("row", "at", "ahead")
+    runs = write_table(maximal.join(asked, ["row", "at"]).filter("n >= ahead").select("row", F.col("at").alias("first"), "n", "origin"), "runs")
+    drop_table(found, *levels.values())
+    return runs
 
 
 def _delete(batches):
@@ -126,7 +163,8 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     Lines are compared without outer white space; lines without a word are no part of a run and stay.
     Of each maximal run of equal lines with min_words words at least that occurs again, in one text or
     in others, the first copy by id (nulls first) and place stays whole and later ones are deleted; of
-    rows with one id any counts as first. Other columns are kept (but for such as have the names of
+    rows with one id any counts as first. A run is as long as an earlier copy of it, wherever that
+    stands, and may overlap its own copy. Other columns are kept (but for such as have the names of
     what is made here); n_chars, if there is one, follows the new text. Null texts stay null.
     """
     others = [c for c in docs.columns if c != text_col and c not in MADE]
@@ -134,7 +172,10 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     rows = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     rows = write_table(rows.withColumn("row", F.monotonically_increasing_id()), "line-docs")
     lines = write_table(line_table(rows, min_words), "lines")
-    runs = write_table(later_copies(lines), "runs").groupBy("row").agg(F.collect_set(F.struct("first", "n")).alias("r"))
+    runs = repeated_runs(lines)
+    drop_table(lines)
+    found = F.array_distinct(F.collect_list(F.struct("first", "n"))).alias("r")
+    runs = rows.select("row").limit(0).select("row", F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("n"))).alias("r")) if runs is None else runs.groupBy("row").agg(found)
     joined = rows.drop("doc").join(runs, "row", "left").select(*[f"c{i}" for i in range(len(others))], "text", "r.first", "r.n")
     schema = joined.drop("first", "n", "text").schema
     for name, kind in zip(("text", *MADE), (T.StringType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()))):
