@@ -68,12 +68,20 @@ def unpack(data: bytes, kind) -> np.ndarray:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted unsigned 64-bit keys as their differences, byte plane by byte plane: the upper planes are nearly all 0."""
-    return pack(np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T)
+    """Sorted unsigned 64-bit keys as their differences, byte plane by byte plane: the upper planes are all 0 and left out."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    parts = [pack(x) if x.any() else b"" for x in planes]
+    return np.array([len(keys), *(len(x) for x in parts)], np.uint32).tobytes() + b"".join(parts)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(unpack(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    n, *sizes = np.frombuffer(data[:36], np.uint32).tolist()
+    out, at = np.zeros((n, 8), np.uint8), 36
+    for i, size in enumerate(sizes):
+        if size:
+            out[:, i] = unpack(data[at : at + size], np.uint8)
+        at += size
+    return np.cumsum(out.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def slices_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +90,9 @@ def slices_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(keys)) if len(keys) else starts
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets as ranges of the upper 32 bits: sorted keys are in the order of their buckets."""
-    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def bucket_of(keys: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
+    """Buckets as ranges of the upper 32 of a key's bits: sorted keys are in the order of their buckets."""
+    return ((keys >> np.uint64(bits - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def texts_of(column: pa.Array) -> list[bytes | None]:

@@ -1,8 +1,8 @@
 """Katz backoff over words: Good-Turing discounted trigrams, bigrams and unigrams with exactly normalised backoff weights.
 
-Texts are read once and become messages of about a million tokens: the words, their order, and each
-n-gram of the message once. N-grams go to the buckets of partitioned tables, which sum up the training
-counts and answer each message. Every n-gram that the training texts have belongs to one message,
+Texts are read once and become messages of about a million tokens, a table of words and their order.
+Each n-gram of a message goes to a bucket of the partitioned tables once; the buckets sum up the
+training counts and answer each message. Every n-gram that the training texts have belongs to one message,
 which adds its discounted count and its probability at the next lower order to its context; the
 contexts are summed up in the same buckets, and a message gets the sums of those from which its
 texts back off. Then each token is evaluated recursively: trigram, else bigram, else word, else the
@@ -17,7 +17,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope.llm.common import MIX, WordHashes, bucket_of, pack, pack_sorted, scramble, slices_of, texts_of, unpack, unpack_sorted, write_table
@@ -25,7 +25,9 @@ from filingscope.llm.common import MIX, WordHashes, bucket_of, pack, pack_sorted
 #: Counts up to which Good-Turing discounts.
 DISCOUNTED = 5
 #: Tokens of a message (a longer text is one by itself), texts of a message, and keys of a bucket, on average.
-MESSAGE_TOKENS, MESSAGE_TEXTS, BUCKET = 1_000_000, 20_000, 2_000_000
+MESSAGE_TOKENS, MESSAGE_TEXTS, BUCKET = 1_000_000, 20_000, 1_000_000
+#: Bits of a key, two of them the order. Of n keys about n * n / 2**55 pairs are equal by chance: 700 of 5 billion.
+KEY_BITS = 56
 END_KEY, START_KEY = np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,6 +72,10 @@ class Model:
         return np.log10((counts + 1) / (self.n + self.v + 1))
 
 
+def _keys(hashes: np.ndarray, order: int) -> np.ndarray:
+    return hashes >> np.uint64(66 - KEY_BITS) << np.uint64(2) | np.uint64(order)
+
+
 class Message:
     """Texts as sequences of local word numbers, and each of their n-grams once.
 
@@ -95,30 +101,17 @@ class Message:
         h2 = scramble(h1[self.context2] * MIX[0] + h1[self.word2] * MIX[1])
         h2 = np.append(h2, scramble(np.array([START_KEY]) * MIX[2]))
         h3 = scramble(h2[self.context3] * MIX[3] + h1[self.word3] * MIX[4])
-        low = np.uint64(3)
-        #: keys of contexts: words and the start, then bigrams and two starts; the lowest bits are the order
-        self.context_keys = np.concatenate([h1 & ~low | np.uint64(1), h2 & ~low | np.uint64(2)])
-        self.keys = np.concatenate([self.context_keys[:v], self.context_keys[v + 1 : -1], h3 & ~low | low])
+        #: keys of contexts: words and the start, then bigrams and two starts
+        self.context_keys = np.concatenate([_keys(h1, 1), _keys(h2, 2)])
+        self.keys = np.concatenate([self.context_keys[:v], self.context_keys[v + 1 : -1], _keys(h3, 3)])
         self.by = np.argsort(self.keys)
 
-    @classmethod
-    def of_texts(cls, texts: list[np.ndarray]) -> "Message":
-        words, seq = np.unique(np.concatenate(texts), return_inverse=True)
-        # frequent words get small numbers, so that the sequence packs well
-        by = np.argsort(-np.bincount(seq), kind="stable")
-        place = np.empty(len(by), np.int64)
-        place[by] = np.arange(len(by))
-        return cls(words[by], place[seq], np.array([len(x) for x in texts]))
-
     def counts(self, train: np.ndarray) -> np.ndarray:
         """Of each key, in the order of keys: tokens of training texts."""
         at = np.repeat(train, self.sizes)
         numbers = (len(self.words), len(self.context2), len(self.context3))
         return np.concatenate([np.bincount(x[at], minlength=n) for x, n in zip((self.one, self.two, self.three), numbers)])
 
-    def packed(self, docs: np.ndarray) -> tuple[bytes, bytes, bytes]:
-        return pack(self.words), pack(self.one.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), pack(np.column_stack([docs, self.sizes]))
-
     @classmethod
     def unpacked(cls, a: bytes, b: bytes, c: bytes) -> tuple["Message", np.ndarray]:
         docs = unpack(c, np.int64).reshape(-1, 4)
@@ -131,20 +124,21 @@ NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 KINDS = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def send_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
-    """(id, text) -> messages: their texts (kind home) and, by bucket, their n-grams with training counts (kind asks)."""
+def read_texts(docs: DataFrame) -> DataFrame:
+    """(id, text) -> messages (kind home)."""
 
     def send(batches):
         part, hashes, number, about, texts, total = TaskContext.get().partitionId(), WordHashes(), 0, [], [], 0
 
         def flush():
-            message = Message.of_texts(texts)
-            docs_ = np.array([(d or 0, d is None, trains(d)) for d in about], np.int64)
-            keys, counts = message.keys[message.by], message.counts(docs_[:, 2] == 1)[message.by]
-            name = f"{part}-{number}"
-            rows = [("home", name, number % buckets, *message.packed(docs_))]
-            rows += [("asks", name, int(to), pack_sorted(keys[a:b]), pack(counts[a:b]), None) for to, a, b in _buckets(keys, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
+            sizes = [len(x) for x in texts]
+            words, seq = np.unique(np.concatenate(texts), return_inverse=True)
+            # frequent words get small numbers, so that the sequence packs well
+            by = np.argsort(-np.bincount(seq), kind="stable")
+            place = np.empty(len(by), np.uint32)
+            place[by] = np.arange(len(by))
+            docs_ = np.array([(d or 0, d is None, trains(d), n) for d, n in zip(about, sizes)], np.int64)
+            return _batch([("home", f"{part}-{number}", None, pack(words[by]), pack(place[seq].view(np.uint8).reshape(-1, 4).T), pack(docs_))])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
@@ -160,41 +154,60 @@ def send_ngrams(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(send, FIELDS)
 
 
+def ask_counts(homes: DataFrame, buckets: int) -> DataFrame:
+    """Messages -> by bucket, their n-grams with training counts (kind asks)."""
+
+    def ask(batches):
+        for batch in batches:
+            for name, a, b, c in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
+                message, docs_ = Message.unpacked(a.as_py(), b.as_py(), c.as_py())
+                keys, counts = message.keys[message.by], message.counts(docs_[:, 2] == 1)[message.by]
+                yield _batch([("asks", name, int(to), pack_sorted(keys[x:y]), pack(counts[x:y]), None) for to, x, y in _buckets(keys, buckets)])
+
+    return homes.select("batch", "a", "b", "c").mapInArrow(ask, FIELDS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], names=NAMES)
+
+
 def _buckets(keys: np.ndarray, buckets: int):
-    to = bucket_of(keys, buckets)
+    to = bucket_of(keys, buckets, KEY_BITS)
     for a, b in zip(*slices_of(to)):
         yield to[a], a, b
 
 
-def _count(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's messages -> its table of counts, the answers, and its counts of counts.
+def _count(keep: bool):
+    """A bucket's messages -> the answers, its counts of counts and, if they are kept, its table of counts.
 
     An answer is twice a key's count, and one more in the message that the key belongs to, the first that trains on it.
     """
-    rows = rows.sort_values("batch")
-    home, asks = rows[rows["kind"] == "home"], rows[rows["kind"] == "asks"]
-    if not len(asks):
-        return home
-    parts = [unpack_sorted(x) for x in asks["a"]]
-    keys, own = np.concatenate(parts), np.concatenate([unpack(x, np.int64) for x in asks["b"]])
-    by = np.argsort(keys, kind="stable")
-    keys, own = keys[by], own[by]
-    starts, ends = slices_of(keys)
-    totals = np.add.reduceat(own, starts)
-    value = np.repeat(2 * totals, ends - starts)
-    value[np.minimum.reduceat(np.where(own > 0, np.arange(len(own)), len(own) - 1), starts)[totals > 0]] += 1
-    answer = np.empty(len(value), np.int64)
-    answer[by] = value
-    cuts = np.cumsum([0, *(len(x) for x in parts)])
-    bucket = int(asks["bucket"].iloc[0])
-    out = [("answer", name, bucket, None, pack(answer[a:b]), None) for name, a, b in zip(asks["batch"], cuts, cuts[1:])]
-    keys, totals = keys[starts][totals > 0], totals[totals > 0]
-    stats = np.zeros((3, DISCOUNTED + 3), np.int64)
-    for order in (1, 2, 3):
-        c = totals[keys & np.uint64(3) == order]
-        stats[order - 1] = [*(np.sum(c == r) for r in range(1, DISCOUNTED + 2)), len(c), c.sum()]
-    out += [("counts", None, bucket, pack_sorted(keys), pack(totals), None), ("stats", None, bucket, stats.tobytes(), None, None)]
-    return pd.concat([home, pd.DataFrame(out, columns=NAMES)])
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("batch")
+        keys, own = np.concatenate([unpack_sorted(x) for x in rows["a"]]), np.concatenate([unpack(x, np.int64) for x in rows["b"]])
+        sizes = [int(np.frombuffer(x[:4], np.uint32)[0]) for x in rows["a"]]
+        by = np.argsort(keys, kind="stable")
+        keys, own = keys[by], own[by]
+        starts, ends = slices_of(keys)
+        keys, totals = keys[starts], np.add.reduceat(own, starts)
+        value = np.repeat(2 * totals, ends - starts)
+        value[np.minimum.reduceat(np.where(own > 0, np.arange(len(own)), len(own) - 1), starts)[totals > 0]] += 1
+        answer = np.empty(len(value), np.int64)
+        answer[by] = value
+        cuts = np.cumsum([0, *sizes])
+        bucket = int(rows["bucket"].iloc[0])
+        out = [("answer", name, bucket, None, pack(answer[a:b]), None) for name, a, b in zip(rows["batch"], cuts, cuts[1:])]
+        keys, totals = keys[totals > 0], totals[totals > 0]
+        stats = np.zeros((3, DISCOUNTED + 3), np.int64)
+        for order in (1, 2, 3):
+            c = totals[keys & np.uint64(3) == order]
+            stats[order - 1] = [*(np.sum(c == r) for r in range(1, DISCOUNTED + 2)), len(c), c.sum()]
+        out += [("stats", None, bucket, stats.tobytes(), None, None)]
+        out += [("counts", None, bucket, pack_sorted(keys), pack(totals), None)] if keep else []
+        return pd.DataFrame(out, columns=NAMES)
+
+    return count
 
 
 def _opened(rows: pd.DataFrame) -> tuple[Message, np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -236,21 +249,26 @@ def _contexts(model: Model, buckets: int):
     return contexts
 
 
-def _weigh(rows: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's contexts -> their sums as a table (kind weights), and those that messages need (kind sums)."""
-    rows = rows.sort_values("batch")
-    parts = [unpack_sorted(x) for x in rows["a"]]
-    keys, own = np.concatenate(parts), np.concatenate([unpack(x, np.float64).reshape(2, -1) for x in rows["b"]], axis=1)
-    needed = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows["c"], parts)])
-    by = np.argsort(keys, kind="stable")
-    starts, ends = slices_of(keys[by])
-    totals = np.add.reduceat(own[:, by], starts, axis=1)
-    sums = np.empty(own.shape)
-    sums[:, by] = np.repeat(totals, ends - starts, axis=1)
-    cuts = np.cumsum([0, *(len(x) for x in parts)])
-    bucket = int(rows["bucket"].iloc[0])
-    out = [("sums", name, bucket, None, pack(sums[:, a:b][:, needed[a:b]]), None) for name, a, b in zip(rows["batch"], cuts, cuts[1:]) if needed[a:b].any()]
-    return pd.DataFrame([*out, ("weights", None, bucket, pack_sorted(keys[by][starts]), pack(totals), None)], columns=NAMES)
+def _weigh(keep: bool):
+    """A bucket's contexts -> the sums of those that messages need (kind sums) and, if they are kept, all as a table (kind weights)."""
+
+    def weigh(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("batch")
+        parts = [unpack_sorted(x) for x in rows["a"]]
+        keys, own = np.concatenate(parts), np.concatenate([unpack(x, np.float64).reshape(2, -1) for x in rows["b"]], axis=1)
+        needed = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(rows["c"], parts)])
+        by = np.argsort(keys, kind="stable")
+        starts, ends = slices_of(keys[by])
+        totals = np.add.reduceat(own[:, by], starts, axis=1)
+        sums = np.empty(own.shape)
+        sums[:, by] = np.repeat(totals, ends - starts, axis=1)
+        cuts = np.cumsum([0, *(len(x) for x in parts)])
+        bucket = int(rows["bucket"].iloc[0])
+        out = [("sums", name, bucket, None, pack(sums[:, a:b][:, needed[a:b]]), None) for name, a, b in zip(rows["batch"], cuts, cuts[1:]) if needed[a:b].any()]
+        out += [("weights", None, bucket, pack_sorted(keys[by][starts]), pack(totals), None)] if keep else []
+        return pd.DataFrame(out, columns=NAMES)
+
+    return weigh
 
 
 def _left(seen: np.ndarray, lower: np.ndarray, history: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -308,19 +326,52 @@ def read_stats(counted: DataFrame) -> np.ndarray:
     return out.reshape(3, -1)
 
 
-def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, tables: str | None = None) -> DataFrame:
     """Scores all whole texts; learns from those whose crc32(id as text) mod 7 is not 2 (null ids too).
 
     A null or empty text is its end alone. Equal rows are scored each; an empty table gives an empty
     result; other columns, whatever their names, are not read. Scores are rounded to six decimals.
-    The tables of counts and of contexts' sums stay in the shared folder until the session's end.
+    Where tables names a folder, the counts of all n-grams and the sums of all contexts are kept there,
+    by bucket (read_counts, read_weights); else only what messages ask for leaves the buckets.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(32, size // 5 // bucket + 1)
-    counted = write_table(send_ngrams(rows, buckets).groupBy("bucket").applyInPandas(_count, FIELDS), "katz-counts", by="kind")
+    buckets = max(32, size * 5 // (16 * bucket) + 1)  # a token has about 5 bytes or more, and 1.6 keys
+    homes = write_table(read_texts(rows), "katz-texts")
+    counted = write_table(ask_counts(homes, buckets).groupBy("bucket").applyInPandas(_count(bool(tables)), FIELDS), "katz-counts", by="kind")
     model = Model(read_stats(counted))
-    texts = counted.filter("kind in ('home', 'answer')")
+    texts = homes.unionByName(counted.filter("kind = 'answer'"))
     added = texts.groupBy("batch").applyInPandas(_contexts(model, buckets), FIELDS)
-    weighed = write_table(added.groupBy("bucket").applyInPandas(_weigh, FIELDS), "katz-weights", by="kind")
+    weighed = write_table(added.groupBy("bucket").applyInPandas(_weigh(bool(tables)), FIELDS), "katz-weights", by="kind")
+    if tables:
+        counted.filter("kind = 'counts'").select("bucket", "a", "b").write.mode("overwrite").parquet(f"{tables}/counts")
+        weighed.filter("kind = 'weights'").select("bucket", "a", "b").write.mode("overwrite").parquet(f"{tables}/weights")
     return texts.unionByName(weighed.filter("kind = 'sums'")).groupBy("batch").applyInPandas(_score(model), RESULT)
+
+
+def read_counts(spark: SparkSession, tables: str) -> DataFrame:
+    """(bucket, key, order, n): each n-gram of the training texts by its key."""
+
+    def spread(batches):
+        for batch in batches:
+            for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                keys = unpack_sorted(a)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket, np.int32)), pa.array(keys.view(np.int64)), pa.array((keys & np.uint64(3)).astype(np.int32)), pa.array(unpack(b, np.int64))], names=["bucket", "key", "order", "n"])
+
+    return spark.read.parquet(f"{tables}/counts").select("bucket", "a", "b").mapInArrow(spread, "bucket int, key long, order int, n long")
+
+
+def read_weights(spark: SparkSession, tables: str) -> DataFrame:
+    """(bucket, key, order, seen, lower): each context by its key, with the discounted counts after it and their lower orders.
+
+    Its backoff weight is (1 - seen / (n + 1)) / (1 - lower / below), n being its count; below is 1 for a word
+    and, for a bigram, its last word's count and 1.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for bucket, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                keys, sums = unpack_sorted(a), unpack(b, np.float64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), bucket, np.int32)), pa.array(keys.view(np.int64)), pa.array((keys & np.uint64(3)).astype(np.int32)), pa.array(sums[0]), pa.array(sums[1])], names=["bucket", "key", "order", "seen", "lower"])
+
+    return spark.read.parquet(f"{tables}/weights").select("bucket", "a", "b").mapInArrow(spread, "bucket int, key long, order int, seen double, lower double")

@@ -543,6 +543,19 @@ def test_katz(spark, docs, rows, empty):
     assert [(r["n_known"], r["train_tokens"], r["score"]) for r in katz_scores(only).collect()] == [(0, 0, 0.0)]
 
 
+def test_katz_tables(spark, docs, rows, tmp_path):
+    from filingscope.llm.katz import katz_scores, read_counts, read_weights
+
+    katz_scores(docs, bucket=500, tables=f"file://{tmp_path}").count()
+    tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
+    _, after, count = brute_katz([x for (i, _), x in zip(rows, tokens) if i is None or zlib.crc32(str(i).encode()) % 7 != 2])
+    got = Counter((r["order"], r["n"]) for r in read_counts(spark, f"file://{tmp_path}").collect())
+    assert got == Counter((k + 1, c) for k in range(3) for x in after[k].values() for c in x.values())
+    weights = read_weights(spark, f"file://{tmp_path}")
+    assert weights.filter("seen > 0").groupBy("order").count().orderBy("order").collect() == [(1, len(after[1])), (2, len(after[2]))]
+    assert weights.select("bucket").distinct().count() > 20
+
+
 def test_katz_message_size_changes_nothing(spark, sf):
     from filingscope.llm import katz
 
