@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from filingscope.functions.columns import chunk_id, normalize_text, split_sentences
+from filingscope.tables import write_table
 
 
 def html_to_text(html):
@@ -34,14 +35,18 @@ def extract_sections(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumns({"risk_factors": section(text, r"(?i)Item\s+1A\.?\s+Risk\s+Factors", r"(?i)Item\s+(1B|2)\.?\s+"), "mda": section(text, r"(?i)Item\s+7\.?\s+Management", r"(?i)Item\s+(7A|8)\.?\s+")})
 
 
+#: The two forms of an item's heading up to the next item, the fewest characters, and how much is taken.
+ITEM_1A = [r"(?is)Item\s+1A[\.\s]+Risk\s+Factors(.*?)(?:Item\s+1B|Item\s+2[\.\s])", r"(?is)ITEM\s+1A(.*?)(?:ITEM\s+1B|ITEM\s+2)"]
+LEAST_ITEM, MOST_ITEM, MOST_HEAD = 500, 25_000, 15_000
+
+
 def extract_item_1a(text):
     """Risk factors: the first of two patterns with over 500 characters, else from the words on, else the beginning."""
     text = F.regexp_replace(text, r"\s+", " ")
-    a = F.regexp_extract(text, r"(?is)Item\s+1A[\.\s]+Risk\s+Factors(.*?)(?:Item\s+1B|Item\s+2[\.\s])", 1)
-    b = F.regexp_extract(text, r"(?is)ITEM\s+1A(.*?)(?:ITEM\s+1B|ITEM\s+2)", 1)
+    forms = [F.regexp_extract(text, pattern, 1) for pattern in ITEM_1A]
+    found = [F.when(F.length(x) > LEAST_ITEM, F.substring(F.trim(x), 1, MOST_ITEM)) for x in forms]
     at = F.instr(F.lower(text), "risk factors")
-    cut = lambda x: F.substring(F.trim(x), 1, 25_000)
-    return F.when(F.length(a) > 500, cut(a)).when(F.length(b) > 500, cut(b)).when(at > 1, F.substr(text, at, F.lit(25_000))).otherwise(F.substring(text, 1, 15_000))
+    return F.coalesce(*found, F.when(at > 1, F.substr(text, at, F.lit(MOST_ITEM))), F.substring(text, 1, MOST_HEAD))
 
 
 def sentences(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -51,20 +56,40 @@ def sentences(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataF
 
 def sections_pair_join(docs: DataFrame, company: str, order: str) -> DataFrame:
     """Each document with its company's one before it (null for the first)."""
-    before = F.lag(order).over(Window.partitionBy(company).orderBy(order))
-    return docs.withColumn("previous", before)
+    return _joined(docs, neighbours(docs, company, order), company, order).drop("next")
+
+
+def neighbours(docs: DataFrame, company: str, order: str) -> DataFrame:
+    """(company, order, previous, next) of all documents, whose texts are not moved.
+
+    The keys are sorted in ranges, so a company of very many documents is in several of them; the
+    ranges' first and last keys, a row for each, join them.
+    """
+    keys = write_table(docs.select(F.col(company).alias("c"), F.col(order).alias("o")).repartitionByRange("c", "o").withColumn("part", F.spark_partition_id()), "ordered")
+    within = Window.partitionBy("part", "c").orderBy("o")
+    ends = keys.groupBy("part").agg(F.min(F.struct("c", "o")).alias("low"), F.max(F.struct("c", "o")).alias("high"))
+    parts = Window.orderBy("part")  # a row per range
+    ends = ends.select("part", F.lag("high").over(parts).alias("former"), F.lead("low").over(parts).alias("latter"))
+    rows = keys.withColumns({"p": F.lag("o").over(within), "n": F.lead("o").over(within)}).join(F.broadcast(ends), "part")
+    beyond = lambda other: F.when(F.col(f"{other}.c").eqNullSafe(F.col("c")), F.col(f"{other}.o"))
+    return rows.select("c", "o", F.coalesce("p", beyond("former")).alias("previous"), F.coalesce("n", beyond("latter")).alias("next"))
+
+
+def _joined(docs: DataFrame, pairs: DataFrame, company: str, order: str) -> DataFrame:
+    same = F.col(company).eqNullSafe(F.col("c")) & F.col(order).eqNullSafe(F.col("o"))
+    return docs.join(pairs.dropDuplicates(["c", "o"]), same).drop("c", "o")
 
 
 def sentence_changes(docs: DataFrame, company: str, order: str, text_col: str = "text") -> DataFrame:
     """(company, order, sentence, change): sentences that a document adds to the one before, or that it lacks.
 
-    Both sides are found by one aggregation over (sentence, pair), so no pair of texts is compared whole.
+    Each text is split once, for itself and for the next one. Both sides are found by one aggregation
+    over (sentence, pair), so no pair of texts is compared whole.
     """
-    pairs = sections_pair_join(docs.select(company, order, text_col), company, order)
-    own = pairs.filter("previous is not null").select(company, F.col(order).alias("at"), F.explode(F.array_distinct(split_sentences(normalize_text(text_col)))).alias("sentence"), F.lit(1).alias("side"))
-    following = F.lead(order).over(Window.partitionBy(company).orderBy(order))
-    old = docs.select(company, order, text_col).withColumn("at", following).filter("at is not null").select(company, "at", F.explode(F.array_distinct(split_sentences(normalize_text(text_col)))).alias("sentence"), F.lit(2).alias("side"))
-    sides = own.unionByName(old).groupBy(company, "at", "sentence").agg(F.sum("side").alias("side")).filter("side < 3")
+    rows = _joined(docs.select(company, order, text_col), neighbours(docs, company, order), company, order)
+    own, old = F.when(F.col("previous").isNotNull(), F.struct(F.col(order).alias("at"), F.lit(1).alias("side"))), F.when(F.col("next").isNotNull(), F.struct(F.col("next").alias("at"), F.lit(2).alias("side")))
+    rows = rows.select(company, F.array_compact(F.array(own, old)).alias("roles"), F.explode(F.array_distinct(split_sentences(normalize_text(text_col)))).alias("sentence"))
+    sides = rows.select(company, "sentence", F.inline("roles")).groupBy(company, "at", "sentence").agg(F.sum("side").alias("side")).filter("side < 3")
     return sides.select(company, F.col("at").alias(order), "sentence", F.when(F.col("side") == 1, "added").otherwise("removed").alias("change"))
 
 
@@ -95,14 +120,14 @@ def snippet(text, needle, before: int = 90, after: int = 90):
 def keyword_search(docs: DataFrame, keywords: list[str], keys: list[str], text_col: str = "text") -> DataFrame:
     """Documents with a keyword: those matched, hits that don't overlap (case ignored), up to three snippets. All are read."""
     words = list(dict.fromkeys(w.strip().lower() for w in keywords if w.strip()))
-    text = F.regexp_replace(text_col, r"\s+", " ")
-    rows = docs.select(*keys, text.alias("_text"))
-    low = F.lower("_text")
-    hits = {w: ((F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w)).cast("long") for w in words}
-    found = F.array_compact(F.array(*[F.when(n > 0, F.lit(w)) for w, n in hits.items()]))
-    total = sum(hits.values(), F.lit(0))
-    snips = F.slice(F.array_distinct(F.array_compact(F.array(*[snippet(F.col("_text"), F.lit(w)) for w in words]))), 1, 3)
-    return rows.select(*keys, found.alias("matched"), total.alias("hits"), snips.alias("snippets")).filter("hits > 0")
+    rows = docs.select(*keys, F.regexp_replace(text_col, r"\s+", " ").alias("_text")).withColumn("_low", F.lower("_text"))
+    counts = F.array(*[F.struct(F.lit(w).alias("word"), ((F.length("_low") - F.length(F.replace("_low", F.lit(w), F.lit("")))) / len(w)).cast("long").alias("n")) for w in words])
+    # exploding one array keeps the filter from being evaluated again below; snippets are cut only for what is left
+    rows = rows.select(*keys, "_text", F.explode(F.array(counts)).alias("_counts"))
+    rows = rows.withColumn("_found", F.filter("_counts", lambda x: x["n"] > 0)).filter(F.size("_found") > 0)
+    total = F.aggregate("_found", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    snips = F.slice(F.array_distinct(F.transform(F.slice("_found", 1, 3), lambda x: snippet(F.col("_text"), x["word"]))), 1, 3)
+    return rows.select(*keys, F.transform("_found", lambda x: x["word"]).alias("matched"), total.alias("hits"), snips.alias("snippets"))
 
 
 def cut_text(text: str, size: int = 500, overlap: int = 100, slack: int = 50) -> list[tuple[int, int, int, str]]:
@@ -213,30 +238,28 @@ HEADINGS = [
 ]
 
 
-def context_windows(text: str, most: int = 70_000, opening: int = 22_000, before: int = 2_000, after: int = 7_000) -> str:
-    if len(text) <= most:
-        return text
-    clean = re.sub(r"\s+", " ", text).strip()
-    low, taken = clean.lower(), [("opening summary and offering front matter", 0, min(opening, len(clean)))]
-    for heading in HEADINGS:
-        at = low.find(heading)
-        lo, hi = max(0, at - before), min(len(clean), at + after)
-        if at >= 0 and all(hi <= a or lo >= b for _, a, b in taken):
-            taken.append((heading, lo, hi))
-    out: list[str] = []
-    for label, lo, hi in taken:
-        part = f"--- Filing context: {label} ---\n{clean[lo:hi]}"
-        if sum(len(x) + 2 for x in out) + len(part) > most:
-            break
-        out.append(part)
-    return "\n\n".join(out) or clean[:most]
-
-
-def filing_context_windows(docs: DataFrame, keys: list[str], text_col: str = "text", most: int = 70_000) -> DataFrame:
-    """A filing's opening and windows around its headings that don't overlap, within a length; short filings whole."""
-
-    @F.pandas_udf("string")
-    def windows(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: None if x is None else context_windows(x, most))
-
-    return docs.select(*keys, windows(text_col).alias("context"))
+OPENING = "opening summary and offering front matter"
+
+
+def filing_context_windows(docs: DataFrame, keys: list[str], text_col: str = "text", most: int = 70_000, opening: int = 22_000, before: int = 2_000, after: int = 7_000) -> DataFrame:
+    """A filing's opening and windows around its headings that don't overlap, within a length; short filings whole.
+
+    Headings are looked up in their order; one whose window overlaps a taken one is left out, and the
+    first part that does not fit ends the context.
+    """
+    rows = docs.select(*keys, F.col(text_col).alias("_text"), F.trim(F.regexp_replace(text_col, r"\s+", " ")).alias("_clean"))
+    rows = rows.withColumn("_low", F.lower("_clean"))
+    size = F.length("_clean")
+    window = lambda label, lo, hi: F.struct(F.lit(label).alias("label"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    places = [F.instr("_low", h) - 1 for h in HEADINGS]
+    found = F.array_compact(F.array(*[F.when(at >= 0, window(h, F.greatest(F.lit(0), at - before), F.least(size, at + after))) for h, at in zip(HEADINGS, places)]))
+    rows = rows.select(*keys, "_text", "_clean", F.array(window(OPENING, F.lit(0), F.least(size, F.lit(opening)))).alias("_first"), found.alias("_found"))
+    apart = lambda taken, x: F.forall(taken, lambda t: (x["hi"] <= t["lo"]) | (x["lo"] >= t["hi"]))
+    taken = F.aggregate("_found", F.col("_first"), lambda acc, x: F.when(apart(acc, x), F.array_append(acc, x)).otherwise(acc))
+    part = lambda x: F.concat(F.lit("--- Filing context: "), x["label"], F.lit(" ---\n"), F.substr("_clean", x["lo"] + 1, x["hi"] - x["lo"]))
+    start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+    join = lambda acc, p: F.when(acc["text"] == "", p).otherwise(F.concat(acc["text"], F.lit("\n\n"), p))
+    over = lambda acc, p: acc["full"] | (F.length(acc["text"]) + F.when(acc["text"] == "", 0).otherwise(2) + F.length(p) > most)
+    packed = F.aggregate(F.transform(taken, part), start, lambda acc, p: F.struct(F.when(over(acc, p), acc["text"]).otherwise(join(acc, p)).alias("text"), over(acc, p).alias("full")), lambda acc: acc["text"])
+    context = F.when(F.length("_text") <= most, F.col("_text")).otherwise(F.coalesce(F.nullif(packed, F.lit("")), F.substring("_clean", 1, most)))
+    return rows.select(*keys, context.alias("context"))

@@ -45,7 +45,7 @@ def issuer_watchlist_match(issuers: DataFrame, aliases: DataFrame, issuer_col: s
     names = issuers.select(F.col(issuer_col).alias("issuer")).filter("issuer is not null").distinct().withColumns({"norm": normalize_issuer("issuer"), "compact": compact_issuer("issuer")})
     by_class = share_class_match(F.col("ticker"), F.col("norm"))
     by_alias = (F.length("alias_compact") >= 4) & (F.col("norm").contains(F.col("alias_norm")) | F.col("compact").contains(F.col("alias_compact")))
-    return names.join(F.broadcast(aliases), F.coalesce(by_class, by_alias)).select("issuer", "category", "item_key", "ticker", "label").distinct()
+    return names.join(bounded(aliases), F.coalesce(by_class, by_alias)).select("issuer", "category", "item_key", "ticker", "label").distinct()
 
 
 def watchlist_filter(holdings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.columns import classify_filer, classify_movement, estimate_actual_value, finite, hhi_label, normalize_cik, pct1, quarter_sort_key, quarter_valid, sec_folder_url, sec_submission_url, security_of
 from filingscope.operators.matching import bounded, issuer_watchlist_match, sector_of
+from filingscope.tables import write_table
 
 SAMPLES = 5
 
@@ -24,12 +26,20 @@ def latest_filing_per_filer(filings: DataFrame) -> DataFrame:
     return filings.withColumn("cik", normalize_cik("cik")).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def filing_pairs(filings: DataFrame, current: str, previous: str) -> DataFrame:
+    """Per CIK its newest filing of either quarter: now and before (filing_date, accession, fund_name), null if there is none."""
+    newest = lambda q: F.max(F.when(F.col("quarter") == q, F.struct("filing_date", "accession", "fund_name")))
+    return filings.filter(F.col("quarter").isin(current, previous)).groupBy(normalize_cik("cik").alias("cik")).agg(newest(current).alias("now"), newest(previous).alias("before"))
+
+
+def _comparable(pairs: DataFrame) -> DataFrame:
+    both = pairs.filter("now is not null and before is not null")
+    return both.select("cik", "now.fund_name", F.col("now.accession").alias("current_accession"), F.col("now.filing_date").alias("current_date"), F.col("before.accession").alias("previous_accession"), F.col("before.filing_date").alias("previous_date"))
+
+
 def comparable_filers(filings: DataFrame, current: str, previous: str) -> DataFrame:
     """CIKs with a filing in both quarters, and the accession and date of each."""
-    latest = latest_filing_per_filer(filings.filter(F.col("quarter").isin(current, previous)))
-    now = latest.filter(F.col("quarter") == current).select("cik", F.col("fund_name"), F.col("accession").alias("current_accession"), F.col("filing_date").alias("current_date"))
-    before = latest.filter(F.col("quarter") == previous).select("cik", F.col("accession").alias("previous_accession"), F.col("filing_date").alias("previous_date"))
-    return now.join(before, "cik")
+    return _comparable(filing_pairs(filings, current, previous))
 
 
 def exclude_options(holdings: DataFrame) -> DataFrame:
@@ -39,15 +49,23 @@ def exclude_options(holdings: DataFrame) -> DataFrame:
     return holdings.filter(F.coalesce(F.trim("putcall"), F.lit("")) == "")
 
 
+def _assigned(holdings: DataFrame, pairs: DataFrame, current: str, previous: str) -> DataFrame:
+    own = holdings.filter(F.col("quarter").isin(current, previous)).withColumn("cik", normalize_cik("cik")).drop("fund_name", "filing_date")
+    now = F.col("quarter") == current
+    rows = own.join(pairs, "cik").withColumn("_filing", F.when(now, F.col("now")).otherwise(F.col("before"))).filter(F.col("accession") == F.col("_filing.accession"))
+    made = {"fund_name": F.col("_filing.fund_name"), "filing_date": F.col("_filing.filing_date"), "period": F.when(now, "current").otherwise("previous"), "comparable": F.col("now").isNotNull() & F.col("before").isNotNull()}
+    return rows.withColumns(made).drop("_filing", "now", "before")
+
+
 def period_assignment(holdings: DataFrame, filings: DataFrame, current: str, previous: str) -> DataFrame:
     """Holdings of the latest filings of both quarters, with period 'current' or 'previous' and the filing's columns."""
-    latest = latest_filing_per_filer(filings.filter(F.col("quarter").isin(current, previous)))
-    chosen = latest.select("cik", "quarter", "accession", "fund_name", "filing_date", F.when(F.col("quarter") == current, "current").otherwise("previous").alias("period"))
-    own = holdings.filter(F.col("quarter").isin(current, previous)).withColumn("cik", normalize_cik("cik")).drop("fund_name", "filing_date")
-    return own.join(chosen, ["cik", "quarter", "accession"])
+    return _assigned(holdings, filing_pairs(filings, current, previous), current, previous).drop("comparable")
 
 
-holdings_of_filings = period_assignment
+def holdings_of_filings(holdings: DataFrame, filings: DataFrame) -> DataFrame:
+    """The holdings of any set of filings, with each filing's fund name and date."""
+    own = filings.select(normalize_cik("cik").alias("cik"), "accession", "fund_name", "filing_date").dropDuplicates(["cik", "accession"])
+    return holdings.withColumn("cik", normalize_cik("cik")).drop("fund_name", "filing_date").join(own, ["cik", "accession"])
 
 
 def _positions(rows: DataFrame, keys: list[str], more: list) -> DataFrame:
@@ -61,7 +79,11 @@ def _positions(rows: DataFrame, keys: list[str], more: list) -> DataFrame:
 
 @dataclass
 class Radar:
-    """One comparison of two quarters: every output below shares its security_positions."""
+    """One comparison of two quarters.
+
+    The filings of both quarters, the issuers' matches and the matched holdings are each written once to
+    the shared folder, by the first output that needs them; all outputs then read these tables.
+    """
 
     filings: DataFrame
     holdings: DataFrame
@@ -69,20 +91,36 @@ class Radar:
     current: str
     previous: str
 
-    def __post_init__(self) -> None:
-        self.comparable = comparable_filers(self.filings, self.current, self.previous)
-        self.assigned = period_assignment(exclude_options(self.holdings), self.filings, self.current, self.previous)
-        self.matches = issuer_watchlist_match(self.holdings, self.aliases)
+    @cached_property
+    def pairs(self) -> DataFrame:
+        return write_table(filing_pairs(self.filings, self.current, self.previous), "radar-filings")
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return write_table(issuer_watchlist_match(self.holdings, self.aliases), "radar-matches")
+
+    @cached_property
+    def watched(self) -> DataFrame:
         per_category = self.matches.groupBy("issuer", "category").agg(F.collect_set(F.struct("item_key", "label")).alias("items"))
-        self.watched = self.assigned.join(per_category, "issuer").withColumn("security", security_of("cusip", "issuer"))
-        self.categories = self.aliases.select("category").distinct()
+        assigned = _assigned(exclude_options(self.holdings), self.pairs, self.current, self.previous)
+        return write_table(assigned.join(per_category, "issuer").withColumn("security", security_of("cusip", "issuer")), "radar-holdings")
+
+    @property
+    def comparable(self) -> DataFrame:
+        return _comparable(self.pairs)
+
+    @property
+    def categories(self) -> DataFrame:
+        return self.aliases.select("category").distinct()
 
     def compared(self) -> DataFrame:
-        return self.watched.join(self.comparable.select("cik"), "cik", "left_semi")
+        return self.watched.filter("comparable")
 
     def security_positions(self) -> DataFrame:
-        """Per filer, category and security: shares and estimated values of both quarters, the movement and the items."""
-        more = [F.flatten(F.collect_set("items")).alias("items"), F.min_by("issuer", F.struct("cik", "accession")).alias("issuer"), first_names("issuer").alias("issuers"), first_names("cusip").alias("cusips"), F.max("fund_name").alias("fund_name")]
+        """Per filer, category and security: shares, estimated and raw values of both quarters, the movement and the items."""
+        now = F.col("period") == "current"
+        raw = [F.sum(F.when(now, finite("value")).otherwise(0.0)).alias("current_raw_value"), F.sum(F.when(now, 0.0).otherwise(finite("value"))).alias("previous_raw_value")]
+        more = [*raw, F.flatten(F.collect_set("items")).alias("items"), F.min_by("issuer", F.struct("cik", "accession")).alias("issuer"), first_names("issuer").alias("issuers"), first_names("cusip").alias("cusips"), F.max("fund_name").alias("fund_name")]
         out = _positions(self.compared(), ["cik", "category", "security"], more)
         return out.withColumn("items", F.array_distinct("items")).withColumn("action", classify_movement("previous_shares", "current_shares"))
 
@@ -133,11 +171,23 @@ class Radar:
         return out.withColumns(share | {"buyers_pct_exposed": pct1("buyers", "exposed"), "sellers_pct_exposed": pct1("sellers", "exposed"), "initiated_pct_exposed": pct1("initiated", "exposed"), "liquidated_pct_exposed": pct1("liquidated", "exposed")})
 
     def filer_moves(self) -> DataFrame:
-        """Per filer and category that moved, with its items' details nested."""
-        details = self.filer_item_details().filter("action not in ('absent', 'unchanged')").groupBy("cik", "category").agg(F.array_sort(F.collect_list(F.struct("item_key", "label", "action", "previous_shares", "current_shares", "previous_value", "current_value", "issuers", "cusips"))).alias("details"))
-        moved = self.filer_category_positions().filter("action not in ('absent', 'unchanged')")
+        """Per filer and category that moved, with its items' details nested.
+
+        One pass: each security counts under each of its items and once more under no item, for the total.
+        """
+        sums = ("previous_shares", "current_shares", "previous_value", "current_value")
+        none = F.array(F.lit(None).cast("struct<item_key:string,label:string>"))
+        rows = self.security_positions().filter("action <> 'absent'").withColumn("item", F.explode(F.concat("items", none)))
+        per = rows.groupBy("cik", "category", F.col("item.item_key").alias("item_key"), F.col("item.label").alias("label")).agg(
+            F.max("fund_name").alias("fund_name"), *[F.sum(c).alias(c) for c in sums], F.count(F.lit(1)).alias("n_securities"),
+            F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("issuers")))), 1, SAMPLES).alias("issuers"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cusips")))).alias("cusips"),
+        ).withColumn("action", classify_movement("previous_shares", "current_shares"))
+        whole = F.col("item_key").isNull()
+        detail = F.when(~whole & ~F.col("action").isin("absent", "unchanged"), F.struct("item_key", "label", "action", *sums, "issuers", "cusips"))
+        totals = [F.max(F.when(whole, F.col(c))).alias(c) for c in ("fund_name", *sums, "n_securities", "action")]
+        moved = per.groupBy("cik", "category").agg(*totals, F.array_sort(F.collect_list(detail)).alias("details")).filter("action not in ('absent', 'unchanged')")
         count = lambda a: F.size(F.filter("details", lambda d: d["action"] == a))
-        return moved.join(details, ["cik", "category"], "left").withColumns({"value_delta": F.col("current_value") - F.col("previous_value"), "details": F.coalesce("details", F.array())}).withColumns({"n_initiated": count("initiated"), "n_liquidated": count("liquidated")})
+        return moved.withColumns({"value_delta": F.col("current_value") - F.col("previous_value"), "n_initiated": count("initiated"), "n_liquidated": count("liquidated")})
 
     def top_filer_moves(self, n: int = 100) -> DataFrame:
         return self.filer_moves().orderBy(F.abs("value_delta").desc(), "cik", "category").limit(n)
@@ -172,21 +222,19 @@ class Radar:
     prior_for_current_holders = current_holders_by_category
 
     def radar_coverage(self) -> DataFrame:
-        latest = latest_filing_per_filer(self.filings.filter(F.col("quarter").isin(self.current, self.previous)))
-        filers = latest.agg(F.count_if(F.col("quarter") == self.current).alias("current_filers"), F.count_if(F.col("quarter") == self.previous).alias("previous_filers"))
+        filers = self.pairs.agg(F.count("now").alias("current_filers"), F.count("before").alias("previous_filers"), F.count_if(F.col("now").isNotNull() & F.col("before").isNotNull()).alias("comparable_filers"))
         seen = self.compared().agg(F.countDistinct("cik").alias("watched_filers"), F.countDistinct("row_id").alias("watched_rows"))
-        return filers.crossJoin(self.comparable.agg(F.count(F.lit(1)).alias("comparable_filers"))).crossJoin(seen)  # each has one row
+        return filers.crossJoin(seen)  # each has one row
 
     def audit_rows(self) -> DataFrame:
         """Per filer, category and security: raw and estimated values, both filings and their URLs."""
-        now = F.col("period") == "current"
-        raw = self.compared().groupBy("cik", "category", "security").agg(F.sum(F.when(now, finite("value")).otherwise(0.0)).alias("current_raw_value"), F.sum(F.when(now, 0.0).otherwise(finite("value"))).alias("previous_raw_value"))
-        out = self.security_positions().drop("fund_name", "items").join(raw, ["cik", "category", "security"]).join(self.comparable, "cik")
+        out = self.security_positions().drop("fund_name", "items").join(self.comparable, "cik")
         return out.withColumns({"current_url": sec_submission_url("cik", "current_accession"), "previous_url": sec_submission_url("cik", "previous_accession"), "current_folder": sec_folder_url("cik", "current_accession")})
 
     def raw_matched_holdings(self) -> DataFrame:
-        flat = self.assigned.join(self.matches, "issuer")
-        return flat.groupBy("row_id", "cik", "accession", "quarter", "period", "issuer", "cusip", "value", "shares").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.collect_set("label")).alias("labels"))
+        rows = self.watched.groupBy("row_id", "cik", "accession", "quarter", "period", "issuer", "cusip", "value", "shares")
+        labels = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col("items.label")))))
+        return rows.agg(F.array_sort(F.collect_set("category")).alias("categories"), labels.alias("labels"))
 
 
 def top_sector_mover(movers: DataFrame, side: str = "buyers") -> DataFrame:

@@ -108,9 +108,16 @@ def portfolio_overlap_all_pairs(s, d):
     return tidy(P.portfolio_overlap_all_pairs(latest_portfolio(s, d, CURRENT)).select("cik_a", "cik_b", "security", "shares_a", "shares_b", "combined"), 5)
 
 
-@query(f"SELECT a.cik AS cik_a, b.cik AS cik_b, security, round(a.value + b.value, 5) AS combined FROM (SELECT * FROM lp WHERE quarter = '{CURRENT}' AND cik = '3') a JOIN (SELECT * FROM lp WHERE quarter = '{CURRENT}' AND cik = '7') b USING (security) ORDER BY combined DESC, security LIMIT 50", _PA)
+_PAIR = _PA + f""", cur AS (SELECT * FROM lp WHERE quarter = '{CURRENT}'), pair AS (SELECT a.cik AS cik_a, b.cik AS cik_b FROM cur a JOIN cur b USING (security) WHERE a.cik < b.cik GROUP BY 1, 2 ORDER BY count(*) DESC, 1, 2 LIMIT 1)"""
+
+
+@query("SELECT cik_a, cik_b, a.security AS security, round(a.shares, 5) AS shares_a, round(b.shares, 5) AS shares_b, round(a.value, 5) AS value_a, round(b.value, 5) AS value_b, round(a.value + b.value, 5) AS combined FROM pair JOIN cur a ON a.cik = cik_a JOIN cur b ON b.cik = cik_b AND a.security = b.security ORDER BY a.value + b.value DESC, a.security LIMIT 50", _PAIR)
 def portfolio_overlap(s, d):
-    return tidy(P.portfolio_overlap(latest_portfolio(s, d, CURRENT), "3", "7").select("cik_a", "cik_b", "security", "combined"), 5)
+    """Of the two filers that have the most securities in common."""
+    own = latest_portfolio(s, d, CURRENT)
+    most = P.portfolio_overlap_all_pairs(own).groupBy("cik_a", "cik_b").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cik_a", "cik_b").first()
+    a, b = (most["cik_a"], most["cik_b"]) if most else ("", "")
+    return tidy(P.portfolio_overlap(own, a, b).select("cik_a", "cik_b", "security", "shares_a", "shares_b", "value_a", "value_b", "combined"), 5)
 
 
 @query(f"SELECT count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) AS n_common, count(*) FILTER (vb IS NULL) AS n_only_a, count(*) FILTER (va IS NULL) AS n_only_b, round(coalesce(sum(va) FILTER (vb IS NOT NULL), 0), 5) AS value_a, round(coalesce(sum(vb) FILTER (va IS NOT NULL), 0), 5) AS value_b FROM (SELECT security, max(value) FILTER (cik = '3') AS va, max(value) FILTER (cik = '7') AS vb FROM lp WHERE quarter = '{CURRENT}' AND cik IN ('3', '7') GROUP BY 1)", _PA)

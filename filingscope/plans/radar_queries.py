@@ -32,6 +32,12 @@ def tidy(df: DataFrame, places: int = 2) -> DataFrame:
     return df.select(*out)
 
 
+def placed(ordered: DataFrame) -> DataFrame:
+    """A report of a few ordered rows (one per category) with each row's place in it."""
+    rows = ordered.collect()
+    return ordered.sparkSession.createDataFrame([(*r, i + 1) for i, r in enumerate(rows)], ordered.schema.add("place", "long"))
+
+
 @query("SELECT cik, quarter, accession, filing_date, fund_name FROM lat")
 def latest_filing_per_filer(s, d):
     return R.latest_filing_per_filer(filings(s, d)).select("cik", "quarter", "accession", "filing_date", "fund_name")
@@ -54,7 +60,8 @@ def period_assignment(s, d):
 
 @query("SELECT row_id, h.cik, h.accession, issuer, filing_date, fund_name, round(shares, 2) AS shares FROM h JOIN lat USING (cik, quarter, accession) WHERE h.quarter IN ('2001-Q3', '2001-Q2')")
 def holdings_of_filings(s, d):
-    return tidy(R.holdings_of_filings(holdings(s, d), filings(s, d), CURRENT, PREVIOUS).select("row_id", "cik", "accession", "issuer", "filing_date", "fund_name", "shares"))
+    latest = R.latest_filing_per_filer(filings(s, d)).filter(F.col("quarter").isin(CURRENT, PREVIOUS))
+    return tidy(R.holdings_of_filings(holdings(s, d), latest).select("row_id", "cik", "accession", "issuer", "filing_date", "fund_name", "shares"))
 
 
 @query("SELECT issuer, category, item_key, label FROM m")
@@ -93,11 +100,12 @@ def security_positions(s, d):
     return tidy(radar(s, d).security_positions().select("cik", "fund_name", "category", "security", *_SP4, "action"))
 
 
+_NAMES = {"buyer": "'initiated', 'increased'", "seller": "'liquidated', 'decreased'", "initiated": "'initiated'", "liquidated": "'liquidated'"}
 _MV = """mv AS (SELECT category, security, count(*) FILTER (cs > 0) AS holders_now, count(*) FILTER (ps > 0) AS holders_before, count(*) FILTER (action IN ('initiated', 'increased')) AS buyers, count(*) FILTER (action IN ('liquidated', 'decreased')) AS sellers,
  count(*) FILTER (action = 'initiated') AS initiated, count(*) FILTER (action = 'liquidated') AS liquidated, sum(pv) AS pv, sum(cv) AS cv,
- coalesce(array_to_string(list_sort(list(DISTINCT fund_name) FILTER (action IN ('initiated', 'increased')))[1:5], '; '), '') AS buyer_names FROM sp GROUP BY 1, 2)"""
-_MVC = "category, security, holders_now, holders_before, buyers, sellers, buyers - sellers AS net, initiated, liquidated, round(pv, 2) AS previous_value, round(cv, 2) AS current_value, buyer_names"
-_MVS = ["category", "security", "holders_now", "holders_before", "buyers", "sellers", "net", "initiated", "liquidated", "previous_value", "current_value", "buyer_names"]
+""" + ", ".join(f"coalesce(array_to_string(list_sort(list(DISTINCT fund_name) FILTER (action IN ({a})))[1:5], '; '), '') AS {n}_names" for n, a in _NAMES.items()) + " FROM sp GROUP BY 1, 2)"
+_MVC = "category, security, holders_now, holders_before, buyers, sellers, buyers - sellers AS net, initiated, liquidated, round(pv, 2) AS previous_value, round(cv, 2) AS current_value, buyer_names, seller_names, initiated_names, liquidated_names"
+_MVS = ["category", "security", "holders_now", "holders_before", "buyers", "sellers", "net", "initiated", "liquidated", "previous_value", "current_value", "buyer_names", "seller_names", "initiated_names", "liquidated_names"]
 
 
 @query(f"SELECT {_MVC} FROM mv", _MV)
@@ -142,13 +150,14 @@ def category_summary(s, d):
     return tidy(radar(s, d).category_summary())
 
 
-_FM = """fm AS (SELECT fc.*, coalesce(n_details, 0) AS n_details, coalesce(n_initiated, 0) AS n_initiated, coalesce(n_liquidated, 0) AS n_liquidated FROM fc LEFT JOIN (SELECT cik, category, count(*) AS n_details, count(*) FILTER (action = 'initiated') AS n_initiated, count(*) FILTER (action = 'liquidated') AS n_liquidated
+_FM = """fm AS (SELECT fc.*, coalesce(n_details, 0) AS n_details, coalesce(n_initiated, 0) AS n_initiated, coalesce(n_liquidated, 0) AS n_liquidated, coalesce(details, '') AS details FROM fc LEFT JOIN (SELECT cik, category, count(*) AS n_details, count(*) FILTER (action = 'initiated') AS n_initiated, count(*) FILTER (action = 'liquidated') AS n_liquidated, string_agg(item_key || ' ' || label || ' ' || action, '; ' ORDER BY item_key) AS details
  FROM it WHERE action NOT IN ('absent', 'unchanged') GROUP BY 1, 2) x USING (cik, category) WHERE action NOT IN ('absent', 'unchanged'))"""
-_FMC = "cik, category, action, round(cv - pv, 2) AS value_delta, n_details, n_initiated, n_liquidated"
+_FMC = "cik, category, action, round(cv - pv, 2) AS value_delta, n_details, n_initiated, n_liquidated, details"
 
 
 def _moves(df):
-    return tidy(df.withColumn("n_details", F.size("details").cast("long")).select("cik", "category", "action", "value_delta", "n_details", F.col("n_initiated").cast("long").alias("n_initiated"), F.col("n_liquidated").cast("long").alias("n_liquidated")))
+    shown = F.transform("details", lambda d: F.concat_ws(" ", d["item_key"], d["label"], d["action"]))
+    return tidy(df.select("cik", "category", "action", "value_delta", F.size("details").cast("long").alias("n_details"), F.col("n_initiated").cast("long").alias("n_initiated"), F.col("n_liquidated").cast("long").alias("n_liquidated"), shown.alias("details")))
 
 
 @query(f"SELECT {_FMC} FROM fm", _FM)
@@ -235,9 +244,10 @@ def ownership_concentration(s, d):
     return tidy(R.ownership_concentration(radar(s, d).current_holders_by_category()))
 
 
-@query("SELECT category, CAST(round(sum(pct * pct)) AS BIGINT) AS hhi, count(*) AS holders FROM ocr GROUP BY 1", _OC)
+@query("SELECT category, CAST(round(sum(pct * pct)) AS BIGINT) AS hhi, count(*) AS holders, row_number() OVER (ORDER BY round(sum(pct * pct)) DESC, category) AS place FROM ocr GROUP BY 1", _OC)
 def peer_hhi(s, d):
-    return R.peer_hhi(radar(s, d).current_holders_by_category()).select("category", "hhi", "holders")
+    """Where each category stands in the order: a row per category."""
+    return placed(R.peer_hhi(radar(s, d).current_holders_by_category()).select("category", "hhi", "holders"))
 
 
 @query("SELECT category, 'Other' AS filer_type, count(*) AS holders, round(sum(shares), 2) AS shares, round(sum(value), 2) AS value, 100.0 AS pct FROM ch GROUP BY 1", _CH)

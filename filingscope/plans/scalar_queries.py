@@ -57,3 +57,38 @@ def hhi_label(s, d):
 def quarter_from_dmy(s, d):
     text = F.upper(F.date_format("o_orderdate", "dd-MMM-yyyy"))
     return read(s, d, "orders").select("o_orderkey", C.quarter_from_dmy(text).alias("from_dmy"), C.normalize_sec_date(F.date_format("o_orderdate", "yyyyMMdd")).alias("iso"), C.latest_completed_quarter("o_orderdate").alias("completed"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE year(d) END AS year, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE quarter(d) END AS quarter, CASE WHEN o_orderkey % 4 <> 0 THEN CAST(year(d + INTERVAL 3 MONTH) AS VARCHAR) || '-Q' || quarter(d + INTERVAL 3 MONTH) END AS due FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)")
+def quarter_parse(s, d):
+    rows = read(s, d, "orders").withColumn("q", F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.year("o_orderdate").cast("string"), F.lit("-Q5"))).otherwise(C.quarter_of_date("o_orderdate")))
+    return rows.select("o_orderkey", *[F.when(C.quarter_valid("q"), F.substring("q", at, n).cast("int")).alias(name) for name, at, n in (("year", 1, 4), ("quarter", 7, 1))], C.filing_index_quarter("q").alias("due"))
+
+
+QUERIES["filing_index_quarter"], ORACLES["filing_index_quarter"] = QUERIES["quarter_parse"], ORACLES["quarter_parse"]
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN p > 0 THEN round((l_quantity - p) / p * 100, 6) WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS change FROM (SELECT *, CAST(l_linenumber * 7 - 20 AS DOUBLE) AS p FROM lineitem)")
+def share_pct_change(s, d):
+    rows = read(s, d, "lineitem").withColumn("p", (F.col("l_linenumber") * 7 - 20).cast("double"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(C.share_pct_change("p", "l_quantity"), 6).alias("change"))
+
+
+@query("SELECT o_orderkey, upper(o_orderpriority) AS form, upper(o_orderpriority) || '; 10-K' AS forms, o_orderpriority || '|b c' AS parts FROM orders")
+def strip_amendment(s, d):
+    """Forms with and without an amendment's ending, and lists of them by three separators."""
+    amended = F.concat(F.lit(" "), F.lower("o_orderpriority"), F.when(F.col("o_orderkey") % 2 == 0, "/a ").otherwise(""))
+    both = F.array(amended, F.lit("10-K/A"), F.lit(" "), F.lit("10-k"))
+    mark = F.element_at(F.array(F.lit(","), F.lit(";"), F.lit("\n")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    listed = F.concat(F.col("o_orderpriority"), mark, F.lit("  "), mark, F.lit(" b c "))
+    return read(s, d, "orders").select("o_orderkey", C.strip_amendment(amended).alias("form"), F.concat_ws("; ", C.distinct_forms(both)).alias("forms"), F.concat_ws("|", C.split_delimited(listed)).alias("parts"))
+
+
+QUERIES["split_delimited"], ORACLES["split_delimited"] = QUERIES["strip_amendment"], ORACLES["strip_amendment"]
+
+
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_name) || ' HOLDINGS; ' || upper(p_name) WHEN 1 THEN upper(p_name) ELSE 'THE ' || upper(p_name) || ' CORP; THE ' || upper(p_name) END || CASE WHEN p_partkey % 3 < 2 AND length(split_part(p_name, ' ', 1)) > 4 THEN '; ' || upper(split_part(p_name, ' ', 1)) ELSE '' END AS terms FROM part")
+def company_search_terms(s, d):
+    k = F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat("p_name", F.lit(" Holdings."))).when(k == 1, F.col("p_name")).otherwise(F.concat(F.lit("The "), "p_name", F.lit(", Corp.")))
+    return read(s, d, "part").select("p_partkey", F.concat_ws("; ", C.company_search_terms(name)).alias("terms"))

@@ -42,7 +42,8 @@ def scan_master_index(s, d):
 def scan_current_feed(s, d):
     key = F.split("accession", "-")[0]
     entry = text("<entry><title>13F-HR - ", F.coalesce("fund_name", F.lit("x")), " (", key, ") (Filer)</title><link rel=\"alternate\" href=\"https://x/", F.lpad(F.regexp_replace("accession", "-", ""), 18, "0"), "-index.htm\"/><summary>&lt;b&gt;Filed:&lt;/b&gt; ", F.col("filing_date").cast("string"), "</summary></entry>")
-    feeds = filings(s, d).groupBy("quarter").agg(F.array_join(F.collect_list(entry), "\n").alias("value"))
+    page = F.pmod(F.xxhash64("accession"), F.lit(1 << 20))  # a feed's page has a few entries, however many there are
+    feeds = filings(s, d).groupBy("quarter", page.alias("page")).agg(F.array_join(F.collect_list(entry), "\n").alias("value"))
     out = feeds.select(F.explode(SRC.parse_current_feed(F.col("value"))).alias("e"))
     return out.select("e.cik", F.concat_ws("-", "e.cik", F.regexp_extract("e.file", r"(\d{6})-index", 1)).alias("accession"), F.to_date("e.date").alias("filing_date"))
 
@@ -104,7 +105,7 @@ def scan_company_facts(s, d):
 
 def hits(s, d):
     row = F.struct(text(F.col("page_id").cast("string"), ":d.htm").alias("_id"), F.struct(F.array(F.col("page_id").cast("string")).alias("ciks"), F.array(F.regexp_extract("url", r"//([^/]+)", 1)).alias("display_names"), F.when(F.col("page_id") % 3 == 0, "13F-HR").when(F.col("page_id") % 3 == 1, "NPORT-P").otherwise("8-K").alias("form"), F.lit("2001-06-30").alias("file_date"), F.lit("2001-03-31").alias("period_ending"), F.col("page_id").cast("string").alias("adsh")).alias("_source"))
-    docs = read(s, d, "pages").groupBy((F.col("page_id") % 20).alias("k")).agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("hits")).alias("hits"))).alias("json"))
+    docs = read(s, d, "pages").groupBy(F.floor(F.col("page_id") / 100).alias("k")).agg(F.to_json(F.struct(F.struct(F.collect_list(row).alias("hits")).alias("hits"))).alias("json"))
     return SRC.scan_search_hits(docs, ["k"]).drop("k")
 
 
@@ -224,6 +225,26 @@ def offered(s, d):
     return O.ipo_terms(rows, ["doc_id"], ["Goldstone Partners"])
 
 
+#: Phrases of offerings and what they say: exchange, shares offered and outstanding, prices and their form.
+_PHRASES = [
+    ("We have applied to list our units on the Nasdaq Capital Market. 20,000,000 units at $10.00 per unit. The founder shares will represent 20% of the outstanding shares.", "Nasdaq Capital Market", "20000000", "25000000", "10", "10", "$10.00 / Unit"),
+    ("We compete with New York Stock Exchange members. Shares of our Class A common stock offered by us 4,500,000. THE OFFERING Shares of Class B common stock offered by us: 3,000,000 at an assumed offering price of $5.50 per share.", None, "3000000", None, "5.5", "5.5", "$5.50"),
+    ("The closing price was $3.25 on the NYSE American under the symbol XYZW. 1,250,000 shares of Class A common stock. Total Class A common stock to be outstanding after this offering: 62,942,998 shares.", "NYSE American", "1250000", "62942998", "3.25", "3.25", "$3.25 (Last Close)"),
+    ("Listed on the New York Stock Exchange at a proposed maximum price of $7 each. Number of shares to be sold: 800,000 shares. 9,000,000 shares of common stock outstanding after the offering.", "New York Stock Exchange", "800000", "9000000", "7", "7", "$7"),
+    ("A par value price of $0.01 a share.", None, None, None, None, None, None),
+    ("In a range of $14 and $16.5 a share.", None, None, None, "14", "16.5", "$14 - $16.5"),
+]
+_SAID = ", ".join(f"({i}, " + ", ".join("NULL" if x is None else f"'{x}'" if at in (0, 5) else f"CAST({x} AS DOUBLE)" for at, x in enumerate(p[1:])) + ")" for i, p in enumerate(_PHRASES))
+
+
+@query(f"SELECT doc_id, exchange, shares_offered, shares_outstanding, price_low, price_high, price_range FROM documents JOIN (VALUES {_SAID}) x (k, exchange, shares_offered, shares_outstanding, price_low, price_high, price_range) ON doc_id % 6 = k", cte=False)
+def ipo_terms_phrases(s, d):
+    """Each document with one of several phrasings before its text."""
+    phrase = F.element_at(F.array(*[F.lit(p[0]) for p in _PHRASES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    terms = O.ipo_terms(read(s, d, "documents").select("doc_id", text(phrase, "\n\n", F.col("text")).alias("text")), ["doc_id"], [])
+    return terms.select("doc_id", "exchange", "shares_offered", "shares_outstanding", "price_low", "price_high", "price_range")
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 3 < 2 THEN 'NYSE American' END AS exchange, 'Goldstone Partners' AS underwriters FROM documents", cte=False)
 def ipo_terms(s, d):
     return offered(s, d).select("doc_id", "exchange", F.concat_ws("; ", "underwriters").alias("underwriters"))
@@ -235,19 +256,27 @@ def ipo_offering_type(s, d):
     return read(s, d, "documents").select("doc_id", O.ipo_offering_type(body).alias("offering_type"))
 
 
-@query("SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) * 1000 AS revenue, CAST(-s_suppkey AS DOUBLE) * 1000 AS net_income FROM supplier WHERE s_suppkey > 0", cte=False)
+@query("SELECT s_suppkey, CAST(s_suppkey AS DOUBLE) * 1000 AS revenue, CAST(-s_suppkey AS DOUBLE) * 1000 AS net_income, CAST(s_suppkey + 5 AS DOUBLE) * 1000000 AS total_assets FROM supplier WHERE s_suppkey > 0", cte=False)
 def ipo_financials(s, d):
+    """An income statement in thousands between a footnote that scores and a balance sheet in millions."""
     k = F.col("s_suppkey").cast("string")
-    html = text("<table><tr><td>other</td></tr></table><table><tr><th>(in thousands)</th></tr><tr><td>Total revenue</td><td>$</td><td>", k, "</td></tr><tr><td>Net loss</td><td>(", k, ")</td></tr></table>")
+    html = text(
+        "<table><tr><td>revenue, net income and gross profit are explained below</td><td>7</td></tr></table>",
+        "<table><tr><th>(in thousands)</th></tr><tr><td>Total revenue</td><td>$</td><td>", k, "</td><td>1</td></tr><tr><td>Operating expenses</td><td>9</td></tr><tr><td>Net loss</td><td>(", k, ")</td></tr></table>",
+        "<p>in millions</p><table><tr><td>Cash</td><td>3</td></tr><tr><td>Total assets</td><td>$", (F.col("s_suppkey") + 5).cast("string"), "</td></tr><tr><td>Total liabilities and net income, revenue</td><td>2</td></tr></table>",
+    )
     rows = read(s, d, "supplier").filter("s_suppkey > 0").select("s_suppkey", html.alias("html"))
-    return O.ipo_financials(rows, ["s_suppkey"]).select("s_suppkey", "revenue", "net_income")
+    return O.ipo_financials(rows, ["s_suppkey"])
 
 
-@query("SELECT s_suppkey, upper(replace(s_name, '#', ' ')) <> '' AS named, CAST(s_suppkey % 90 + 1 AS VARCHAR) || '.5%' AS percent_of_class, CAST(s_suppkey + 1000 AS VARCHAR) AS shares, 'To hold.' AS purpose FROM supplier", cte=False)
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'Unknown' ELSE 'ALPHA HOLDINGS' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) END AS reporting_person, CASE WHEN s_suppkey % 7 = 0 THEN 'N/A' ELSE CAST(s_suppkey % 90 + 1 AS VARCHAR) || '.5%' END AS percent_of_class, CAST(s_suppkey + 1000 AS VARCHAR) AS shares, CASE WHEN s_suppkey % 3 = 0 THEN repeat('hold on ', 37) || 'hold...' WHEN s_suppkey % 3 = 1 THEN 'To hold.' ELSE 'See filing for details.' END AS purpose FROM supplier", cte=False)
 def activist_extract(s, d):
-    body = text("NAME OF REPORTING PERSONS  ALPHA HOLDINGS  I.R.S IDENTIFICATION  AGGREGATE AMOUNT BENEFICIALLY OWNED BY EACH ", (F.col("s_suppkey") + 1000).cast("string"), " PERCENT OF CLASS REPRESENTED BY AMOUNT IN ROW ", (F.col("s_suppkey") % 90 + 1).cast("string"), ".5 Item 4. Purpose of Transaction To hold. Item 5")
-    out = O.activist_extract(read(s, d, "supplier").select("s_suppkey", body.alias("text")), ["s_suppkey"])
-    return out.select("s_suppkey", (F.col("reporting_person") != "Unknown").alias("named"), "percent_of_class", "shares", "purpose")
+    k = F.col("s_suppkey")
+    person = F.when(k % 5 != 0, text("NAME OF REPORTING PERSONS: ALPHA HOLDINGS", F.chr(65 + k % 26), "  I.R.S IDENTIFICATION ")).otherwise("")
+    percent = F.when(k % 7 != 0, text(" PERCENT OF CLASS REPRESENTED BY AMOUNT IN ROW ", (k % 90 + 1).cast("string"), F.when(k % 2 == 0, ".5%").otherwise(".5"))).otherwise("")
+    purpose = F.when(k % 3 == 0, text(" Item 4. Purpose of Transaction ", F.repeat(F.lit("hold on "), F.lit(50)), " Item 5")).when(k % 3 == 1, " Item 4. Purpose of Transaction To\n hold. SIGNATURE").otherwise("")
+    body = text(person, "AGGREGATE AMOUNT BENEFICIALLY OWNED BY EACH ", (k + 1000).cast("string"), percent, purpose)
+    return O.activist_extract(read(s, d, "supplier").select("s_suppkey", body.alias("text")), ["s_suppkey"])
 
 
 def feed(s, d):
@@ -275,10 +304,14 @@ def incremental_ingest(s, d):
     return alerts.incremental_ingest(rows, once, "2001-Q3").groupBy("quarter").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT event_type AS theme, count(*) AS n FROM events GROUP BY 1", cte=False)
+@query("SELECT event_type AS theme, count(*) AS n, count(DISTINCT event_id) AS filings FROM events GROUP BY 1 UNION ALL SELECT 'shared', count(*), count(*) FROM events", cte=False)
 def incremental_theme_append(s, d):
-    rows = feed(s, d).select("accession", F.col("form").alias("theme"))
-    return alerts.incremental_theme_append(rows, rows.filter("theme < 'p'")).groupBy("theme").agg(F.count(F.lit(1)).alias("n"))
+    """Each filing has two themes; those of some are stored; the batch comes twice."""
+    rows = feed(s, d)
+    rows = rows.select("accession", F.col("form").alias("theme")).unionByName(rows.select("accession", F.lit("shared").alias("theme")))
+    stored = rows.join(rows.filter("theme < 'p'").select("accession").distinct(), "accession", "left_semi")
+    once = alerts.incremental_theme_append(rows.unionByName(rows), stored)
+    return once.groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("accession").alias("filings"))
 
 
 @query("SELECT CAST(o_orderkey AS VARCHAR) AS accession, CASE WHEN o_orderstatus = 'O' THEN 'new' ELSE 'old' END AS note FROM orders WHERE o_orderstatus <> 'O' UNION ALL (SELECT CAST(o_orderkey AS VARCHAR), 'new' FROM orders WHERE o_orderstatus = 'O' ORDER BY CAST(o_orderdate AS DATE) DESC, CAST(o_orderkey AS VARCHAR) LIMIT 25)", cte=False)

@@ -64,18 +64,29 @@ def sections_pair_join(s, d):
 _WORDS = ["disgusting", "moron", "license"]
 
 
-@query(_CHG + " SELECT source, doc_id, count(*) FILTER (change = 'added') AS added_count, count(*) FILTER (change = 'removed') AS removed_count, count(*) FILTER (change = 'added' AND hit) AS n_escalations, count(*) FILTER (change = 'removed' AND hit) AS n_deletions, 2 * count(*) FILTER (change = 'added' AND hit) + count(*) FILTER (change = 'removed' AND hit) AS risk_score FROM (SELECT *, regexp_matches(sentence, 'disgusting|moron|license') AS hit FROM chg) GROUP BY 1, 2")
+_KEY = "CASE WHEN contains(sentence, 'disgusting') THEN 'disgusting' WHEN contains(sentence, 'moron') THEN 'moron' WHEN contains(sentence, 'license') THEN 'license' END"
+_SAMPLE = "coalesce(array_to_string(list_sort(list(keyword || ' ' || substr(sentence, 1, 200)) FILTER (change = '{}' AND keyword IS NOT NULL))[1:10], '; '), '')"
+
+
+@query(_CHG + f" SELECT source, doc_id, count(*) FILTER (change = 'added') AS added_count, count(*) FILTER (change = 'removed') AS removed_count, count(*) FILTER (change = 'added' AND keyword IS NOT NULL) AS n_escalations, count(*) FILTER (change = 'removed' AND keyword IS NOT NULL) AS n_deletions, 2 * count(*) FILTER (change = 'added' AND keyword IS NOT NULL) + count(*) FILTER (change = 'removed' AND keyword IS NOT NULL) AS risk_score, {_SAMPLE.format('added')} AS escalations, {_SAMPLE.format('removed')} AS silent_deletions FROM (SELECT *, {_KEY} AS keyword FROM chg) GROUP BY 1, 2")
 def risk_language_change(s, d):
-    return D.risk_language_change(changes(s, d), "source", "doc_id", _WORDS).drop("escalations", "silent_deletions")
+    shown = lambda c: F.concat_ws("; ", F.transform(c, lambda x: F.concat_ws(" ", x["keyword"], x["text"]))).alias(c)
+    out = D.risk_language_change(changes(s, d), "source", "doc_id", _WORDS)
+    return out.select("source", "doc_id", "added_count", "removed_count", "n_escalations", "n_deletions", "risk_score", shown("escalations"), shown("silent_deletions"))
 
 
 _KW = ["the", "disgusting", "apache license"]
 _CNT = lambda w: f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}"
 
 
-@query("SELECT doc_id, matched, hits FROM (SELECT doc_id, concat_ws('; ', " + ", ".join(f"CASE WHEN contains(t, '{w}') THEN '{w}' END" for w in _KW) + "), " + " + ".join(map(_CNT, _KW)) + r" FROM (SELECT doc_id, lower(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)) x(doc_id, matched, hits) WHERE hits > 0")
+def _snip(w: str) -> str:
+    pos, n = f"instr(lower(o), '{w}')", len(w)
+    return f"CASE WHEN {pos} > 0 THEN CASE WHEN {pos} > 91 THEN '...' ELSE '' END || substr(o, greatest(1, {pos} - 90), least(length(o) + 1, {pos} + {n + 90}) - greatest(1, {pos} - 90)) || CASE WHEN {pos} + {n + 90} <= length(o) THEN '...' ELSE '' END END"
+
+
+@query("SELECT doc_id, matched, hits, snippets FROM (SELECT doc_id, concat_ws('; ', " + ", ".join(f"CASE WHEN contains(t, '{w}') THEN '{w}' END" for w in _KW) + "), " + " + ".join(map(_CNT, _KW)) + ", concat_ws(' | ', " + ", ".join(map(_snip, _KW)) + r") FROM (SELECT doc_id, o, lower(o) AS t FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS o FROM documents))) x(doc_id, matched, hits, snippets) WHERE hits > 0")
 def keyword_search(s, d):
-    return D.keyword_search(read(s, d, "documents"), _KW, ["doc_id"]).select("doc_id", F.concat_ws("; ", "matched").alias("matched"), "hits")
+    return D.keyword_search(read(s, d, "documents"), _KW, ["doc_id"]).select("doc_id", F.concat_ws("; ", "matched").alias("matched"), "hits", F.concat_ws(" | ", "snippets").alias("snippets"))
 
 
 @query(r"SELECT doc_id, CASE WHEN pos > 91 THEN '...' ELSE '' END || substr(t, greatest(1, pos - 90), least(length(t) + 1, pos + 100) - greatest(1, pos - 90)) || CASE WHEN pos + 100 <= length(t) THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, t, instr(lower(t), 'disgusting') AS pos FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents)) WHERE pos > 0")
@@ -89,14 +100,35 @@ def html_to_text(s, d):
     return read(s, d, "pages").select("page_id", F.md5(D.html_to_text(F.col("html"))).alias("text_md5"))
 
 
-@query()
+def filed(s, d):
+    """Documents as filings: some with an item 1A in one of two forms (or one too short), some with an item 7, some with neither."""
+    k, body = F.col("doc_id") % 4, F.col("text")
+    one = F.when(k == 0, F.concat(F.lit("Part I\nItem 1A. Risk  Factors We may fail. "), F.repeat(F.lit("It is hard to tell. "), F.lit(30)), body, F.lit(" Item 1B. None. ")))
+    one = one.when(k == 1, F.concat(F.lit("ITEM 1A - "), F.repeat(F.lit("Much can happen. "), F.lit(40)), F.lit(" ITEM 2 Properties "), body)).when(k == 2, F.concat(F.lit("Item 1A. Risk Factors none. Item 1B. "), body)).otherwise(body)
+    seven = F.when(F.col("doc_id") % 3 == 0, " Item 7. Management discusses  sales. Item 8. Statements").when(F.col("doc_id") % 3 == 1, " Item 7 Management ends with this").otherwise("")
+    return read(s, d, "documents").select("doc_id", F.concat(one, seven).alias("text"))
+
+
+_FILED = r"""filed AS (SELECT doc_id, regexp_replace(CASE doc_id % 4 WHEN 0 THEN 'Part I' || chr(10) || 'Item 1A. Risk  Factors We may fail. ' || repeat('It is hard to tell. ', 30) || text || ' Item 1B. None. ' WHEN 1 THEN 'ITEM 1A - ' || repeat('Much can happen. ', 40) || ' ITEM 2 Properties ' || text WHEN 2 THEN 'Item 1A. Risk Factors none. Item 1B. ' || text ELSE text END
+ || CASE doc_id % 3 WHEN 0 THEN ' Item 7. Management discusses  sales. Item 8. Statements' WHEN 1 THEN ' Item 7 Management ends with this' ELSE '' END, '\s+', ' ', 'g') AS t FROM documents)"""
+
+
+def _part(begin: str, end: str) -> str:
+    rest = f"substr(t, nullif(strpos(t, regexp_extract(t, '{begin}')), 0))"
+    return f"CASE WHEN regexp_matches(t, '{begin}') THEN CASE WHEN regexp_matches({rest}, '{end}') THEN substr({rest}, 1, strpos({rest}, regexp_extract({rest}, '{end}')) - 1) ELSE substr({rest}, 1, 50000) END END"
+
+
+@query(f"WITH {_FILED} SELECT doc_id, md5({_part('(?i)Item +1A[.]? +Risk +Factors', '(?i)Item +(1B|2)[.]? +')}) AS risk_factors, md5({_part('(?i)Item +7[.]? +Management', '(?i)Item +(7A|8)[.]? +')}) AS mda FROM filed")
 def extract_sections(s, d):
-    return D.extract_sections(read(s, d, "documents")).select("doc_id", F.length("risk_factors").alias("risk_factors"), F.length("mda").alias("mda"))
+    return D.extract_sections(filed(s, d)).select("doc_id", F.md5("risk_factors").alias("risk_factors"), F.md5("mda").alias("mda"))
+
 
+_ITEM = r"regexp_extract(t, '(?is)Item\s+1A[\.\s]+Risk\s+Factors(.*?)(?:Item\s+1B|Item\s+2[\.\s])', 1)", r"regexp_extract(t, '(?is)ITEM\s+1A(.*?)(?:ITEM\s+1B|ITEM\s+2)', 1)"
 
-@query(r"SELECT doc_id, CAST(CASE WHEN instr(lower(t), 'risk factors') > 1 THEN least(25000, length(t) - instr(lower(t), 'risk factors') + 1) ELSE least(15000, length(t)) END AS INTEGER) AS n FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents)")
+
+@query(f"WITH {_FILED} SELECT doc_id, md5(CASE WHEN length({_ITEM[0]}) > 500 THEN substr(trim({_ITEM[0]}), 1, 25000) WHEN length({_ITEM[1]}) > 500 THEN substr(trim({_ITEM[1]}), 1, 25000) WHEN instr(lower(t), 'risk factors') > 1 THEN substr(t, instr(lower(t), 'risk factors'), 25000) ELSE substr(t, 1, 15000) END) AS item FROM filed")
 def extract_item_1a(s, d):
-    return read(s, d, "documents").select("doc_id", F.length(D.extract_item_1a(F.col("text"))).alias("n"))
+    return filed(s, d).select("doc_id", F.md5(D.extract_item_1a(F.col("text"))).alias("item"))
 
 
 @query()
@@ -119,14 +151,14 @@ _SIM = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBL
 _DOT = lambda a, b: _SIM.format(a=a, b=b)
 
 
-@query(f"SELECT query_id, id, similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT('v.embedding', 'q.embedding')} / sqrt({_DOT('v.embedding', 'v.embedding')}) / sqrt({_DOT('q.embedding', 'q.embedding')}), 3) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT('v.embedding', 'q.embedding')} / sqrt({_DOT('v.embedding', 'v.embedding')}) / sqrt({_DOT('q.embedding', 'q.embedding')}), 3) DESC, v.vec_id) AS rank FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id < 3) q ON q.label = v.label) WHERE rank <= 10")
+@query(f"SELECT query_id, id, similarity, rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round({_DOT('v.embedding', 'q.embedding')} / sqrt({_DOT('v.embedding', 'v.embedding')}) / sqrt({_DOT('q.embedding', 'q.embedding')}), 3) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT('v.embedding', 'q.embedding')} / sqrt({_DOT('v.embedding', 'v.embedding')}) / sqrt({_DOT('q.embedding', 'q.embedding')}), 3) DESC, v.vec_id) AS rank FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q ON q.label = v.label) WHERE rank <= 10")
 def vector_top_k(s, d):
-    return similar(s, d, "vec_id < 3")
+    return similar(s, d, "vec_id % 100 = 0")
 
 
-@query(ORACLES["vector_top_k"].replace("vec_id < 3", "vec_id % 100 = 0"))
+@query(ORACLES["vector_top_k"])
 def vector_top_k_all(s, d):
-    """The search of vector_top_k for every hundredth vector of the table."""
+    """Another name of vector_top_k."""
     return similar(s, d, "vec_id % 100 = 0")
 
 
@@ -181,14 +213,14 @@ def queried(s, d):
     return rows.select(F.explode(forms).alias("query"))
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS cik, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 0 AND s_suppkey < 50) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND contains(o_orderpriority, 'HIGH')")
+@query("SELECT CAST(o_custkey AS VARCHAR) AS cik, CAST(o_orderkey AS VARCHAR) AS accession FROM orders WHERE o_custkey IN (SELECT s_suppkey FROM supplier WHERE s_suppkey > 0) AND CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' AND contains(o_orderpriority, 'HIGH')")
 def filings_search(s, d):
-    return searched(s, d, "position between 1 and 49")
+    return searched(s, d, "position > 0")
 
 
-@query(ORACLES["filings_search"].replace(" AND s_suppkey < 50", ""))
+@query(ORACLES["filings_search"])
 def filings_search_all(s, d):
-    """The search of filings_search for all suppliers."""
+    """Another name of filings_search."""
     return searched(s, d, "position > 0")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,17 +15,27 @@ from filingscope.operators.maintenance import replace_holdings
 Sink = Callable[[DataFrame, int], None]
 
 
-def new_filing_alerts(filings: DataFrame, form: str = "ALL", days: int = 7) -> DataFrame:
-    """New filings of a form, each accession once. Works on streams (seen ones are kept for `days`) and on tables.
+def new_filing_alerts(filings: DataFrame, form: str = "ALL", days: int = 7, since: datetime | None = None) -> DataFrame:
+    """New filings of a form within the look-back, each accession once, oldest first.
 
-    Filings have a timestamp filed_at; what arrives more than `days` late is dropped with the state.
+    Filings have a timestamp filed_at. The look-back begins at `since`; a table's begins `days` before
+    its newest filing if there is no `since`. On a stream seen accessions are kept for `days`, and what
+    arrives later than that is dropped with them; batches are put in order by oldest_first().
     """
     rows = filings.filter(form_matches("form", form))
+    if since is not None:
+        rows = rows.filter(F.col("filed_at") >= F.lit(since))
     if rows.isStreaming:
         return rows.withWatermark("filed_at", f"{days} days").dropDuplicatesWithinWatermark(["accession"])
-    latest = rows.agg(F.max("filed_at").alias("newest"))  # one row
-    recent = rows.crossJoin(latest).filter(F.col("filed_at") >= F.col("newest") - F.expr(f"interval {days} days")).drop("newest")
-    return recent.dropDuplicates(["accession"])
+    if since is None:
+        latest = rows.agg(F.max("filed_at").alias("newest"))  # one row
+        rows = rows.crossJoin(latest).filter(F.col("filed_at") >= F.col("newest") - F.expr(f"interval {days} days")).drop("newest")
+    return rows.dropDuplicates(["accession"]).orderBy("filed_at", "accession")
+
+
+def oldest_first(sink: Sink) -> Sink:
+    """A sink that gets each batch ordered by time."""
+    return lambda batch, number: sink(batch.orderBy("filed_at", "accession"), number)
 
 
 def followed_filings(filings: DataFrame, follows: DataFrame, days: int = 1) -> DataFrame:
@@ -40,7 +51,8 @@ def start(stream: DataFrame, sink: Sink, checkpoint: str, once: bool = True) ->
 
 
 def unseen(batch: DataFrame, stored: DataFrame, key: str = "accession") -> DataFrame:
-    return batch.dropDuplicates([key]).join(stored.select(key).distinct(), key, "left_anti")
+    """All rows of accessions that are not stored: a filing that was processed is skipped as a whole, a new one kept as a whole."""
+    return batch.join(stored.select(key).distinct(), key, "left_anti")
 
 
 def incremental_ingest(batch: DataFrame, stored: DataFrame, quarter: str, mode: str = "incremental") -> DataFrame:
@@ -57,10 +69,11 @@ def incremental_ingest(batch: DataFrame, stored: DataFrame, quarter: str, mode:
 
 
 def incremental_theme_append(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    return stored.unionByName(unseen(batch, stored).select(stored.columns))
+    """The stored themes and all themes of new filings; rows that a batch repeats count once."""
+    return stored.unionByName(unseen(batch, stored).select(stored.columns).distinct())
 
 
 def incremental_ipo_enrich(batch: DataFrame, stored: DataFrame, enrich: Callable[[DataFrame], DataFrame], n: int = 25) -> DataFrame:
     """New offerings, the newest n of a run, enriched and merged with the stored ones."""
-    fresh = unseen(batch, stored).orderBy(F.desc("filing_date"), "accession").limit(n)
+    fresh = unseen(batch, stored).dropDuplicates(["accession"]).orderBy(F.desc("filing_date"), "accession").limit(n)
     return stored.unionByName(enrich(fresh), allowMissingColumns=True)
