@@ -1,8 +1,12 @@
-"""A corpus from documents to training windows: quality, repeated lines, near duplicates, test items, packing."""
+"""A corpus from documents to training windows: quality, repeated lines, near duplicates, test items, packing.
+
+All stages take an empty table (and give one), and carry other columns along, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from filingscope import ship
 from filingscope.llm.common import write_table
@@ -10,22 +14,29 @@ from filingscope.llm.decontamination import without_leaks
 from filingscope.llm.jaccard_join import keep_one
 from filingscope.llm.line_dedup import MADE, dedupe_lines
 from filingscope.llm.packing import pack
-from filingscope.llm.quality_classifier import fit_quality, score_quality
+from filingscope.llm.quality_classifier import accepted, fit_quality
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts. It learns from the labels of the stage's own documents."""
+    """Documents that the classifier accepts. It learns from the labels of the stage's own documents.
+
+    Each row is judged by its text; null and empty texts have the score of the bias. Without labels all
+    scores are 0.5 and all rows stay. Rows that repeat, or share an id, are judged alike or each by itself.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs, fit_quality(docs, labels), keep=tuple(docs.columns))
-    return scored.filter("predicted = 1").select(docs.columns)
+    return accepted(docs, fit_quality(docs, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of repeated line runs; those that are later copies as a whole go."""
+    """Documents without later copies of repeated line runs; those that are later copies as a whole go.
+
+    Null texts, and texts without a worded line, stay. Of rows with one id any counts as the first copy.
+    """
     ship(spark)
-    left = dedupe_lines(docs)
-    return left.filter("n_deleted = 0 or n_deleted < n_lines").drop(*MADE).select(docs.columns)
+    names = {c: f"{c} of docs" if c in MADE else c for c in docs.columns}
+    left = dedupe_lines(docs.toDF(*names.values())).filter("n_deleted = 0 or n_deleted < n_lines")
+    return left.select(*[F.col(f"`{new}`").alias(c) for c, new in names.items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +56,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens; a null or empty text is its end token alone."""
     ship(spark)
     return pack(docs)
 

@@ -1,22 +1,29 @@
-"""Quality rules from a public vocabulary: characters per token, byte fallback and token entropy, in bands per language."""
+"""Quality rules from public vocabularies: characters per token, byte fallback and token entropy, in bands per language or script."""
 
 from __future__ import annotations
 
+import unicodedata
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filingscope.llm.common import WordHashes, shingles, texts_of, write_table
-from filingscope.llm.tokens import Pieces, opened
+from filingscope.llm.tokens import ByteBpe, Pieces, opened
 
-VOCABULARY = "piece_bpe_32k.model"
+#: The vocabulary with byte fallback, and a byte-level one.
+VOCABULARY, BYTE_LEVEL = "piece_bpe_32k.model", "byte_bpe_50k.json"
 WINDOW = 256
 #: A band reaches this many interquartile ranges beyond the quartiles. It is wider for texts under STEADY
 #: tokens, by the square root of what they lack, and the vocabulary doesn't judge the shortest texts.
 REACH, LEAST_TOKENS, STEADY = 3.0, 64, 512
 #: Metrics, the width of their histogram's bins, the least interquartile range counted, and which sides reject.
-METRICS = {"chars_per_token": (0.01, 0.10, "both"), "byte_share": (0.001, 0.01, "high"), "token_entropy": (0.005, 0.02, "low")}
+METRICS = {
+    "chars_per_token": (0.01, 0.10, "both"), "byte_share": (0.001, 0.01, "high"), "token_entropy": (0.005, 0.02, "low"),
+    "byte_level_chars_per_token": (0.01, 0.10, "both"), "byte_level_entropy": (0.005, 0.02, "low"),
+}
 BATCH = 256
 
 
@@ -38,6 +45,15 @@ def base_counts(text: bytes, hashes: WordHashes) -> tuple[int, int, int, int, in
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated
 
 
+def script_of(text: str) -> str:
+    """The script of most letters, by their names (Latin, Cyrillic, Cjk, ...); none without letters."""
+    found: Counter = Counter()
+    for char, n in Counter(text).items():
+        if char.isalpha():
+            found[unicodedata.name(char, "UNKNOWN").replace("-", " ").split()[0].capitalize()] += n
+    return min(found, key=lambda s: (-found[s], s)) if found else "none"
+
+
 def token_metrics(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[int, float, float, float]:
     """n_tokens, characters per token, share of byte-fallback tokens, token entropy.
 
@@ -62,26 +78,29 @@ def token_metrics(ids: np.ndarray, chars: int, is_byte: np.ndarray) -> tuple[int
     return n, chars / n, float(is_byte[ids].mean()), entropy
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The counts and metrics of every whole text (null: empty), with its band's key: the language, und if there is none."""
-    names = ["doc_id", "band", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "chars_per_token", "byte_share", "token_entropy"]
-    kinds = [pa.int64(), pa.string()] + [pa.int64()] * 6 + [pa.float64()] * 3
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, byte_level: str = BYTE_LEVEL) -> DataFrame:
+    """The counts and metrics of every whole text (null: empty), with its band's key: the language, or the script if there is none."""
+    names = ["doc_id", "band", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", *METRICS]
+    kinds = [pa.int64(), pa.string()] + [pa.int64()] * 6 + [pa.float64()] * len(METRICS)
 
     def run(batches):
-        encoder, hashes = opened(Pieces, vocabulary), WordHashes()
+        encoder, second, hashes = opened(Pieces, vocabulary), opened(ByteBpe, byte_level), WordHashes()
+        no_byte = np.zeros(len(second.lengths), bool)
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 raw = [x or b"" for x in texts_of(part.column(2))]
                 texts = [x.decode("utf-8", "replace") for x in raw]
                 rows = []
-                for data, text, ids in zip(raw, texts, encoder.encode(texts)):
-                    rows.append(base_counts(data, hashes) + token_metrics(np.frombuffer(ids, "<u4"), len(text), encoder.byte))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds[2:])]], names=names)
+                for data, text, ids, others in zip(raw, texts, encoder.encode(texts), second.encode(texts)):
+                    _, chars, _, entropy = token_metrics(np.frombuffer(others, "<u4"), len(text), no_byte)
+                    rows.append((*base_counts(data, hashes), *token_metrics(np.frombuffer(ids, "<u4"), len(text), encoder.byte), chars, entropy))
+                bands = [x or script_of(t) for x, t in zip(part.column(1).to_pylist(), texts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bands, pa.string()), *[pa.array(c, k) for c, k in zip(zip(*rows), kinds[2:])]], names=names)
 
-    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und")) if lang_col in docs.columns else F.lit("und")
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), lang.alias("band"), F.col(text_col).cast("string"))
-    return rows.mapInArrow(run, "doc_id long, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, token_entropy double")
+    return rows.mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long' if k == pa.int64() else 'double'}" for n, k in zip(names, kinds)))
 
 
 def rejection_bands(measured: DataFrame, reach: float = REACH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
@@ -104,8 +123,9 @@ def fertility_rules(docs: DataFrame, reach: float = REACH, least_tokens: int = L
     """Base counts, base verdict, metrics and kept of every row.
 
     A row is rejected if the base rules fail it or, with least_tokens tokens at least, if a metric is
-    outside its language's band. Null texts are empty (and fail for want of words); a language without
-    texts long enough has no band and rejects nothing; repeated rows are judged alike.
+    outside the band of its language, or of its script where it has no language. Null texts are empty (and
+    fail for want of words); a language without texts long enough has no band and rejects nothing;
+    repeated rows are judged alike, an empty table gives an empty result, and other columns are not read.
     """
     measured = write_table(measure(docs, **columns), "measured")
     bands = rejection_bands(measured, reach, least_tokens).groupBy("band").agg(*[F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{m}_{end}") for m in METRICS for end in ("low", "high", "margin")])

@@ -23,7 +23,7 @@ from filingscope.llm.common import WordHashes, bucket_of, drop_table, pack, pack
 
 WORDS, PERCENT = 4, 85
 #: Tokens that one task of the exchange handles, on average; sets and tokens of one message at most.
-BUCKET, MESSAGE_SETS, MESSAGE_TOKENS = 1_500_000, 4_000, 2_000_000
+BUCKET, MESSAGE_SETS, MESSAGE_TOKENS = 1_000_000, 4_000, 1_000_000
 #: A token that more sets of a message have is sent once.
 OFTEN = 16
 #: Names of sets that a task remembers, to send copies once.

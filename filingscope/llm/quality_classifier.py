@@ -107,25 +107,40 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
     return np.frombuffer(found[0][0], "<f4").copy() if found else np.zeros((1 << bits) + 1, "<f4")
 
 
+def _scores(weights: np.ndarray, hashes: Tokens, texts: list[bytes | None]) -> np.ndarray:
+    bits, out = int(np.log2(len(weights) - 1)), np.empty(len(texts))
+    for i, x in enumerate(texts):
+        at = features((x or b"").decode("utf-8", "replace"), hashes, bits)
+        out[i] = float(weights[-1]) + float(weights[at].sum()) / np.sqrt(max(1, len(at)))
+    return np.round(1 / (1 + np.exp(-np.clip(out, -35, 35))), 6)
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows whose whole texts score the threshold at least, with all their columns, whatever their names."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
+
+    def keep(batches):
+        hashes = Tokens()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, hashes, texts_of(batch.column(at))) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_quality(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds score (0 to 1, six decimals) and predicted to every row: a sparse dot product over its whole text.
 
-    A null or empty text has the bias alone as its score. keep: columns to carry along.
+    A null or empty text has the bias alone as its score. keep: columns to carry along (but for such as
+    have the names of what is made here).
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)  # 2**bits numbers, whatever the input
-    bits = int(np.log2(len(weights) - 1))
-    names = ["doc_id", *[c for c in keep if c != "doc_id"]]
+    shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**bits numbers, whatever the input
+    names = ["doc_id", *[c for c in keep if c not in ("doc_id", "score", "predicted", "_text")]]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *names[1:], F.col(text_col).cast("string").alias("_text"))
 
     def score(batches):
         w, hashes = shared.value, Tokens()
         for batch in batches:
-            out = np.empty(batch.num_rows)
-            for i, x in enumerate(texts_of(batch.column(batch.num_columns - 1))):
-                at = features((x or b"").decode("utf-8", "replace"), hashes, bits)
-                out[i] = float(w[-1]) + float(w[at].sum()) / np.sqrt(max(1, len(at)))
-            p = np.round(1 / (1 + np.exp(-np.clip(out, -35, 35))), 6)
+            p = _scores(w, hashes, texts_of(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*names, "score"])
 
     schema = rows.drop("_text").schema.add("score", T.DoubleType())

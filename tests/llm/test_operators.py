@@ -152,6 +152,9 @@ def test_segments_give_the_libraries_ids():
 
     rng = random.Random(3)
     texts = ODD + ["".join(rng.choice("ab é.\n\t 1'▁<|>") for _ in range(rng.randint(1, 60))) for _ in range(500)]
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()] + ["\u200b", "\u2060", "\ufeff", "\u180e"]
+    texts += ["".join(rng.choice([*spaces, " ", " ", "a", "B", "é", "1", "'s", "-", "漢"]) for _ in range(rng.randint(1, 40))) for _ in range(800)]
+    texts += [" ".join("".join(rng.choice("0123456789") for _ in range(rng.choice([1, 3, 9, 40, 300]))) for _ in range(rng.randint(1, 6))) + rng.choice(["", " ", ".", "\n"]) for _ in range(200)]
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert [np.frombuffer(x, "<u4").tolist() for x in ByteBpe("byte_bpe_50k.json").encode(texts)] == [x.ids for x in whole.encode_batch(texts, add_special_tokens=False)]
     model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
@@ -248,6 +251,56 @@ def test_bands_reject_what_stands_out(spark):
     assert not got[500] and not got[501] and sum(got[i] for i, _, _ in good) >= 198
 
 
+def test_bands_by_brute_force(spark):
+    """All of kept from the libraries' ids: quartiles by bins, reach, wider bands for short texts."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    from filingscope.llm.fertility import LEAST_TOKENS, METRICS, REACH, STEADY, fertility_rules, script_of
+
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    greek = ["".join(rng.choice("αβγδεζηθικλμ") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rng.choice(vocab[: rng.choice([40, 800])]) for _ in range(rng.randint(10, 500))), rng.choice(["en", "de", None])) for i in range(150)]
+    rows += [(i, " ".join(rng.choice(greek) for _ in range(rng.randint(30, 200))), None) for i in range(200, 240)]
+    rows += [(300 + i, " ".join(rng.choice(vocab) + rng.choice(["", "☃☂", "7" * i]) for _ in range(200)), "en") for i in range(12)] + [(400, None, "en"), (401, "", None), (402, "only one text of its language " * 4, "xx")]
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+    def entropy(ids):
+        size = min(len(ids), 256)
+        parts = [ids[a : a + size] for a in range(0, len(ids) - size + 1, size)] + ([ids[-size:]] if len(ids) % size else [])
+        return sum(-c / size * math.log2(c / size) for p in parts for c in Counter(p).values()) / len(parts) / max(math.log2(size), 1)
+
+    known = {}
+    for i, t, lang in rows:
+        a, b = pieces.encode(t or ""), whole.encode(t or "", add_special_tokens=False).ids
+        if a:
+            values = (len(t) / len(a), sum(map(pieces.is_byte, a)) / len(a), entropy(a), len(t) / len(b), entropy(b))
+        else:
+            values = (0.0,) * 5
+        known[i] = (lang or script_of(t or ""), len(a), dict(zip(METRICS, values)))
+    want = {}
+    for i, t, _ in rows:
+        band, n, values = known[i]
+        w = text_words(t)
+        grams = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        twice = {j + m for j in range(len(w) - 7) if grams[tuple(w[j : j + 8])] > 1 for m in range(8)}
+        good = not (len(w) < 20 or 100 * len(twice) > 30 * len(w))
+        for m, (width, least, side) in METRICS.items():
+            bins = sorted(math.floor(v[m] / width) for b, k, v in known.values() if b == band and k >= LEAST_TOKENS)
+            if not bins or n < LEAST_TOKENS:
+                continue
+            q1, q3 = ((next(x for j, x in enumerate(bins) if bins.count(x) + sum(y < x for y in bins) >= q * len(bins)) + 0.5) * width for q in (0.25, 0.75))
+            margin = REACH * max(q3 - q1, least) * max(1.0, math.sqrt(STEADY / n))
+            good &= not (side != "high" and values[m] < q1 - margin or side != "low" and values[m] > q3 + margin)
+        want[i] = good
+    got = {r["doc_id"]: r["kept"] for r in fertility_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want) - 3
+    assert {script_of("abc"), script_of("αβγ a"), script_of("12"), script_of("漢字")} == {"Latin", "Greek", "none", "Cjk"}
+
+
 # --- line dedup
 
 
@@ -584,6 +637,53 @@ def test_ftrl_update_is_the_published_one():
     assert abs(m.weights(np.array([3]))[0] - 0.5 / ((1 + 0.5) / 0.5)) < 1e-12
 
 
+def test_quality_scores_by_brute_force(spark):
+    """A plain FTRL over dictionaries, fed the same rows in the same order, gives the same scores."""
+    import xxhash
+
+    from filingscope.llm.quality_classifier import ALPHA, BETA, BITS, EPOCHS, L1, L2, classify_quality
+
+    full = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 & full
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & full
+        return h ^ (h >> 33)
+
+    def bag(text):
+        h, out = [], set()
+        for token in re.findall(r"[^\W\d_]+|\d+|[^\w\s]+|_+", text or ""):
+            h.append(xxhash.xxh3_64_intdigest(("#" if token.isdigit() else "^" + token.lower() if len(token) > 1 and token.isupper() else token.lower()).encode()))
+        h = [0xA5A5 if i and h[i] == h[i - 1] else x for i, x in enumerate(h)]
+        out = {mix(x) >> 64 - BITS for x in h} | {mix((b + mix((a + 0x9E3779B97F4A7C15) & full)) & full) >> 64 - BITS for a, b in zip(h, h[1:])}
+        return sorted(out)
+
+    rng = random.Random(19)
+    rows = [(i, " ".join(rng.choice([w, w.upper(), w, "7" * (i % 4)]) for w in words(rng, rng.randint(0, 40), 60)) + rng.choice(["", " !!", " ##"])) for i in range(80)] + [(90, None)]
+    labels = {i: int(rng.random() < 0.6) for i in range(80)}
+    train = sorted((np.array(bag(t), "<i4").tobytes(), i) for i, t in rows if i in labels and t is not None and zlib.crc32(str(i).encode()) % 5 != 0)
+    texts, z, n = dict(rows), defaultdict(float), defaultdict(float)
+    weight = lambda k: 0.0 if abs(z[k]) <= L1 else (math.copysign(L1, z[k]) - z[k]) / ((BETA + math.sqrt(n[k])) / ALPHA + L2)
+    order = np.random.default_rng(1)
+    for _ in range(EPOCHS):
+        for j in order.permutation(len(train)):
+            i = train[j][1]
+            at = bag(texts[i])
+            x = {k: 1 / math.sqrt(max(1, len(at))) for k in at} | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - labels[i]) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / ALPHA * w[k]
+                n[k] += g * g
+    want = {}
+    for i, t in rows:
+        at = bag(t)
+        want[i] = 1 / (1 + math.exp(-(weight("bias") + sum(weight(k) for k in at) / math.sqrt(max(1, len(at))))))
+    got = {r["doc_id"]: r for r in classify_quality(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int")).collect()}
+    assert all(abs(got[i]["score"] - want[i]) < 1e-4 and got[i]["predicted"] == (got[i]["score"] >= 0.3) for i in want) and len({round(x, 2) for x in want.values()}) > 10
+
+
 def test_quality_on_held_out_rows(spark, docs, empty):
     from filingscope.llm.quality_classifier import classify_quality
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -48,3 +49,42 @@ def test_stages(spark, folder):
     packed = P.STAGES[-1][1](spark, docs, folder)
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept[names[3]])
     assert P.run(spark, folder).count() == packed.count()
+
+
+def test_stages_on_odd_rows(spark, folder, tmp_path):
+    """Null and repeated ids, repeated rows, null and empty texts, other columns with names that operators use; and no rows."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    some = docs.filter("doc_id < 60 or doc_id in (200, 204, 205) or doc_id is null").withColumn("doc_id", F.when(F.col("doc_id") % 10 == 3, F.lit(None)).otherwise(F.col("doc_id")))
+    some = some.unionByName(some.filter("doc_id = 8")).unionByName(some.filter("doc_id = 9").withColumn("text", F.concat(F.lit("another text under this id. "), F.reverse("text"))))
+    for name in ("row", "set", "key", "n", "score", "predicted", "n_lines", "root", "_id", "c0"):
+        some = some.withColumn(name, F.lit("clash"))
+    some.write.parquet(f"file://{tmp_path}/documents.parquet")
+    some = spark.read.parquet(f"file://{tmp_path}/documents.parquet")
+    columns = some.columns
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").first()["text"]
+    for name, stage in P.STAGES[:-1]:
+        before = some.count()
+        some = P.write_table(stage(spark, some, folder), "odd")
+        assert some.columns == columns and 0 < some.count() <= before
+        assert some.filter("score <> 'clash' or n_lines <> 'clash' or set <> 'clash'").isEmpty()
+        assert stage(spark, some.limit(0), folder).count() == 0
+    rows = some.select("doc_id", "text").collect()
+    assert not [r for r in rows if r["text"] and item in r["text"]]  # the item's text stood under a null id too
+    assert len([r for r in rows if r["doc_id"] == 8]) == 1 and len([r for r in rows if r["doc_id"] == 9]) == 2
+    packed = P.STAGES[-1][1](spark, some, folder)
+    assert packed.agg(F.sum("length")).first()[0] == packed.filter("start = 0").agg(F.sum("doc_tokens")).first()[0]
+    assert P.STAGES[-1][1](spark, some.limit(0), folder).count() == 0
+
+
+def test_near_duplicates_against_all_pairs(spark, sf):
+    """Of rows that all pairs link, one of each group stays: no link of the sf table is lost."""
+    import corpus_pipeline as P
+    from test_operators import brute_groups
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    groups = brute_groups(rows, 5, 80)
+    want = {i for i, n, c in groups if n == 0 or i == c}
+    assert {r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect()} == want and len(want) < len(rows)
