@@ -15,7 +15,8 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application.
 
-    Rows may hold very long texts, so Arrow batches are made smaller, unless the session has a size of its own.
+    Rows may hold very long texts, so the session's Arrow batches are made smaller from here on (512 rows), unless it
+    has a size of its own; set spark.sql.execution.arrow.maxRecordsPerBatch before or after to choose another.
     """
     sc = spark.sparkContext
     if spark.conf.get(BATCH_ROWS) == "10000":

@@ -17,10 +17,9 @@ def portfolio_aggregate(holdings: DataFrame) -> DataFrame:
 
 def unit_normalize_by_median(portfolio: DataFrame) -> DataFrame:
     """Values in thousands: a filing whose upper median of value per share is over 4 is divided by 1000."""
-    ratios = portfolio.filter("value > 0 and shares > 0").select("accession", "security", (F.col("value") / F.col("shares")).alias("ratio"))
-    w = Window.partitionBy("accession")
-    ranked = ratios.withColumns({"rn": F.row_number().over(w.orderBy("ratio", "security")), "n": F.count(F.lit(1)).over(w)})
-    middle = ranked.filter("rn = floor(n / 2) + 1").select("accession", F.col("ratio").alias("median_ratio"))
+    # a filing's ratios are one array: as many as it has securities
+    ratios = portfolio.filter("value > 0 and shares > 0").groupBy("accession").agg(F.array_sort(F.collect_list(F.col("value") / F.col("shares"))).alias("r"))
+    middle = ratios.select("accession", F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")).alias("median_ratio"))
     return portfolio.join(middle, "accession", "left").withColumn("value", F.when(F.col("median_ratio") > 4, F.col("value") / 1000).otherwise(F.col("value")))
 
 
