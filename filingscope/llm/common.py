@@ -1,58 +1,15 @@
-"""What the operators of this subpackage share: shared-folder tables, words of a text, gapless numbering."""
+"""What the operators of this subpackage share: packed arrays, words of a text, gapless numbering."""
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from filingscope.tables import drop_table, new_path, write_table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local one on a local master."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="filingscope-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def write_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: the lineage ends here, and a lost executor loses nothing.
-
-    The shuffle files of its plan, which nothing reads later, are deleted once it is written.
-    by is a column of few values that deals the rows out to folders.
-    """
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(by) if by else writer).parquet(path)
-    finally:
-        spark.conf.set(key, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_table(*tables: DataFrame) -> None:
-    """Deletes the files of tables of write_table() that no later plan reads."""
-    for df in tables:
-        spark = df.sparkSession
-        for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["MIX", "WordHashes", "bucket_of", "drop_table", "new_path", "number_rows", "pack", "pack_sorted", "scramble", "shingles", "slices_of", "texts_of", "unpack", "unpack_sorted", "write_table"]
 
 
 def pack(a: np.ndarray) -> bytes:

@@ -158,8 +158,23 @@ def _index(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in INDEX.split(", ")])
 
 
+def checked_bundles(index: DataFrame) -> DataFrame:
+    """(bundle) of an index; an error if the seek table at a bundle's end has other frames than the index."""
+
+    def check(batches):
+        for batch in batches:
+            for uri, at, size, full in zip(*[c.to_pylist() for c in batch.columns]):
+                if sorted(zip(at, size, full)) != seek_table(uri):
+                    raise ValueError(f"{uri}: the index and the seek table name different frames")
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["bundle"])
+
+    # a bundle's frames are bounded by its size
+    frames = index.groupBy("bundle").agg(F.sort_array(F.collect_set(F.struct("frame_at", "frame_size", "frame_bytes"))).alias("f"))
+    return frames.select("bundle", "f.frame_at", "f.frame_size", "f.frame_bytes").mapInArrow(check, "bundle string")
+
+
 def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
-    """The records of an index, each frame fetched and opened once by its place.
+    """The records of an index, each frame fetched and opened once by its place, which its bundle's seek table must confirm.
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, record_id (and payload;
     null for revisits). A response's digest is computed anew and must equal its header's.
@@ -192,7 +207,7 @@ def read_archives(index: DataFrame, with_payload: bool = False) -> DataFrame:
     packed = index.groupBy("bundle", "frame_at").agg(F.first("frame_size").alias("n")).agg(F.sum("n")).first()[0] or 0
     tasks = max(index.sparkSession.sparkContext.defaultParallelism, packed // READ_BYTES + 1)
     frames = index.groupBy("bundle", "frame_at", "frame_size").agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("r"))
-    frames = frames.repartition(tasks, "bundle", "frame_at")
+    frames = frames.join(checked_bundles(index), "bundle").repartition(tasks, "bundle", "frame_at")
     return frames.select("bundle", "frame_at", "frame_size", "r.offset", "r.length").mapInArrow(read, schema)
 
 

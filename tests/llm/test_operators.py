@@ -199,6 +199,8 @@ def test_warc(spark):
         frames = seek_table(bundle)
         mine = index.filter(F.col("bundle") == bundle).collect()
         assert {(r["frame_at"], r["frame_size"], r["frame_bytes"]) for r in mine} == set(frames)
+    with pytest.raises(Exception, match="name different frames"):
+        read_archives(index.withColumn("frame_size", F.col("frame_size") + 1)).count()
     with pytest.raises(ValueError):
         parse_record(b"HTTP/1.1 200 OK\r\n\r\n")
     assert read_archives(write_archives(df.limit(0))).count() == 0
