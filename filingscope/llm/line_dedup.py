@@ -18,6 +18,8 @@ from filingscope.llm.common import drop_table, texts_of, write_table
 
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 6
+#: Rows up to which a step is one plan. Beyond, tables cut it, so that AQE can split joins with a line that very many texts have.
+SMALL = 200_000
 
 
 def run_lengths(words: np.ndarray, least: int) -> np.ndarray:
@@ -49,13 +51,15 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
     return docs.select("doc", "row", "text").mapInArrow(cut, schema)
 
 
-def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], small: bool) -> DataFrame:
     """doc, row, at and the rank of its keys among the sorted keys that occur twice or more; the others are dropped."""
     twice = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # ids of a range-sorted table are in the keys' order
-    ranks = write_table(twice.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
-    found = write_table(rows.join(ranks, keys).select("doc", "row", "at", "rank"), name)
-    drop_table(ranks)
+    ranks = twice.orderBy(*keys).withColumn("rank", F.monotonically_increasing_id())
+    ranks = ranks if small else write_table(ranks, "suffix-ranks")
+    found = write_table(rows.join(ranks, keys).select("doc", "row", "at", "rank"), "suffixes")
+    if not small:
+        drop_table(ranks)
     return found
 
 
@@ -66,11 +70,11 @@ def suffix_ranks(lines: DataFrame) -> dict[int, DataFrame]:
     are in no repeated run of h lines and drop out, so later rounds have fewer rows.
     """
     h, levels = 1, {}
-    found = _ranked(lines, ["id"], "suffixes")
-    while not found.isEmpty():
+    found = _ranked(lines, ["id"], False)
+    while n := found.count():
         levels[h] = found
         later = found.select("row", (F.col("at") - h).alias("at"), F.col("rank").alias("later"))
-        found = _ranked(found.join(later, ["row", "at"]).withColumnRenamed("rank", "first"), ["first", "later"], "suffixes")
+        found = _ranked(found.join(later, ["row", "at"]).withColumnRenamed("rank", "first"), ["first", "later"], n <= SMALL)
         h *= 2
     drop_table(found)
     return levels
@@ -90,28 +94,37 @@ def earlier_copies(levels: dict[int, DataFrame]) -> DataFrame | None:
     """
     place = F.struct("doc", "row", "at")
     deeper = gone = None
+    tables: list[DataFrame] = []
+    n = 0
     for s in sorted(levels, reverse=True):
         ranks = levels[s]
+        n += ranks.count()
+        small = n <= SMALL
         whole = ranks if gone is None else ranks.join(gone, ["row", "at"], "left_anti")
         rows = whole.select(F.lit(0).cast("long").alias("group"), F.lit(0).alias("n"), "doc", "row", "at", F.lit(True).alias("seeks"), "rank", F.lit(None).cast("struct<doc:long,row:long,at:int>").alias("origin"))
         if deeper is not None:
             ahead = ranks.select("row", F.col("at").alias("next"), "rank")
             rows = rows.unionByName(deeper.withColumn("next", F.col("at") + F.col("n")).join(ahead, ["row", "next"], "left").drop("next"))
-        rows = write_table(rows, "line-groups")
+        rows = rows if small else write_table(rows, "line-groups")
         parts = rows.filter("rank is not null").groupBy("group", "rank").agg(F.min(place).alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
-        parts = write_table(parts, "line-parts")  # as a table, its join with a line that very many texts have can be split
-        split = write_table(rows.join(parts, ["group", "rank"], "left").withColumn("leads", (F.col("lead.row") == F.col("row")) & (F.col("lead.at") == F.col("at"))), "line-split")
+        parts = parts if small else write_table(parts, "line-parts")
+        split = rows.join(parts, ["group", "rank"], "left").withColumn("leads", (F.col("lead.row") == F.col("row")) & (F.col("lead.at") == F.col("at")))
+        split = write_table(split, "line-split")
+        if not small:
+            drop_table(rows, parts)
+        n = split.filter("group != 0 or lead is not null").count()
         stay = split.filter("group != 0 and (lead is null or leads)").select("group", "n", "doc", "row", "at", "seeks", "origin")
         inner = split.filter("lead is not null")
         inner = inner.select(F.xxhash64("group", "n", F.lit(s), "rank").alias("group"), (F.col("n") + s).alias("n"), "doc", "row", "at", (F.col("seeks") & ~F.col("leads")).alias("seeks"), F.when(F.col("leads"), F.col("origin")).otherwise(F.col("lead")).alias("origin"))
-        left = inner.filter("n = %d and seeks" % s).select("row", "at")
-        former = [x for x in (deeper, gone) if x is not None]
-        left = left if gone is None else left.unionByName(gone)
-        deeper, gone = write_table(stay.unionByName(inner), "line-deeper"), write_table(left, "line-gone")
-        drop_table(rows, parts, split, *former)
-    if gone is not None:
-        drop_table(gone)
-    return None if deeper is None else deeper.filter("seeks").select("row", "at", "n", "origin")
+        deeper = stay.unionByName(inner)
+        left = split.filter("group = 0 and lead is not null and not leads").select("row", "at")
+        gone = left if gone is None else gone.unionByName(left)
+        tables.append(split)
+    if deeper is None:
+        return None
+    found = write_table(deeper.filter("seeks").select("row", "at", "n", "origin"), "line-copies")
+    drop_table(*tables)
+    return found
 
 
 def repeated_runs(lines: DataFrame) -> DataFrame | None:
