@@ -3,9 +3,9 @@
 Texts are read once and become messages of about a million tokens, a table of words and their order.
 Each n-gram of a message goes to a bucket of the partitioned tables once; the buckets sum up the
 training counts and answer each message. Every n-gram that the training texts have belongs to one message,
-which adds its discounted count and its probability at the next lower order to its context; the
-contexts are summed up in the same buckets, and a message gets the sums of those from which its
-texts back off. Then each token is evaluated recursively: trigram, else bigram, else word, else the
+which adds its discounted count and its probability at the next lower order to its context; those
+contexts that held-out texts have (a text that the model trains on never backs off) are summed up in
+the same buckets, and a message gets the sums of those from which its texts back off. Then each token is evaluated recursively: trigram, else bigram, else word, else the
 share that is left for unknown words. Nothing is held for the whole vocabulary outside the tables.
 """
 
@@ -106,6 +106,14 @@ class Message:
         self.keys = np.concatenate([self.context_keys[:v], self.context_keys[v + 1 : -1], _keys(h3, 3)])
         self.by = np.argsort(self.keys)
 
+    def held_contexts(self, train: np.ndarray) -> np.ndarray:
+        """Of each key, in the order of keys, whether a token of a held-out text has it as its context."""
+        at = np.repeat(~train, self.sizes)
+        out = [np.zeros(n, bool) for n in (len(self.words) + 1, len(self.context2) + 1, len(self.context3) + 1)]
+        out[0][self.context2[self.two[at]]] = True
+        out[1][self.context3[self.three[at]]] = True
+        return np.concatenate([x[:-1] for x in out])
+
     def counts(self, train: np.ndarray) -> np.ndarray:
         """Of each key, in the order of keys: tokens of training texts."""
         at = np.repeat(train, self.sizes)
@@ -155,13 +163,14 @@ def read_texts(docs: DataFrame) -> DataFrame:
 
 
 def ask_counts(homes: DataFrame, buckets: int) -> DataFrame:
-    """Messages -> by bucket, their n-grams with training counts (kind asks)."""
+    """Messages -> by bucket, their n-grams (kind asks) with twice their training counts, and one more for contexts of held-out texts."""
 
     def ask(batches):
         for batch in batches:
             for name, a, b, c in zip(batch.column(0).to_pylist(), *batch.columns[1:]):
                 message, docs_ = Message.unpacked(a.as_py(), b.as_py(), c.as_py())
-                keys, counts = message.keys[message.by], message.counts(docs_[:, 2] == 1)[message.by]
+                train = docs_[:, 2] == 1
+                keys, counts = message.keys[message.by], (2 * message.counts(train) + message.held_contexts(train))[message.by]
                 yield _batch([("asks", name, int(to), pack_sorted(keys[x:y]), pack(counts[x:y]), None) for to, x, y in _buckets(keys, buckets)])
 
     return homes.select("batch", "a", "b", "c").mapInArrow(ask, FIELDS)
@@ -180,7 +189,8 @@ def _buckets(keys: np.ndarray, buckets: int):
 def _count(keep: bool):
     """A bucket's messages -> the answers, its counts of counts and, if they are kept, its table of counts.
 
-    An answer is twice a key's count, and one more in the message that the key belongs to, the first that trains on it.
+    An answer is four times a key's count, two more in the message that the key belongs to, the first that
+    trains on it, and one more if it is a context of any held-out text.
     """
 
     def count(rows: pd.DataFrame) -> pd.DataFrame:
@@ -188,11 +198,11 @@ def _count(keep: bool):
         keys, own = np.concatenate([unpack_sorted(x) for x in rows["a"]]), np.concatenate([unpack(x, np.int64) for x in rows["b"]])
         sizes = [int(np.frombuffer(x[:4], np.uint32)[0]) for x in rows["a"]]
         by = np.argsort(keys, kind="stable")
-        keys, own = keys[by], own[by]
+        keys, held, own = keys[by], own[by] & 1, own[by] >> 1
         starts, ends = slices_of(keys)
         keys, totals = keys[starts], np.add.reduceat(own, starts)
-        value = np.repeat(2 * totals, ends - starts)
-        value[np.minimum.reduceat(np.where(own > 0, np.arange(len(own)), len(own) - 1), starts)[totals > 0]] += 1
+        value = np.repeat(4 * totals + np.maximum.reduceat(held, starts), ends - starts)
+        value[np.minimum.reduceat(np.where(own > 0, np.arange(len(own)), len(own) - 1), starts)[totals > 0]] += 2
         answer = np.empty(len(value), np.int64)
         answer[by] = value
         cuts = np.cumsum([0, *sizes])
@@ -210,15 +220,15 @@ def _count(keep: bool):
     return count
 
 
-def _opened(rows: pd.DataFrame) -> tuple[Message, np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """A message, its texts (id, null, trains, size), and by order the counts of its n-grams and which belong to it."""
+def _opened(rows: pd.DataFrame) -> tuple[Message, np.ndarray, list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """A message, its texts (id, null, trains, size), and by order its n-grams' counts, which belong to it, and which are held-out contexts."""
     own = rows[rows["kind"] == "home"].iloc[0]
     message, docs = Message.unpacked(own["a"], own["b"], own["c"])
     answers = rows[rows["kind"] == "answer"].sort_values("bucket")
     value = np.empty(len(message.keys), np.int64)
     value[message.by] = np.concatenate([unpack(x, np.int64) for x in answers["b"]])
     cuts = np.cumsum([len(message.words), len(message.context2)])
-    return message, docs, np.split(value >> 1, cuts), np.split(value & 1, cuts)
+    return message, docs, np.split(value >> 2, cuts), np.split(value >> 1 & 1, cuts), np.split(value & 1, cuts)
 
 
 def _needed(m: Message, docs: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
@@ -228,19 +238,25 @@ def _needed(m: Message, docs: np.ndarray, counts: list[np.ndarray]) -> np.ndarra
     two[m.context3[lost]] = True
     lost &= counts[1][m.bigram3] == 0
     one[m.context2[m.bigram3[lost]]] = True
+    one[:-1] &= counts[0] > 0
+    two[:-1] &= counts[1] > 0
     return np.concatenate([one, two])
 
 
-def _contexts(model: Model, buckets: int):
-    """A message -> by bucket, its contexts with what its own n-grams add, and which of them it needs (kind adds)."""
+def _contexts(model: Model, buckets: int, whole: bool):
+    """A message -> by bucket, its contexts with what its own n-grams add, and which of them it needs (kind adds).
+
+    Unless the whole table is asked for, contexts that no held-out text has are left out.
+    """
 
     def contexts(rows: pd.DataFrame) -> pd.DataFrame:
-        m, docs, counts, own = _opened(rows)
+        m, docs, counts, own, held = _opened(rows)
         g2, g3 = model.discounted(2, counts[1]), model.discounted(3, counts[2])
         seen = [np.bincount(c, w * o, n + 1) for c, w, o, n in ((m.context2, g2, own[1], len(m.words)), (m.context3, g3, own[2], len(m.context2)))]
         lower = [np.bincount(m.context2, model.words(counts[0])[m.word2] * own[1], len(m.words) + 1), np.bincount(m.context3, g2[m.bigram3] * own[2], len(m.context2) + 1)]
         seen, lower, needed = np.concatenate(seen), np.concatenate(lower), _needed(m, docs, counts)
-        at = np.flatnonzero((seen > 0) | needed)
+        asked = np.concatenate([held[0], [1], held[1], [1]]) > 0
+        at = np.flatnonzero((seen > 0) & (asked | whole) | needed)
         at = at[np.argsort(m.context_keys[at])]
         keys = m.context_keys[at]
         out = [("adds", rows["batch"].iloc[0], int(to), pack_sorted(keys[a:b]), pack(np.stack([seen[at[a:b]], lower[at[a:b]]])), np.packbits(needed[at[a:b]]).tobytes()) for to, a, b in _buckets(keys, buckets)]
@@ -292,7 +308,7 @@ def _score(model: Model):
     """A message with its answers and sums -> its texts' rows."""
 
     def score(rows: pd.DataFrame) -> pd.DataFrame:
-        m, docs, counts, _ = _opened(rows)
+        m, docs, counts, _, _ = _opened(rows)
         sums = np.zeros((2, len(m.context_keys)))
         at = np.flatnonzero(_needed(m, docs, counts))
         if len(at):
@@ -341,7 +357,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = write_table(ask_counts(homes, buckets).groupBy("bucket").applyInPandas(_count(bool(tables)), FIELDS), "katz-counts", by="kind")
     model = Model(read_stats(counted))
     texts = homes.unionByName(counted.filter("kind = 'answer'"))
-    added = texts.groupBy("batch").applyInPandas(_contexts(model, buckets), FIELDS)
+    added = texts.groupBy("batch").applyInPandas(_contexts(model, buckets, bool(tables)), FIELDS)
     weighed = write_table(added.groupBy("bucket").applyInPandas(_weigh(bool(tables)), FIELDS), "katz-weights", by="kind")
     if tables:
         counted.filter("kind = 'counts'").select("bucket", "a", "b").write.mode("overwrite").parquet(f"{tables}/counts")
