@@ -19,7 +19,7 @@ from filingscope.llm.common import drop_table, texts_of, write_table
 #: Words that a repeated run of lines has at least.
 MIN_WORDS = 6
 #: Rows up to which a step is one plan. Beyond, tables cut it, so that AQE can split joins with a line that very many texts have.
-SMALL = 200_000
+SMALL = 50_000
 
 
 def run_lengths(words: np.ndarray, least: int) -> np.ndarray:
@@ -189,7 +189,8 @@ def dedupe_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
     drop_table(lines)
     found = F.array_distinct(F.collect_list(F.struct("first", "n"))).alias("r")
     runs = rows.select("row").limit(0).select("row", F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("n"))).alias("r")) if runs is None else runs.groupBy("row").agg(found)
-    joined = rows.drop("doc").join(runs, "row", "left").select(*[f"c{i}" for i in range(len(others))], "text", "r.first", "r.n")
+    # runs grow with the documents, so they are never broadcast
+    joined = rows.drop("doc").join(runs.hint("merge"), "row", "left").select(*[f"c{i}" for i in range(len(others))], "text", "r.first", "r.n")
     schema = joined.drop("first", "n", "text").schema
     for name, kind in zip(("text", *MADE), (T.StringType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.IntegerType()))):
         schema = schema.add(name, kind)
