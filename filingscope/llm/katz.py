@@ -85,18 +85,26 @@ class Message:
 
     def __init__(self, words: np.ndarray, seq: np.ndarray, sizes: np.ndarray):
         v, first = len(words), np.cumsum(sizes) - sizes
-        self.words, self.sizes, self.one = words, sizes, seq
+        small = np.int32  # places within a message; a message of one huge text has fewer than 2**31 tokens too
+        self.words, self.sizes, self.one = words, sizes, seq.astype(small)
         before = np.append(v, seq[:-1])
         before[first] = v
-        pairs, self.two = np.unique(before * (v + 1) + seq, return_inverse=True)
-        context = np.append(len(pairs), self.two[:-1])
+        pairs, two = np.unique(before * (v + 1) + seq, return_inverse=True)
+        del before
+        self.two = two.astype(small)
+        context = np.append(len(pairs), two[:-1])
         context[first] = len(pairs)
-        triples, self.three = np.unique(context * (v + 1) + seq, return_inverse=True)
+        del two
+        triples, three = np.unique(context * (v + 1) + seq, return_inverse=True)
+        del context
+        self.three = three.astype(small)
+        del three
         #: context and word of each bigram, context and word of each trigram, and the bigram that a trigram ends with
-        self.context2, self.word2 = pairs // (v + 1), pairs % (v + 1)
-        self.context3, self.word3 = triples // (v + 1), triples % (v + 1)
-        self.bigram3 = np.empty(len(triples), np.int64)
+        self.context2, self.word2 = (pairs // (v + 1)).astype(small), (pairs % (v + 1)).astype(small)
+        self.context3, self.word3 = (triples // (v + 1)).astype(small), (triples % (v + 1)).astype(small)
+        self.bigram3 = np.empty(len(triples), small)
         self.bigram3[self.three] = self.two
+        del pairs, triples
         h1 = np.append(words, START_KEY)
         h2 = scramble(h1[self.context2] * MIX[0] + h1[self.word2] * MIX[1])
         h2 = np.append(h2, scramble(np.array([START_KEY]) * MIX[2]))
@@ -104,7 +112,7 @@ class Message:
         #: keys of contexts: words and the start, then bigrams and two starts
         self.context_keys = np.concatenate([_keys(h1, 1), _keys(h2, 2)])
         self.keys = np.concatenate([self.context_keys[:v], self.context_keys[v + 1 : -1], _keys(h3, 3)])
-        self.by = np.argsort(self.keys)
+        self.by = np.argsort(self.keys).astype(small)
 
     def held_contexts(self, train: np.ndarray) -> np.ndarray:
         """Of each key, in the order of keys, whether a token of a held-out text has it as its context."""
