@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filingscope.tables import drop_table, new_path, write_table
 
-__all__ = ["MIX", "WordHashes", "bucket_of", "drop_table", "new_path", "number_rows", "pack", "pack_sorted", "scramble", "shingles", "slices_of", "texts_of", "unpack", "unpack_sorted", "write_table"]
+__all__ = ["MIX", "WordHashes", "bucket_of", "drop_table", "new_path", "number_rows", "pack", "pack_planes", "pack_sorted", "scramble", "shingles", "slices_of", "texts_of", "unpack", "unpack_planes", "unpack_sorted", "write_table"]
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -24,6 +24,16 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def pack_planes(a: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane: where the upper bytes are alike, they cost nothing."""
+    return pack(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T))
+
+
+def unpack_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(unpack(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted unsigned 64-bit keys as their differences, byte plane by byte plane: the upper planes are all 0 and left out."""
     planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T

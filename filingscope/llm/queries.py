@@ -75,4 +75,13 @@ def op10_quality(spark, sf_dir):
     return classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality)}
+def op11_substring_dedup(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from filingscope.llm.substring_dedup import dedupe_substrings
+
+    left = dedupe_substrings(_read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("left_text", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality, op11_substring_dedup)}
