@@ -84,4 +84,10 @@ def op11_substring_dedup(spark, sf_dir):
     return left.select("doc_id", "n_words", "n_removed", F.sha2("left_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality, op11_substring_dedup)}
+def op12_conversation_repair(spark, sf_dir):
+    from filingscope.llm.conversation_repair import repair_damaged
+
+    return repair_damaged(_read(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality, op11_substring_dedup, op12_conversation_repair)}
