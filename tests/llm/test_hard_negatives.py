@@ -66,7 +66,7 @@ def test_large_components_are_exact(spark):
 def test_pruning_keeps_all_that_reach_and_drops_others():
     rng = np.random.default_rng(3)
     make = lambda n: {"label": 1, "most": 0, "ids": H.pack(np.arange(n)), "rows": H.pack(np.arange(n)), "needs": b""}
-    v, a = np.round(rng.normal(size=(500, 8)) * np.exp(rng.normal(size=(500, 1))) * 100), np.round(rng.normal(size=(20, 8)) * 100)
+    v, a = (np.round(H.shares(rng.normal(size=(n, 4))) * 1000) for n in (500, 20))
     lists = np.argsort(H.shares(v), axis=0, kind="stable").astype(np.uint16).T.copy()
     bucket = H.Bucket(make(500) | {"vectors": H.store(v), "lists": H.pack(lists), "most": float(np.linalg.norm(v, axis=1).max())})
     block = H.Bucket(make(20) | {"vectors": H.store(a), "lists": b""})
