@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from filingscope import ship
-from filingscope.plans import portfolio_queries, radar_queries, scalar_queries, source_queries, store_queries, table_queries, text_queries
+from filingscope.plans import portfolio_queries, radar_queries, scalar_queries, source_queries, store_queries, stream_queries, table_queries, text_queries
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,6 +22,6 @@ def shipped(query):
     return run
 
 
-for module in (radar_queries, scalar_queries, portfolio_queries, table_queries, text_queries, source_queries, store_queries):
+for module in (radar_queries, scalar_queries, portfolio_queries, table_queries, text_queries, source_queries, store_queries, stream_queries):
     QUERIES |= {name: shipped(f) for name, f in module.QUERIES.items()}
     ORACLES |= module.ORACLES

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from filingscope.functions.columns import form_matches
 from filingscope.operators.maintenance import replace_holdings
+from filingscope.streaming.first_sight import first_sight, followed, use_state
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -19,14 +20,14 @@ def new_filing_alerts(filings: DataFrame, form: str = "ALL", days: int = 7, sinc
     """New filings of a form within the look-back, each accession once, oldest first.
 
     Filings have a timestamp filed_at. The look-back begins at `since`; a table's begins `days` before
-    its newest filing if there is no `since`. On a stream seen accessions are kept for `days`, and what
-    arrives later than that is dropped with them; batches are put in order by oldest_first().
+    its newest filing if there is no `since`. On a stream seen accessions are kept for a time (first_sight()),
+    and what arrives later than `days` behind the newest is dropped; batches are put in order by oldest_first().
     """
     rows = filings.filter(form_matches("form", form))
     if since is not None:
         rows = rows.filter(F.col("filed_at") >= F.lit(since))
     if rows.isStreaming:
-        return rows.withWatermark("filed_at", f"{days} days").dropDuplicatesWithinWatermark(["accession"])
+        return first_sight(rows, days)
     if since is None:
         latest = rows.agg(F.max("filed_at").alias("newest"))  # one row
         rows = rows.crossJoin(latest).filter(F.col("filed_at") >= F.col("newest") - F.expr(f"interval {days} days")).drop("newest")
@@ -40,12 +41,14 @@ def oldest_first(sink: Sink) -> Sink:
 
 def followed_filings(filings: DataFrame, follows: DataFrame, days: int = 1) -> DataFrame:
     """Filings of followed tickers (ticker, forms), each accession once; all become seen before the forms are looked at."""
-    once = filings.withWatermark("filed_at", f"{days} days").dropDuplicatesWithinWatermark(["accession"]) if filings.isStreaming else filings.dropDuplicates(["accession"])
-    return once.join(follows, "ticker").filter(F.array_contains("forms", F.col("form"))).drop("forms")
+    if filings.isStreaming:
+        return first_sight(followed(filings, follows), days).filter(F.array_contains("forms", F.col("form"))).drop("forms")
+    return filings.dropDuplicates(["accession"]).join(follows, "ticker").filter(F.array_contains("forms", F.col("form"))).drop("forms")
 
 
 def start(stream: DataFrame, sink: Sink, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Runs a sink for each batch of new rows; with once it stops when all that is there is done."""
+    use_state(stream.sparkSession)
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
