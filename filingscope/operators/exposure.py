@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from filingscope.functions.columns import form_fetch_rank, parse_number
+from filingscope.operators.automaton import contained
 from filingscope.operators.documents import html_to_text
 
 #: Word patterns of a commercial, a holding, a value and a fund context.
@@ -33,6 +34,14 @@ def exposure_term_match(docs: DataFrame, aliases: list[str], contextual: list[st
     return docs.withColumn("matched_terms", matched_terms(F.col(text_col), [*aliases, *contextual])).filter(F.size("matched_terms") > 0)
 
 
+def exposure_terms(docs: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, term) for each of a table of any number of terms (column term) that a document contains, case and signs
+    ignored; each document is read once. Terms of signs alone match nothing."""
+    clean = terms.select("term", plain(F.col("term")).alias("pattern")).distinct()
+    found = contained(docs.select(*keys, plain(F.col(text_col)).alias("_clean")), clean, keys, "_clean")
+    return found.join(clean, "pattern").select(*keys, "term")
+
+
 def exposure_classify(text: Column, aliases: list[str], contextual: list[str] = ()) -> Column:
     """Contextual terms alone are commercial; then holding with value, commercial, fund name, else to be reviewed."""
     alone = (F.size(matched_terms(text, list(aliases))) == 0) & (F.size(matched_terms(text, list(contextual))) > 0)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope.functions.columns import clean_sector_name, compact_issuer, normalize_issuer, sector_by_words
+from filingscope.operators.automaton import contained
 
-#: Rows of a watchlist's or a sector map's table that may be broadcast.
+#: Rows of a sector map or of a table of patterns that may be broadcast.
 MOST_ALIASES = 50_000
 
+#: Aliases up to which a nested loop over the distinct issuers is the cheaper way.
+FEW_ALIASES = 500
+
 ALIAS_SCHEMA = "category string, ticker string, label string, alias string"
 
 
@@ -23,8 +29,6 @@ def bounded(table: DataFrame, most: int = MOST_ALIASES) -> DataFrame:
 def alias_table(spark: SparkSession, watchlists: dict[str, list[tuple[str, str, list[str]]]]) -> DataFrame:
     """{category: [(ticker, label, aliases)]} -> one row per alias, the ticker and label being aliases too."""
     rows = [(key, ticker, label, alias) for key, items in watchlists.items() for ticker, label, aliases in items for alias in dict.fromkeys([label, ticker, *aliases])]
-    if len(rows) > MOST_ALIASES:
-        raise ValueError(f"{len(rows)} aliases; at most {MOST_ALIASES} are broadcast")
     table = spark.createDataFrame(rows, ALIAS_SCHEMA)
     return table.withColumns({"item_key": F.concat_ws("|", "category", F.upper("ticker"), compact_issuer("label")), "alias_norm": normalize_issuer("alias"), "alias_compact": compact_issuer("alias")})
 
@@ -36,16 +40,29 @@ def share_class_match(ticker, norm):
     return F.when(F.upper(ticker) == "GOOGL", own & a).when(F.upper(ticker) == "GOOG", own & (c | (~a & ~c)))
 
 
-def issuer_watchlist_match(issuers: DataFrame, aliases: DataFrame, issuer_col: str = "issuer") -> DataFrame:
+def issuer_watchlist_match(issuers: DataFrame, aliases: DataFrame, issuer_col: str = "issuer", few: int = FEW_ALIASES) -> DataFrame:
     """(issuer, category, item_key, ticker, label) of the distinct issuers that an alias of 4 letters or more is part of.
 
-    The condition is containment, so this is a nested loop; it runs over distinct issuers and the
-    aliases' table, which alias_table() bounds.
+    A watchlist of a few aliases meets the distinct issuers in a nested loop inside the JVM; with more, each name
+    is read once by an automaton of all aliases (any number of them). Both give the same rows.
     """
     names = issuers.select(F.col(issuer_col).alias("issuer")).filter("issuer is not null").distinct().withColumns({"norm": normalize_issuer("issuer"), "compact": compact_issuer("issuer")})
+    if aliases.limit(few + 1).count() > few:
+        return _match_many(names, aliases)
     by_class = share_class_match(F.col("ticker"), F.col("norm"))
     by_alias = (F.length("alias_compact") >= 4) & (F.col("norm").contains(F.col("alias_norm")) | F.col("compact").contains(F.col("alias_compact")))
-    return names.join(bounded(aliases), F.coalesce(by_class, by_alias)).select("issuer", "category", "item_key", "ticker", "label").distinct()
+    return names.join(F.broadcast(aliases), F.coalesce(by_class, by_alias)).select("issuer", "category", "item_key", "ticker", "label").distinct()
+
+
+def _match_many(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Aliases found by the automaton, joined back by their text; share classes are found by the names that have them."""
+    shared = F.coalesce(F.upper("ticker").isin("GOOG", "GOOGL"), F.lit(False))
+    items = ["category", "item_key", "ticker", "label"]
+    usual = aliases.filter(~shared & (F.length("alias_compact") >= 4))
+    found = [contained(names, usual.select(F.col(f"alias_{form}").alias("pattern")), ["issuer"], form).join(usual.select(F.col(f"alias_{form}").alias("pattern"), *items), "pattern").select("issuer", *items) for form in ("norm", "compact")]
+    tickers = F.array_compact(F.array(*[F.when(share_class_match(F.lit(t), F.col("norm")), F.lit(t)) for t in ("GOOGL", "GOOG")]))
+    classes = names.select("issuer", F.explode(tickers).alias("class")).join(aliases.filter(shared).select(F.upper("ticker").alias("class"), *items).distinct(), "class").select("issuer", *items)
+    return reduce(DataFrame.unionByName, [*found, classes]).distinct()
 
 
 def watchlist_filter(holdings: DataFrame, matches: DataFrame) -> DataFrame:

@@ -136,6 +136,18 @@ def exposure_term_match(s, d):
     return X.exposure_term_match(read(s, d, "documents"), _ALIASES, _CONTEXT).select("doc_id", F.concat_ws("; ", "matched_terms").alias("terms"))
 
 
+_PAIRS = "SELECT DISTINCT w[i] || ' ' || w[i + 1] AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM benchmark))"
+
+
+@query(f"SELECT doc_id, term FROM (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS t FROM documents) JOIN ({_PAIRS}) ON contains(t, term)", cte=False)
+def exposure_terms(s, d):
+    """All pairs of neighbouring words of all test items, looked up in all documents."""
+    words = F.split(X.plain(F.col("text")), " ")
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))
+    terms = read(s, d, "benchmark").select(words.alias("w")).filter(F.size("w") > 1).select(F.explode(pairs).alias("term")).distinct()
+    return X.exposure_terms(read(s, d, "documents"), terms, ["doc_id"])
+
+
 _RX = lambda p: "regexp_matches(text, '" + p.replace("'", "''") + "')"
 
 

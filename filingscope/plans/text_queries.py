@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.operators import documents as D, signals as S
+from filingscope.operators import alignment as A, documents as D, signals as S
 from filingscope.plans.fixtures import read
 
 QUERIES: dict = {}
@@ -56,6 +56,12 @@ def section_change_by_sentence(s, d):
     return changes(s, d).groupBy("source", "doc_id", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def section_alignment(s, d):
+    """A longest common subsequence: no SQL; tests/test_alignment.py has a brute-force version."""
+    return A.section_alignment(read(s, d, "documents"), "source", "doc_id")
+
+
 @query("SELECT source, doc_id, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS previous FROM documents")
 def sections_pair_join(s, d):
     return D.sections_pair_join(read(s, d, "documents"), "source", "doc_id").select("source", "doc_id", "previous")
