@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.operators import alignment as A, documents as D, signals as S
+from filingscope.operators import alignment as A, documents as D, keyword_index as K, signals as S
 from filingscope.plans.fixtures import read
+from filingscope.tables import write_table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -95,6 +96,18 @@ def keyword_search(s, d):
     return D.keyword_search(read(s, d, "documents"), _KW, ["doc_id"]).select("doc_id", F.concat_ws("; ", "matched").alias("matched"), "hits", F.concat_ws(" | ", "snippets").alias("snippets"))
 
 
+_LISTS = r"SELECT item_id AS list, unnest([w[1], w[2] || ' ' || w[3], left(w[4], 3)]) AS keyword FROM (SELECT item_id, string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ') AS w FROM benchmark)"
+
+
+@query(f"WITH k AS (SELECT DISTINCT list, keyword FROM ({_LISTS}) WHERE keyword <> ''), t AS (SELECT conv_id, turn, lower(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations) SELECT list, conv_id, turn, string_agg(keyword, '; ' ORDER BY keyword) AS matched, CAST(sum((length(t) - length(replace(t, keyword, ''))) // length(keyword)) AS BIGINT) AS hits FROM t JOIN k ON contains(t, keyword) GROUP BY 1, 2, 3")
+def keyword_lists_search(s, d):
+    """A list of each test item: its first word, its second and third, the beginning of its fourth, in all turns of all conversations."""
+    w = F.split(F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), " ")
+    lists = read(s, d, "benchmark").select(F.col("item_id").alias("list"), F.explode(F.array(F.get(w, F.lit(0)), F.concat(F.get(w, F.lit(1)), F.lit(" "), F.get(w, F.lit(2))), F.left(F.get(w, F.lit(3)), F.lit(3)))).alias("keyword")).filter("keyword is not null")
+    index = write_table(K.postings(read(s, d, "conversations"), ["conv_id", "turn"]), "postings")
+    return K.keyword_lists_search(index, lists, ["conv_id", "turn"]).select("list", "conv_id", "turn", F.concat_ws("; ", "matched").alias("matched"), "hits")
+
+
 @query(r"SELECT doc_id, CASE WHEN pos > 91 THEN '...' ELSE '' END || substr(t, greatest(1, pos - 90), least(length(t) + 1, pos + 100) - greatest(1, pos - 90)) || CASE WHEN pos + 100 <= length(t) THEN '...' ELSE '' END AS snippet FROM (SELECT doc_id, t, instr(lower(t), 'disgusting') AS pos FROM (SELECT doc_id, regexp_replace(text, '\s+', ' ', 'g') AS t FROM documents)) WHERE pos > 0")
 def snippets(s, d):
     text = F.regexp_replace("text", r"\s+", " ")
