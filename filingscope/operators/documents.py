@@ -230,6 +230,32 @@ def ticker_autocomplete(companies: DataFrame, term: str, n: int = 10) -> DataFra
     return own.filter(hit).orderBy((F.lower("ticker") != term.strip().lower()), F.length("title"), "title", "cik").limit(n)
 
 
+def autocomplete_terms(companies: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
+    """(term, rank, cik, ticker, title): ticker_autocomplete() for a table of any number of terms (column term).
+
+    Companies are looked up by the beginnings of their words. Of each beginning the first n companies are kept
+    before anything is exchanged; they are the answer to a term of one word, but for an exact ticker. A term of
+    several words meets the companies by the one that fewest have, and these are tested for the others.
+    """
+    own = companies.groupBy("cik").agg(F.max_by("ticker", "position").alias("ticker"), F.max_by("title", "position").alias("title"))
+    own = own.withColumn("words", F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "ticker", "title")), r"[^\w]+"), lambda w: w != "")))
+    beginnings = F.array_distinct(F.flatten(F.transform("words", lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(w, F.lit(1), i)))))
+    starts = own.select("cik", "ticker", "title", "words", F.explode(beginnings).alias("begin"))
+    asked = terms.select("term").distinct().withColumn("parts", F.array_distinct(F.filter(F.split(F.lower("term"), r"\s+"), lambda t: t != ""))).filter(F.size("parts") > 0)
+    order = [F.length("title"), F.asc("title"), F.asc("cik")]
+    first = starts.withColumn("place", F.row_number().over(Window.partitionBy("begin").orderBy(*order))).filter(F.col("place") <= n).drop("place", "words")
+    one = asked.filter(F.size("parts") == 1).select("term", F.get("parts", F.lit(0)).alias("begin"))
+    exact = one.join(own.drop("words").withColumn("begin", F.lower("ticker")), "begin").withColumn("hit", F.lower(F.trim("term")) == F.col("begin")).filter("hit").drop("hit")
+    single = one.join(first, "begin").unionByName(exact.select("begin", "term", "cik", "ticker", "title")).select("term", "cik", "ticker", "title").distinct()
+    times = starts.groupBy("begin").agg(F.count(F.lit(1)).alias("times"))
+    some = asked.filter(F.size("parts") > 1).select("term", "parts", F.explode("parts").alias("begin")).join(times, "begin")
+    rarest = some.groupBy("term", "parts").agg(F.min(F.struct("times", "begin")).alias("b")).select("term", "parts", "b.begin")
+    met = rarest.join(starts, "begin").filter(F.forall("parts", lambda t: F.exists("words", lambda w: F.startswith(w, t))))
+    found = single.unionByName(met.select("term", "cik", "ticker", "title"))
+    rank = F.row_number().over(Window.partitionBy("term").orderBy((F.lower("ticker") != F.lower(F.trim("term"))), *order))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= n).select("term", "rank", "cik", "ticker", "title")
+
+
 #: Headings around which a long filing's context is taken.
 HEADINGS = [
     "prospectus summary", "the offering", "risk factors", "summary risk factors", "use of proceeds", "dividend policy", "capitalization", "dilution",

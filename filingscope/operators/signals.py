@@ -70,15 +70,38 @@ def insider_net_value(trades: DataFrame, n: int = 10, keys: tuple[str, ...] = ()
     return trades.groupBy(*keys, "insider").agg(F.sum(value).alias("net")).orderBy(F.abs("net").desc(), "insider").limit(n)
 
 
-#: Letters of a query by which it meets the titles that may contain it.
+#: Letters of the pieces by which queries and titles meet.
 GRAM = 8
 
 
+def pieces(text, n: int = GRAM):
+    """The distinct parts of n letters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i: F.substring(text, i, n)))
+
+
+def _containing(rest: DataFrame, titles: DataFrame) -> DataFrame:
+    """(query, cik, n) of titles that contain a query q, the shortest among them.
+
+    A query of up to GRAM letters is a piece itself: of each piece only the shortest title is kept, before anything
+    is exchanged. A longer one meets the titles by that of its pieces which fewest titles have, so no common
+    ending or word brings many together; a query with a piece that no title has meets none.
+    """
+    short, long = rest.filter(F.length("q") <= GRAM), rest.filter(F.length("q") > GRAM)
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("title") - n + 1)), lambda i: F.substring(F.col("title"), i, n))))
+    least = titles.select(F.explode(F.array_distinct(every)).alias("q"), F.struct(F.length("title").alias("n"), "cik").alias("own")).groupBy("q").agg(F.min("own").alias("own"))
+    few = short.join(least, "q").select("query", "own.cik", "own.n")
+    parts = titles.filter(F.length("title") > GRAM).select("cik", "title", F.explode(pieces(F.col("title"))).alias("piece"))
+    times = parts.groupBy("piece").agg(F.count(F.lit(1)).alias("times"))
+    asked = long.select("query", "q", F.explode(pieces(F.col("q"))).alias("piece")).join(times, "piece", "left").withColumn("times", F.coalesce("times", F.lit(0)))
+    rarest = asked.groupBy("query", "q").agg(F.min(F.struct("times", "piece")).alias("own")).filter("own.times > 0").select("query", "q", "own.piece")
+    many = parts.join(rarest, "piece").filter(F.col("title").contains(F.col("q"))).select("query", "cik", F.length("title").alias("n"))
+    return few.unionByName(many)
+
+
 def entity_resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
     """(query) -> cik by the first of: a number, a ticker (. as -), a title, the shortest title that contains it.
 
-    Titles are searched only for what the equi-joins leave. A query's last letters are part of every title
-    that contains it, so both sides are joined by them, for any number of queries.
+    Titles are searched only for what the equi-joins leave, by their pieces, for any number of queries.
     """
     q = queries.select("query", F.upper(F.trim("query")).alias("q")).distinct()
     c = companies.select("cik", F.upper("ticker").alias("ticker"), F.upper("title").alias("title"))
@@ -86,10 +109,8 @@ def entity_resolve(queries: DataFrame, companies: DataFrame) -> DataFrame:
     ticker = q.join(c, F.translate("q", ".", "-") == F.col("ticker")).select("query", "cik", F.lit(1).alias("rank"), F.lit(0).alias("n"))
     title = q.join(c, F.col("q") == F.col("title")).select("query", "cik", F.lit(2).alias("rank"), F.lit(0).alias("n"))
     exact = reduce(DataFrame.unionByName, (number, ticker, title))
-    rest = q.filter("q <> ''").join(exact.select("query").distinct(), "query", "left_anti").withColumn("gram", F.expr(f"right(q, {GRAM})"))
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("title")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: F.substring(F.col("title"), i, n)))))
-    titles = c.filter("title <> ''").select("cik", "title", F.explode(grams).alias("gram"))
-    part = titles.join(rest, "gram").filter(F.col("title").contains(F.col("q"))).select("query", "cik", F.lit(3).alias("rank"), F.length("title").alias("n"))
+    rest = q.filter("q <> ''").join(exact.select("query").distinct(), "query", "left_anti")
+    part = _containing(rest, c.filter("title <> ''").select("cik", "title")).select("query", "cik", F.lit(3).alias("rank"), "n")
     best = exact.unionByName(part).groupBy("query").agg(F.min(F.struct("rank", "n", "cik")).alias("b"))
     return best.select("query", "b.cik", F.element_at(F.array(F.lit("cik"), F.lit("ticker"), F.lit("title"), F.lit("contains")), F.col("b.rank") + 1).alias("by"))
 

@@ -211,6 +211,18 @@ def ticker_autocomplete(s, d):
     return D.ticker_autocomplete(companies(s, d), "supp").select("cik", "title")
 
 
+_HOSTS = "SELECT CAST(page_id AS VARCHAR) AS cik, 'p' || page_id AS ticker, lower(url) AS title, list_distinct(list_filter(regexp_split_to_array('p' || page_id || ' ' || lower(url), '[^a-z0-9_]+'), lambda w: w <> '')) AS words FROM pages"
+
+
+@query(f"WITH c AS ({_HOSTS}), t AS (SELECT DISTINCT unnest([w[1], substr(w[2], 1, 3) || ' ' || substr(w[3], 1, 2)]) AS term FROM (SELECT regexp_split_to_array(lower(url), '[^a-z0-9_]+') AS w FROM pages WHERE page_id % 100 = 0) WHERE len(w) > 2), a AS (SELECT term, cik, title, row_number() OVER (PARTITION BY term ORDER BY ticker <> term, length(title), title, cik) AS rank FROM c JOIN t ON len(list_filter(string_split(term, ' '), lambda p: p <> '' AND len(list_filter(words, lambda w: starts_with(w, p))) = 0)) = 0) SELECT term, rank, cik, title FROM a WHERE rank <= 10")
+def autocomplete_terms(s, d):
+    """Pages as companies named by their addresses; the terms are taken from every hundredth address."""
+    rows = read(s, d, "pages").select(F.col("page_id").cast("string").alias("cik"), F.concat(F.lit("p"), "page_id").alias("ticker"), F.lower("url").alias("title"), F.col("page_id").alias("position"))
+    w = F.split("title", "[^a-z0-9_]+")
+    terms = rows.filter("position % 100 = 0").filter(F.size(w) > 2).select(F.explode(F.array(F.get(w, F.lit(0)), F.concat(F.substring(F.get(w, F.lit(1)), 1, 3), F.lit(" "), F.substring(F.get(w, F.lit(2)), 1, 2)))).alias("term"))
+    return D.autocomplete_terms(rows, terms).select("term", "rank", "cik", "title")
+
+
 def orders(s, d):
     return read(s, d, "orders").select(F.col("o_custkey").cast("string").alias("company"), F.col("o_custkey").cast("string").alias("cik"), F.col("o_orderkey").cast("string").alias("accession"), F.col("o_orderpriority").alias("form"), F.to_date("o_orderdate").alias("filing_date"), F.lit("doc.htm").alias("document"))
 
