@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from filingscope.operators import alignment as A, documents as D, keyword_index as K, signals as S
+from filingscope.operators import alignment as A, documents as D, keyword_index as K, signals as S, vector_index as V
 from filingscope.plans.fixtures import read
 from filingscope.tables import write_table
 
@@ -181,6 +181,17 @@ def vector_top_k_all(s, d):
     return similar(s, d, "vec_id % 100 = 0")
 
 
+@query()
+def vector_top_k_ivf(s, d):
+    """vector_top_k by an inverted file; its recall against vector_top_k is tested."""
+    rows = read(s, d, "embeddings").withColumn("company", F.col("label").cast("string"))
+    queries = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "company")
+    centroids = V.fit_centroids(rows, 64)
+    index = write_table(V.assign(rows, centroids, company_col="company"), "vector-lists")
+    measured = rows.filter("vec_id % 100 = 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "company")
+    return V.search(index, queries, centroids, V.probes_for(rows, index, measured, centroids, 0.97, company_col="company"))
+
+
 def similar(s, d, asked):
     rows = read(s, d, "embeddings").withColumn("company", F.col("label").cast("string"))
     queries = rows.filter(asked).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), "company")
