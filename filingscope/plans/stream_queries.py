@@ -11,8 +11,8 @@ from filingscope.tables import drop_table, new_path, write_table
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-#: Files that one batch of these streams takes.
-FILES = 8
+#: Batches in which these streams take what is landed.
+BATCHES = 4
 
 
 def query(sql: str):
@@ -27,8 +27,8 @@ def query(sql: str):
 def landed(df):
     """(files, stream): a table as files in the shared folder, and the stream of them."""
     files = write_table(df, "landed")
-    folder = files.inputFiles()[0].rsplit("/", 1)[0]
-    return files, df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(folder)
+    names = files.inputFiles()
+    return files, df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", -(-len(names) // BATCHES)).parquet(names[0].rsplit("/", 1)[0])
 
 
 def stored(stream, begin, ordered=lambda sink: sink):

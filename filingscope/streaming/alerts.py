@@ -35,8 +35,16 @@ def new_filing_alerts(filings: DataFrame, form: str = "ALL", days: int = 7, sinc
 
 
 def oldest_first(sink: Sink) -> Sink:
-    """A sink that gets each batch ordered by time."""
-    return lambda batch, number: sink(batch.orderBy("filed_at", "accession"), number)
+    """A sink that gets each batch ordered by time. Sorting reads a batch twice, so it is kept: the state before it is asked once."""
+
+    def ordered(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            sink(batch.orderBy("filed_at", "accession"), number)
+        finally:
+            batch.unpersist()
+
+    return ordered
 
 
 def followed_filings(filings: DataFrame, follows: DataFrame, days: int = 1) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,47 +15,66 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def use_state(spark: SparkSession) -> None:
-    """The state store that keyed state with timers needs (RocksDB: on disk, so state may exceed memory)."""
+    """The state store that keyed state with timers needs (RocksDB: on disk, so state may exceed memory); batches save their changes."""
     spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
+#: Groups of accessions that are remembered together, and days of time by which a group's timers are rounded up.
+GROUPS, DAY = 1024, 86_400_000
 
 
 class FirstSight(StatefulProcessor):
-    """Passes an accession's oldest row when it is first seen, and forgets the accession a time after it was filed."""
+    """Passes an accession's oldest row when it is first seen, and forgets the accession a time after it was filed.
 
-    def __init__(self, days: int, time_col: str):
-        self.keep, self.time_col = days * 86_400_000, time_col
+    A group of accessions has one state, {accession: time filed}, that a batch reads and writes once.
+    """
+
+    def __init__(self, days: int, time_col: str, columns: list[str]):
+        self.keep, self.time_col, self.columns = days * DAY, time_col, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.seen = handle.getValueState("seen", "filed long")
+        self.seen = handle.getValueState("seen", "accessions string")
+
+    def _remembered(self, watermark: int) -> dict[str, int]:
+        seen = json.loads(self.seen.get()[0]) if self.seen.exists() else {}
+        return {a: filed for a, filed in seen.items() if filed + self.keep >= watermark}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        if self.seen.exists():
+        seen = self._remembered(timerValues.getCurrentWatermarkInMs())
+        batch = pd.concat(list(rows))
+        new = batch[~batch["accession"].isin(seen)].sort_values(self.time_col, kind="stable").drop_duplicates("accession")
+        if not len(new):
             return
-        first = pd.concat(frames).sort_values(self.time_col, kind="stable").head(1)
-        filed = int(first[self.time_col].iloc[0].timestamp() * 1000)
-        self.seen.update((filed,))
-        self.handle.registerTimer(max(filed, timerValues.getCurrentWatermarkInMs()) + self.keep)
-        yield first
+        filed = [int(t.timestamp() * 1000) for t in new[self.time_col]]
+        self.seen.update((json.dumps(seen | dict(zip(new["accession"], filed))),))
+        self.handle.registerTimer(((max(filed) + self.keep) // DAY + 1) * DAY)
+        yield new[self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        seen = self._remembered(timerValues.getCurrentWatermarkInMs())
+        if seen:
+            self.seen.update((json.dumps(seen),))
+        else:
+            self.seen.clear()
         return iter(())
 
     def close(self) -> None:
         pass
 
 
-def first_sight(filings: DataFrame, days: int, time_col: str = "filed_at") -> DataFrame:
+def first_sight(filings: DataFrame, days: int, time_col: str = "filed_at", groups: int = GROUPS) -> DataFrame:
     """Each accession of a stream once: its oldest row of the batch that first has it.
 
-    An accession is remembered until the newest filing is `days` days younger than it, and again as many; rows
-    that come later than `days` behind the newest are dropped, so nothing is passed twice. Start the stream with
-    alerts.start(), which chooses the state store. Null accessions are dropped.
+    An accession is remembered until the newest filing is twice `days` younger than it; rows that come later
+    than `days` behind the newest are dropped, so nothing is passed twice. Accessions are remembered in `groups`
+    groups, which a checkpoint fixes; more groups make each smaller. Start the stream with alerts.start(), which
+    chooses the state store. Null accessions are dropped.
     """
     rows = filings.filter("accession is not null").withWatermark(time_col, f"{days} days")
-    return rows.groupBy("accession").transformWithStateInPandas(FirstSight(days, time_col), filings.schema, "Append", "EventTime")
+    grouped = rows.withColumn("_group", F.pmod(F.xxhash64("accession"), F.lit(groups)).cast("int")).groupBy("_group")
+    return grouped.transformWithStateInPandas(FirstSight(days, time_col, filings.columns), filings.schema, "Append", "EventTime")
 
 
 def followed(filings: DataFrame, follows: DataFrame) -> DataFrame:
