@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.columns import form_fetch_rank, parse_number
 from filingscope.operators.automaton import contained
-from filingscope.operators.documents import html_to_text
+from filingscope.operators.html import parse_html
 
 #: Word patterns of a commercial, a holding, a value and a fund context.
 COMMERCIAL = r"(?i)\b(customer|supplier|contract|launch|satellite|license|licensing|agreement|service|services|network|terminal|antenna|rocket|payload|reseller|manufactur|partner|strategic relationship)\b"
@@ -63,9 +63,10 @@ def exposure_parse_documents(docs: DataFrame, keys: list[str], aliases: list[str
     the first alias, a nine-character CUSIP and a $ amount are inferred.
     """
     terms = [*aliases, *contextual]
-    cells = F.transform(F.regexp_extract_all(html_col, F.lit(r"(?is)<tr\b.*?</tr\s*>"), F.lit(0)), lambda r: html_to_text(r))
+    pages = parse_html(docs, keys, html_col)
+    cells = F.transform("rows", lambda r: F.concat_ws(" ", r["cells"]))
     rows = F.slice(F.array_distinct(F.transform(F.filter(cells, lambda r: (F.length(r) > 30) & (F.size(matched_terms(r, terms)) > 0)), lambda r: F.substring(r, 1, 1000))), 1, 8)
-    base = docs.select(*keys, html_to_text(F.col(html_col)).alias("_text"), rows.alias("_rows"))
+    base = pages.select(*keys, F.col("text").alias("_text"), rows.alias("_rows"))
     found = base.withColumn("_m", matched_terms(F.col("_text"), terms)).filter((F.size("_rows") > 0) | (F.size("_m") > 0))
     narrative = compact_snippet(F.col("_text"), F.get("_m", F.lit(0)))
     out = found.withColumn("candidate", F.explode(F.when(F.size("_rows") > 0, F.transform("_rows", lambda r: F.struct(r.alias("snippet"), F.lit(True).alias("is_row")))).otherwise(F.array(F.struct(narrative.alias("snippet"), F.lit(False).alias("is_row"))))))

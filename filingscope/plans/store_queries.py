@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from filingscope.operators import maintenance as M
 from filingscope.plans.fixtures import CURRENT, PREVIOUS, SQL, filings, holdings, read
 from filingscope.sources import filings as SRC
+from filingscope.sources.marked import scan_submission_files as scan_files
 from filingscope.tables import new_path
 
 QUERIES: dict = {}
@@ -86,3 +87,13 @@ def snapshot_list(s, d):
     table = s.createDataFrame(listed, "current_quarter string, previous_quarter string, watchlist_hash string, categories string, place int")
     n = s.read.parquet(f"{path}/rows").groupBy(F.col("current_quarter").cast("string").alias("current_quarter"), F.col("previous_quarter").cast("string").alias("previous_quarter")).agg(F.count(F.lit(1)).alias("n"))
     return table.join(n, ["current_quarter", "previous_quarter"])
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS accession, md5(coalesce(html, '')) AS body_md5 FROM pages")
+def scan_submission_files(s, d):
+    """Pages as submissions, landed as text files and read back by byte ranges of 4 MB."""
+    path = new_path(s, "submissions")
+    value = F.concat(F.lit("<SEC-DOCUMENT>x.txt\nACCESSION NUMBER: "), "page_id", F.lit("\n<TEXT>"), F.coalesce("html", F.lit("")), F.lit("</TEXT>"))
+    read(s, d, "pages").select(value.alias("value")).write.text(path)
+    found = scan_files(s, path, ["accession", "text"], split_bytes=4 << 20)
+    return found.select("accession", F.md5(F.regexp_extract("text", r"(?s)<TEXT>(.*)</TEXT>", 1)).alias("body_md5"))
