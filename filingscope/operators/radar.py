@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from filingscope.functions.columns import classify_filer, classify_movement, estimate_actual_value, finite, hhi_label, normalize_cik, pct1, quarter_sort_key, quarter_valid, sec_folder_url, sec_submission_url, security_of
 from filingscope.operators.matching import bounded, issuer_watchlist_match, sector_of
-from filingscope.tables import write_table
+from filingscope.tables import drop_table, write_table
 
 SAMPLES = 5
 
@@ -81,8 +81,8 @@ def _positions(rows: DataFrame, keys: list[str], more: list) -> DataFrame:
 class Radar:
     """One comparison of two quarters.
 
-    The filings of both quarters, the issuers' matches and the matched holdings are each written once to
-    the shared folder, by the first output that needs them; all outputs then read these tables.
+    Outputs are plans over the given tables. For several outputs of one comparison, materialise() first writes what
+    they share (the filings' pairs, the issuers' matches, the matched holdings) to the shared folder.
     """
 
     filings: DataFrame
@@ -93,17 +93,28 @@ class Radar:
 
     @cached_property
     def pairs(self) -> DataFrame:
-        return write_table(filing_pairs(self.filings, self.current, self.previous), "radar-filings")
+        return filing_pairs(self.filings, self.current, self.previous)
 
     @cached_property
     def matches(self) -> DataFrame:
-        return write_table(issuer_watchlist_match(self.holdings, self.aliases), "radar-matches")
+        """Of the issuers held in either quarter."""
+        return issuer_watchlist_match(self.holdings.filter(F.col("quarter").isin(self.current, self.previous)), self.aliases)
 
     @cached_property
     def watched(self) -> DataFrame:
         per_category = self.matches.groupBy("issuer", "category").agg(F.collect_set(F.struct("item_key", "label")).alias("items"))
         assigned = _assigned(exclude_options(self.holdings), self.pairs, self.current, self.previous)
-        return write_table(assigned.join(per_category, "issuer").withColumn("security", security_of("cusip", "issuer")), "radar-holdings")
+        return assigned.join(per_category, "issuer").withColumn("security", security_of("cusip", "issuer"))
+
+    def materialise(self) -> Radar:
+        """The same radar over three written tables; drop() deletes them when its outputs have been read."""
+        out = Radar(self.filings, self.holdings, self.aliases, self.current, self.previous)
+        for name in ("pairs", "matches", "watched"):  # each is made from those before it
+            out.__dict__[name] = write_table(getattr(out, name), f"radar-{name}")
+        return out
+
+    def drop(self) -> None:
+        drop_table(*(self.__dict__[name] for name in ("pairs", "matches", "watched")))
 
     @property
     def comparable(self) -> DataFrame:

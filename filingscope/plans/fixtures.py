@@ -30,8 +30,18 @@ def padded(key):
     return F.when(key % 2 == 1, F.lpad(text, 10, "0")).otherwise(text)
 
 
-def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def days_of(first: str, last: str) -> tuple[str, str]:
+    """The first day of a quarter and the day after a later one."""
+    year, quarter = int(last[:4]), int(last[-1])
+    return f"{first[:4]}-{3 * int(first[-1]) - 2:02d}-01", f"{year + quarter // 4}-{3 * (quarter % 4) + 1:02d}-01"
+
+
+def holdings(spark: SparkSession, sf_dir: str, quarters: tuple[str, str] | None = None) -> DataFrame:
+    """Line items as holdings; quarters: from which to which, by the dates that the scan can filter and prune by."""
     item, part = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    if quarters:
+        begin, end = days_of(*quarters)
+        item = item.filter((F.col("l_shipdate") >= F.lit(begin).cast(item.schema["l_shipdate"].dataType)) & (F.col("l_shipdate") < F.lit(end).cast(item.schema["l_shipdate"].dataType)))
     rows = item.join(part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
     key = F.col("l_suppkey")
     return rows.select(
@@ -46,13 +56,14 @@ def funds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(padded(F.col("s_suppkey")).alias("cik"), F.col("s_name").alias("fund_name"))
 
 
-def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = holdings(spark, sf_dir).groupBy("cik", "accession", "quarter").agg(F.max("shipped").alias("filing_date"))
+def filings(spark: SparkSession, sf_dir: str, quarters: tuple[str, str] | None = None) -> DataFrame:
+    rows = holdings(spark, sf_dir, quarters).groupBy("cik", "accession", "quarter").agg(F.max("shipped").alias("filing_date"))
     return rows.join(funds(spark, sf_dir), "cik", "left")
 
 
 def radar(spark: SparkSession, sf_dir: str) -> Radar:
-    return Radar(filings(spark, sf_dir), holdings(spark, sf_dir), alias_table(spark, WATCHLISTS), CURRENT, PREVIOUS)
+    both = (PREVIOUS, CURRENT)
+    return Radar(filings(spark, sf_dir, both), holdings(spark, sf_dir, both), alias_table(spark, WATCHLISTS), CURRENT, PREVIOUS)
 
 
 def _values(rows: list[tuple]) -> str:

@@ -71,14 +71,13 @@ def issuer_watchlist_match(s, d):
 
 @query("SELECT issuer, count(*) AS n FROM h WHERE issuer IN (SELECT issuer FROM m) GROUP BY 1")
 def watchlist_filter(s, d):
-    r = radar(s, d)
-    return matching.watchlist_filter(r.holdings, r.matches).groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
+    rows = holdings(s, d)
+    return matching.watchlist_filter(rows, matching.issuer_watchlist_match(rows, radar(s, d).aliases)).groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT issuer, count(*) AS n FROM h WHERE regexp_matches(upper(issuer), 'RED|RDX|RDP|ANVIL|ANVL|BOLT|BLT|SMALL|GEAR|RING|ZEPPELIN|ZZZZ') GROUP BY 1")
 def like_prefilter(s, d):
-    r = radar(s, d)
-    return matching.like_prefilter(r.holdings, r.aliases).groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
+    return matching.like_prefilter(holdings(s, d), radar(s, d).aliases).groupBy("issuer").agg(F.count(F.lit(1)).alias("n"))
 
 
 _SECTOR = """sec AS (SELECT issuer, CASE WHEN upper(issuer) = 'RED WIDGET' THEN 'Information Technology' WHEN upper(issuer) = 'SMALL GEAR' THEN 'Industrials' WHEN upper(issuer) = 'HOT BOLT' THEN 'Materials'

@@ -218,7 +218,7 @@ def exposure_parse_13f(s, d):
 
 @query("SELECT 'Read Me' AS sheet, 4 AS n UNION ALL SELECT 'Coverage', 1 UNION ALL SELECT 'Category Trends', (SELECT count(DISTINCT category) FROM al) UNION ALL SELECT 'Filer Security Audit', least(1000, (SELECT count(*) FROM sp)) UNION ALL SELECT 'Security Movements', least(1000, (SELECT count(*) FROM (SELECT DISTINCT category, security FROM sp)))")
 def audit_export_tables_query(s, d):
-    sheets = audit_export_tables(radar(s, d), SECTORS, "metal")
+    sheets = audit_export_tables(radar(s, d).materialise(), SECTORS, "metal")
     return X.union_all([sheets[name].agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n")) for name in ("Read Me", "Coverage", "Category Trends", "Filer Security Audit", "Security Movements")])
 
 

@@ -1,5 +1,6 @@
 """Rules on documents that have no SQL: chunks, context windows, exposure rows; jobs and sources on small input."""
 
+import os
 import re
 
 import pytest
@@ -111,7 +112,19 @@ def test_jdbc(spark):
 def test_radar_reads_its_tables_once(spark, sf):
     from filingscope.plans.fixtures import radar
 
-    r = radar(spark, sf)
+    r = radar(spark, sf).materialise()
     for out in (r.category_summary(), r.filer_moves(), r.audit_rows(), r.raw_matched_holdings(), r.radar_coverage(), r.current_holders_by_category()):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("Relation [") <= 3 and "l_suppkey" not in plan
+    folders = [t.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://") for t in (r.pairs, r.matches, r.watched)]
+    assert all(map(os.path.exists, folders))
+    r.drop()
+    assert not any(map(os.path.exists, folders))
+
+
+def test_lazy_radar_prunes_by_quarter(spark, sf):
+    from filingscope.plans.fixtures import radar
+
+    plan = radar(spark, sf).security_positions()._jdf.queryExecution().executedPlan().toString()
+    bounds = re.findall(r"l_shipdate#\d+ (>= 2001-04-01|< 2001-10-01)", plan)
+    assert len(bounds) >= 6  # at each scan of line items
