@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope import ship
-from filingscope.llm.common import write_table
+from filingscope.llm.common import drop_table
 from filingscope.llm.decontamination import without_leaks
 from filingscope.llm.jaccard_join import keep_one
 from filingscope.llm.line_dedup import MADE, dedupe_lines
 from filingscope.llm.packing import pack
 from filingscope.llm.quality_classifier import accepted, fit_quality
+from filingscope.tables import write_alone
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that pass. Each stage's input, and what it wrote on its way, goes when its result is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, write_alone(lambda: stage(spark, docs, sf_dir), name, spark)  # noqa: B023
+        if i:
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
