@@ -88,3 +88,16 @@ def test_near_duplicates_against_all_pairs(spark, sf):
     groups = brute_groups(rows, 5, 80)
     want = {i for i, n, c in groups if n == 0 or i == c}
     assert {r["doc_id"] for r in P.near_duplicates(spark, docs, sf).collect()} == want and len(want) < len(rows)
+
+
+def test_only_what_the_result_reads_is_left(spark, folder):
+    import os
+
+    import corpus_pipeline as P
+    from filingscope.tables import shared_dir
+
+    root = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(root))
+    P.run(spark, folder)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(root)) - before}
+    assert left == {"benchmark_decontamination", "pieces"}
