@@ -28,8 +28,23 @@ def portfolio_diff(current: DataFrame, previous: DataFrame) -> DataFrame:
     old = previous.select("cik", "security", F.col("issuer").alias("old_issuer"), F.col("shares").alias("previous_shares"), F.col("value").alias("previous_value"))
     both = current.select("cik", "security", "issuer", "shares", "value").join(old, ["cik", "security"], "full_outer")
     out = both.select("cik", "security", F.coalesce("issuer", "old_issuer").alias("issuer"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("shares", "value", "previous_shares", "previous_value")])
+    return _changes(out)
+
+
+def quarter_diff(portfolios: DataFrame, current: str, previous: str) -> DataFrame:
+    """portfolio_diff() of two quarters of one table that has a filing per filer and quarter: both are read and summed at once."""
+    now = F.col("quarter") == current
+    of = lambda column, on: F.coalesce(F.sum(F.when(on, F.col(column))), F.lit(0.0))
+    out = portfolios.filter(F.col("quarter").isin(current, previous)).groupBy("cik", "security").agg(
+        F.coalesce(F.max(F.when(now, F.col("issuer"))), F.max("issuer")).alias("issuer"), of("shares", now).alias("shares"), of("value", now).alias("value"), of("shares", ~now).alias("previous_shares"), of("value", ~now).alias("previous_value")
+    )
+    return _changes(out)
+
+
+def _changes(out: DataFrame) -> DataFrame:
     change = F.col("shares") - F.col("previous_shares")
-    return out.withColumns({"change": change, "percent": percent_change_tracker("previous_shares", "shares"), "is_new": (F.col("previous_shares") <= 0) & (F.col("shares") > 0), "is_add_on": (F.col("previous_shares") > 0) & (change > 0), "is_exit": (F.col("previous_shares") > 0) & (F.col("shares") <= 0)})
+    is_new, is_add_on, is_exit = (F.col("previous_shares") <= 0) & (F.col("shares") > 0), (F.col("previous_shares") > 0) & (change > 0), (F.col("previous_shares") > 0) & (F.col("shares") <= 0)
+    return out.withColumns({"change": change, "percent": percent_change_tracker("previous_shares", "shares"), "is_new": is_new, "is_add_on": is_add_on, "is_exit": is_exit})
 
 
 def portfolio_diff_by_cusip(current: DataFrame, previous: DataFrame) -> DataFrame:

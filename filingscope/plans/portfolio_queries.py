@@ -24,12 +24,15 @@ def query(sql: str | None = None, more: str = ""):
 
 
 def latest_portfolio(s, d, quarter):
-    own = latest_filing_per_filer(filings(s, d)).filter(F.col("quarter") == quarter).select("accession")
-    return P.portfolio_aggregate(holdings(s, d).join(own, "accession", "left_semi"))
+    one = (quarter, quarter)
+    own = latest_filing_per_filer(filings(s, d, one)).filter(F.col("quarter") == quarter).select("accession")
+    return P.portfolio_aggregate(holdings(s, d, one).join(own, "accession", "left_semi"))
 
 
 def difference(s, d):
-    return P.portfolio_diff(latest_portfolio(s, d, CURRENT), latest_portfolio(s, d, PREVIOUS))
+    both = (PREVIOUS, CURRENT)
+    own = latest_filing_per_filer(filings(s, d, both)).select("accession")
+    return P.quarter_diff(P.portfolio_aggregate(holdings(s, d, both).join(own, "accession", "left_semi")), CURRENT, PREVIOUS)
 
 
 _PA = "pa AS (SELECT cik, accession, quarter, security, min(issuer) AS issuer, sum(value) AS value, sum(shares) AS shares FROM h GROUP BY 1, 2, 3, 4), lp AS (SELECT pa.* FROM pa JOIN lat USING (cik, quarter, accession))"

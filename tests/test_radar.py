@@ -73,3 +73,13 @@ def test_reverse_lookup_actions(spark):
     found = P.reverse_lookup(spark.createDataFrame(filings, FILINGS), spark.createDataFrame(rows, HOLDINGS))
     assert {r["cik"]: r["action"] for r in found.collect()} == want
     assert {r["action"]: r["n"] for r in P.reverse_action_counts(found).collect()}["all"] == 6
+
+
+def test_difference_of_quarters_equals_the_outer_join(spark, sf):
+    from filingscope.operators import portfolio as P
+    from filingscope.plans.fixtures import CURRENT, PREVIOUS
+    from filingscope.plans.portfolio_queries import latest_portfolio
+
+    now, before = latest_portfolio(spark, sf, CURRENT), latest_portfolio(spark, sf, PREVIOUS)
+    join, one = P.portfolio_diff(now, before), P.quarter_diff(now.unionByName(before), CURRENT, PREVIOUS)
+    assert sorted(map(tuple, join.collect()), key=str) == sorted(map(tuple, one.select(join.columns).collect()), key=str)
