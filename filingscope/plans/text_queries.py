@@ -208,9 +208,9 @@ def theme_index(s, d):
     return D.theme_index(themed(s, d)).select("id", F.trim("theme").alias("theme"), "sentiment", "context")
 
 
-@query("SELECT event_type AS name, count(*) AS n, CASE WHEN sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) > 0 THEN 'Positive' WHEN sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM (SELECT * FROM events ORDER BY CAST(ts AS DATE) DESC, CAST(event_id AS VARCHAR) DESC LIMIT 100) GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
+@query("SELECT event_type AS name, count(*) AS n, CASE WHEN sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) > 0 THEN 'Positive' WHEN sum(CASE WHEN value > 50 THEN 1 ELSE -1 END) < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment, array_to_string(list_sort(list(user_id || ': ' || props))[1:3], ' | ') AS examples FROM (SELECT * FROM events ORDER BY CAST(ts AS DATE) DESC, CAST(event_id AS VARCHAR) DESC LIMIT 100) GROUP BY 1 ORDER BY n DESC, name LIMIT 20")
 def theme_trends(s, d):
-    return D.theme_trends(themed(s, d)).select("name", "n", "sentiment")
+    return D.theme_trends(themed(s, d)).select("name", "n", "sentiment", F.concat_ws(" | ", "examples").alias("examples"))
 
 
 def companies(s, d):
@@ -304,9 +304,9 @@ def fact_history(s, d):
 
 
 @query(_FACT + """, x AS (SELECT cik, max(val) FILTER (concept = 'AssetsCurrent' AND recency = 1) AS a, max(val) FILTER (concept = 'LiabilitiesCurrent' AND recency = 1) AS l, max(val) FILTER (concept LIKE 'Cash%' AND recency = 1) AS c1, max(val) FILTER (concept LIKE 'Cash%' AND recency = 2) AS c2 FROM fa WHERE recency <= 2 GROUP BY 1),
-y AS (SELECT cik, round(a / l, 2) AS current_ratio, round((c1 - c2) / abs(c2) * 100, 1) AS cash_change FROM x) SELECT *, 10 - 3 * (CASE WHEN current_ratio < 1 THEN 1 ELSE 0 END + CASE WHEN cash_change < -30 THEN 1 ELSE 0 END) AS score FROM y""")
+y AS (SELECT cik, round(a / l, 2) AS current_ratio, round((c1 - c2) / abs(c2) * 100, 1) AS cash_change FROM x) SELECT *, concat_ws('; ', CASE WHEN current_ratio < 1 THEN 'Current ratio below 1.0' END, CASE WHEN cash_change < -30 THEN 'Cash fell by more than 30%' END) AS alerts, 10 - 3 * (CASE WHEN current_ratio < 1 THEN 1 ELSE 0 END + CASE WHEN cash_change < -30 THEN 1 ELSE 0 END) AS score FROM y""")
 def financial_health(s, d):
-    return S.financial_health(facts(s, d)).drop("alerts")
+    return S.financial_health(facts(s, d)).withColumn("alerts", F.concat_ws("; ", "alerts"))
 
 
 @query()

@@ -83,3 +83,26 @@ def test_difference_of_quarters_equals_the_outer_join(spark, sf):
     now, before = latest_portfolio(spark, sf, CURRENT), latest_portfolio(spark, sf, PREVIOUS)
     join, one = P.portfolio_diff(now, before), P.quarter_diff(now.unionByName(before), CURRENT, PREVIOUS)
     assert sorted(map(tuple, join.collect()), key=str) == sorted(map(tuple, one.select(join.columns).collect()), key=str)
+
+
+def test_all_sheets_are_the_outputs_in_order(spark, sf):
+    from filingscope.operators.audit import audit_export_tables
+    from filingscope.plans.fixtures import SECTORS, radar
+
+    r = radar(spark, sf).materialise()
+    sheets = audit_export_tables(r, SECTORS, "metal", 40)
+    raw = r.raw_matched_holdings()
+    details = [(m.cik, m.category, *d) for m in r.top_filer_moves(40).collect() for d in m.details]
+    whole = {
+        "Coverage": (r.radar_coverage(), []), "Category Trends": (r.category_summary(), ["category"]), "Sector Movers": (r.sector_movers(SECTORS), ["sector"]), "Filer Type Trends": (r.filer_type_summary(), ["filer_type", "category"]),
+        "Private Credit Institutions": (r.institution_category_summary("metal"), ["cik"]), "Filer Security Audit": (r.audit_rows(), ["cik", "category", "security"]), "Security Movements": (r.top_security_movements(40), []),
+        "Raw Current": (raw.filter("period = 'current'"), ["row_id"]), "Raw Previous": (raw.filter("period = 'previous'"), ["row_id"]),
+    }
+    plain = lambda rows: [tuple(round(v, 6) if isinstance(v, float) else v for v in x) for x in rows]
+    for name, (rows, keys) in whole.items():
+        want = sorted(rows.collect(), key=lambda x: tuple(x[k] for k in keys)) if keys else rows.collect()
+        assert plain(sheets[name].collect()) == plain(want[:40]), name
+    assert sheets["Read Me"].count() == 4 and len(sheets) == 11
+    got = [(x.cik, x.category, *x[3:]) for x in sheets["Top Filer Move Details"].collect()]
+    assert sorted(plain(got), key=str) == sorted(plain(sorted(details, key=lambda x: x[:4])[:40]), key=str)
+    r.drop()
