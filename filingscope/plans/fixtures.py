@@ -52,6 +52,12 @@ def holdings(spark: SparkSession, sf_dir: str, quarters: tuple[str, str] | None
     )
 
 
+def cusip_holdings(spark: SparkSession, sf_dir: str, quarters: tuple[str, str] | None = None) -> DataFrame:
+    """holdings() in which every third part has a CUSIP, so that equal names are several securities and others are one."""
+    part = F.col("part").cast("long")
+    return holdings(spark, sf_dir, quarters).withColumn("cusip", F.when(part % 3 == 0, F.concat(F.lit(" c"), F.lpad(part.cast("string"), 8, "0"))))
+
+
 def funds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(padded(F.col("s_suppkey")).alias("cik"), F.col("s_name").alias("fund_name"))
 
@@ -63,7 +69,7 @@ def filings(spark: SparkSession, sf_dir: str, quarters: tuple[str, str] | None =
 
 def radar(spark: SparkSession, sf_dir: str) -> Radar:
     both = (PREVIOUS, CURRENT)
-    return Radar(filings(spark, sf_dir, both), holdings(spark, sf_dir, both), alias_table(spark, WATCHLISTS), CURRENT, PREVIOUS)
+    return Radar(filings(spark, sf_dir, both), cusip_holdings(spark, sf_dir, both), alias_table(spark, WATCHLISTS), CURRENT, PREVIOUS)
 
 
 def _values(rows: list[tuple]) -> str:
@@ -75,7 +81,7 @@ _ALIASES = [(c, f"{c}|{t}|{label.upper().replace(' ', '')}", label, a.upper()) f
 #: The same in DuckDB SQL: common table expressions that the oracles start with.
 SQL = f"""
 h AS (SELECT l_orderkey * 100 + l_linenumber AS row_id, CAST(l_suppkey AS VARCHAR) AS cik, CAST(l_suppkey AS VARCHAR) || '-' || strftime(l_shipdate, '%Y%m') AS accession,
-  CAST(year(l_shipdate) AS VARCHAR) || '-Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS quarter, p_name AS issuer, upper(replace(p_name, ' ', '')) AS security,
+  CAST(year(l_shipdate) AS VARCHAR) || '-Q' || CAST(quarter(l_shipdate) AS VARCHAR) AS quarter, p_name AS issuer, CASE WHEN l_partkey % 3 = 0 THEN 'C' || lpad(CAST(l_partkey AS VARCHAR), 8, '0') ELSE upper(replace(p_name, ' ', '')) END AS security,
   l_extendedprice / (CASE WHEN l_suppkey % 2 = 1 THEN 1000.0 ELSE 1.0 END) AS value, l_quantity AS shares, CASE WHEN l_returnflag = 'R' THEN 'Put' END AS putcall, CAST(l_shipdate AS DATE) AS shipped, CAST(l_partkey AS VARCHAR) AS part
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 f AS (SELECT g.*, s_name AS fund_name FROM (SELECT cik, accession, quarter, max(shipped) AS filing_date FROM h GROUP BY 1, 2, 3) g LEFT JOIN supplier ON CAST(s_suppkey AS VARCHAR) = cik),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from filingscope.operators import matching, portfolio as P
 from filingscope.operators.radar import latest_filing_per_filer
-from filingscope.plans.fixtures import CURRENT, PREVIOUS, SECTORS, filings, holdings, with_sql
+from filingscope.plans.fixtures import CURRENT, PREVIOUS, SECTORS, cusip_holdings as holdings, filings, with_sql
 from filingscope.plans.radar_queries import _SECTOR, tidy
 
 QUERIES: dict = {}
