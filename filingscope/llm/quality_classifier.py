@@ -74,7 +74,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
 
     The fit takes at most most_rows labelled ids, those with the smallest hashes, and reads their whole
     texts. The same rows always give the same model. Null ids, labels or texts are left out; several
-    labels of an id count as the largest. Without labelled rows all weights are 0 (every score is 0.5).
+    labels of an id count as the largest, of several texts of an id the first in order is read. Without labelled rows all weights are 0 (every score is 0.5).
     """
     spark = docs.sparkSession
     ids = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
@@ -82,6 +82,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS,
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropna()
     rows = texts.join(F.broadcast(chosen), "doc_id")  # most_rows ids and labels at most
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
     def extract(batches):
         hashes = Tokens()

@@ -705,3 +705,12 @@ def test_quality_on_held_out_rows(spark, docs, empty):
     assert len(odd) == docs.count() and all(0 <= r["score"] <= 1 for r in odd)
     assert classify_quality(empty, lab).count() == 0
     assert {r["score"] for r in classify_quality(docs, lab.limit(0)).collect()} == {0.5}
+
+
+def test_quality_reads_one_text_of_an_id_however_often_it_repeats(spark):
+    from filingscope.llm.quality_classifier import fit_quality
+
+    once = [(i, f"{'good words stand here' if i % 2 else 'bad### words'} {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    fits = [fit_quality(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels) for rows in (once, once + [once[7]] * 500 + [(8, "z last in order")])]
+    assert fits[0].any() and (fits[0] == fits[1]).all()
