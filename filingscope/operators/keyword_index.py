@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filingscope.operators.automaton import contained
+from filingscope.tables import write_table
 
 SPACES = r"\s+"
 
@@ -61,7 +62,9 @@ def keyword_hits(index: DataFrame, keywords: DataFrame, keys: list[str]) -> Data
     wanted = keywords.select(clean.alias("keyword")).filter("keyword <> ''").distinct().withColumn("parts", F.split("keyword", " ")).withColumn("n", F.size("parts"))
     # a keyword with two spaces in a row is in no text, whose spaces are single
     wanted = wanted.filter(~F.array_contains("parts", ""))
+    # the words that matter, found once; what reads the postings meets this small table
     pieces = _pieces(index.select("word").distinct(), wanted).join(wanted.select("keyword", "n", F.length(F.get("parts", F.lit(0))).alias("first"), F.length(F.element_at("parts", -1)).alias("last")), "keyword")
+    pieces = write_table(pieces, "keyword-words")
     found = index.join(pieces, "word")
     single = found.filter("n = 1").groupBy("keyword", *keys).agg(F.sum(F.size("places") * F.col("times")).cast("long").alias("hits"))
     begins = found.filter("n > 1").select("keyword", *keys, "n", "first", "last", "part", F.when(F.col("part") == 0, F.length("word")).alias("size"), F.explode("places").alias("place"))
