@@ -355,6 +355,10 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null or empty text is its end alone. Equal rows are scored each; an empty table gives an empty
     result; other columns, whatever their names, are not read. Scores are rounded to six decimals.
+    Good-Turing discounts counts up to DISCOUNTED; the discounted count is then divided by the context's count
+    + 1, a second discount, so that something is left for words that no context of the training texts had.
+    The weights are normalised exactly: the probabilities after any context add up to 1.
+    Keys have KEY_BITS bits at every size, so among very many n-grams (1e13) some counts would be shared by chance.
     Where tables names a folder, the counts of all n-grams and the sums of all contexts are kept there,
     by bucket (read_counts, read_weights); else only what messages ask for leaves the buckets.
     """
