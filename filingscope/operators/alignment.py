@@ -127,3 +127,40 @@ def section_alignment(docs: DataFrame, company: str, order: str, text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(found, RUNS)], names=["c", "o", "previous", "runs"])
 
     return both.mapInArrow(run, schema).select(F.col("c").alias(company), F.col("o").alias(order), "previous", F.inline("runs"))
+
+
+def text_diff(pairs: DataFrame, keys: list[str], old_col: str, new_col: str) -> DataFrame:
+    """(keys, part, kind, text): two texts as runs of words kept, removed and added, in reading order (removed before added).
+
+    The kept words are a longest common subsequence; words are parted by white space and joined by one space. Null
+    texts are empty; equal texts are one kept run. A task has one pair at a time.
+    """
+    schema = ", ".join([*(f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys), "parts array<struct<kind: string, text: string>>"])
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
+
+    def diff(batches):
+        for b in batches:
+            at = len(keys)
+            out = [_parts((x or "").split(), (y or "").split()) for x, y in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(at)), pa.array(out, kind)], names=[*keys, "parts"])
+
+    rows = pairs.select(*keys, F.col(old_col).cast("string").alias("_old"), F.col(new_col).cast("string").alias("_new")).mapInArrow(diff, schema)
+    return rows.select(*keys, F.posexplode("parts").alias("part", "p")).select(*keys, "part", "p.kind", "p.text")
+
+
+def _parts(old: list[str], new: list[str]) -> list[dict]:
+    out: list[dict] = []
+
+    def add(kind: str, words: list[str]) -> None:
+        if words and out and out[-1]["kind"] == kind:
+            out[-1]["text"] += " " + " ".join(words)
+        elif words:
+            out.append({"kind": kind, "text": " ".join(words)})
+
+    i = j = 0
+    for a, b in [*align(old, new), (len(old), len(new))]:
+        add("removed", old[i:a])
+        add("added", new[j:b])
+        add("kept", old[a : a + 1])
+        i, j = a + 1, b + 1
+    return out

@@ -76,3 +76,17 @@ def test_query_equals_brute_force_on_all_pairs(spark, sf):
         assert sum(r.n for r in rows if r.kind == "kept") == longest(old, new)
         assert all(old[r.old_start : r.old_start + r.n] == new[r.new_start : r.new_start + r.n] for r in rows if r.kind in ("kept", "moved"))
         assert sum(r.n for r in rows if r.kind != "added") == len(old) and sum(r.n for r in rows if r.kind != "removed") == len(new)
+
+
+def test_words_of_two_texts(spark):
+    rows = [(1, "We may fail to grow", "We will never fail to  grow now"), (2, None, "new"), (3, "same\ntext", "same text"), (4, "gone", ""), (5, None, None)]
+    got = {}
+    for r in A.text_diff(spark.createDataFrame([(*x, "clash") for x in rows], "id int, a string, b string, parts string"), ["id"], "a", "b").orderBy("id", "part").collect():
+        got.setdefault(r.id, []).append((r.kind, r.text))
+    assert got == {1: [("kept", "We"), ("removed", "may"), ("added", "will never"), ("kept", "fail to grow"), ("added", "now")], 2: [("added", "new")], 3: [("kept", "same text")], 4: [("removed", "gone")]}
+    rng = random.Random(6)
+    for _ in range(100):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randint(0, 20))] for _ in range(2))
+        parts = A._parts(a, b)
+        side = lambda other: [w for p in parts if p["kind"] != other for w in p["text"].split()]
+        assert side("added") == a and side("removed") == b and sum(len(p["text"].split()) for p in parts if p["kind"] == "kept") == longest(a, b)
