@@ -11,13 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+OPTIONS = "spark.sql.streaming.stateStore.rocksdb"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def use_state(spark: SparkSession) -> None:
-    """The state store that keyed state with timers needs (RocksDB: on disk, so state may exceed memory); batches save their changes."""
+    """The state store that keyed state with timers needs (RocksDB: on disk, so state may exceed memory).
+
+    Batches save their changes only, and files are not allocated ahead: a store of a few rows takes little disk.
+    """
     spark.conf.set(PROVIDER, ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    spark.conf.set(f"{OPTIONS}.changelogCheckpointing.enabled", "true")
+    spark.conf.set(f"{OPTIONS}.allowFAllocate", "false")
 
 
 #: Groups of accessions that are remembered together, and days of time by which a group's timers are rounded up.
