@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filingscope import ship
-from filingscope.llm.common import drop_table
+from filingscope.llm.common import drop_table, write_table  # noqa: F401  (write_table: for those who run stages one by one)
 from filingscope.llm.decontamination import without_leaks
 from filingscope.llm.jaccard_join import keep_one
 from filingscope.llm.line_dedup import MADE, dedupe_lines
