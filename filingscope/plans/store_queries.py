@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from filingscope import ship
 from filingscope.operators import maintenance as M
 from filingscope.plans.fixtures import CURRENT, PREVIOUS, SQL, filings, holdings, read
 from filingscope.sources import filings as SRC
 from filingscope.sources.marked import scan_submission_files as scan_files
+from filingscope.sources.whole import write_files
 from filingscope.tables import new_path
 
 QUERIES: dict = {}
@@ -37,12 +39,15 @@ def scan_bulk_tsv(s, d):
 
 @query("SELECT doc_id, md5(trim(regexp_replace(text, '[\\r\\n]+', ' ', 'g'))) AS text_md5 FROM documents")
 def scan_documents(s, d):
-    """Each document written as a text file of its own folder, and all files read back whole."""
+    """Each document written as a text file of its own, and all files read back whole."""
+    ship(s)
     path = new_path(s, "texts")
-    rows = read(s, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[\r\n]+", " ")).alias("value"))
-    rows.repartition(16).write.partitionBy("doc_id").text(path)
+    kind = F.when(F.col("text").isNull(), ".none").otherwise(".txt")
+    rows = read(s, d, "documents").select(F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), kind).alias("name"), F.trim(F.regexp_replace("text", r"[\r\n]+", " ")).alias("text"))
+    write_files(rows, path)
     found = SRC.scan_documents(s, path)
-    return found.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), F.md5(F.regexp_replace("text", r"\n$", "")).alias("text_md5"))
+    doc_id = F.nullif(F.regexp_extract("path", r"doc_id=(-?\d+)\.\w+$", 1), F.lit("")).cast("long")
+    return found.select(doc_id.alias("doc_id"), F.when(F.col("path").endswith(".txt"), F.md5("text")).alias("text_md5"))
 
 
 @query("SELECT event_type AS form, CAST(event_id AS VARCHAR) AS accession, event_type || '; say \"so\"' AS terms FROM events")

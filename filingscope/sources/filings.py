@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filingscope.functions.columns import format_accession, normalize_sec_date, parse_number
+from filingscope.sources.whole import openable, read_files
 
 
 def scan_bulk_tsv(spark: SparkSession, path) -> DataFrame:
@@ -162,8 +163,13 @@ def scan_search_hits(docs: DataFrame, keys: list[str], json_col: str = "json") -
 
 
 def scan_documents(spark: SparkSession, path) -> DataFrame:
-    """Text files as whole documents with their names; unreadable ones are left out."""
-    rows = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True)
+    """Text files as whole documents with their names; unreadable ones are left out.
+
+    Under a URI that tasks can open, these list the files; else Spark's reader does, which has all names in the driver.
+    """
+    if uri := openable(spark, path):
+        return read_files(spark, uri)
+    rows = spark.read.option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 
 

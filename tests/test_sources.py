@@ -110,3 +110,28 @@ def test_snapshots(spark, tmp_path):
     assert found.count() == 1 and len(manifest.first()["warnings"]) == 2
     assert [r["current_quarter"] for r in M.snapshot_list(spark, path).collect()] == ["2026-Q1", "2025-Q4"]
     assert date.today()
+
+
+def test_documents_are_listed_by_tasks(spark, tmp_path):
+    from filingscope.plans.registry import ORACLES, QUERIES
+    from filingscope.sources import whole
+
+    for i in range(3):
+        (tmp_path / "in" / f"f{i}" / "deep").mkdir(parents=True)
+        (tmp_path / "in" / f"f{i}" / "deep" / "x.txt").write_text(f"text {i}\n")
+    (tmp_path / "in" / "loose.txt").write_text("")
+    (tmp_path / "in" / "_SUCCESS").write_text("no")
+    rows = S.scan_documents(spark, f"file://{tmp_path}/in")
+    assert sorted(r["text"] for r in rows.collect()) == ["", "text 0\n", "text 1\n", "text 2\n"]
+    # the driver knows folders and loose files, not what the folders hold
+    parts = whole.WholeReader(rows.schema, f"file://{tmp_path}/in").partitions()
+    assert [len(p.files) for p in parts] == [0, 0, 0, 1]
+    # by a glob, Spark's reader finds the same
+    assert S.scan_documents(spark, f"file://{tmp_path}/in/f*/deep").count() == 3
+
+    docs = spark.createDataFrame([(1, "a\r\nb"), (1, "a\r\nb"), (2, None), (None, " c "), (-3, "")], "doc_id long, text string")
+    docs.write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    import duckdb
+
+    want = duckdb.sql(ORACLES["scan_documents"].replace("documents", f"'{tmp_path}/odd/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(str, map(tuple, QUERIES["scan_documents"](spark, f"file://{tmp_path}/odd").collect()))) == sorted(map(str, want))
