@@ -67,9 +67,19 @@ def _body(xml: Column) -> Column:
     return F.concat(F.lit("<root>"), F.array_join(F.regexp_extract_all(xml, F.lit(r"(?s)<infoTable\b.*?</infoTable>"), F.lit(0)), ""), F.lit("</root>"))
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a column that is evaluated once: Spark would put its expression into each place that names it, and into the
+    filters that it makes of an explode()."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def parse_13f_xml(xml: Column) -> Column:
     """Holdings of an information table as structs: issuers in upper case (UNKNOWN if there is none), numbers without commas."""
-    table = F.from_xml(_body(plain_tags(xml)), INFO)["infoTable"]
+    return _holdings(plain_tags(xml))
+
+
+def _holdings(clean: Column) -> Column:
+    table = F.from_xml(_body(clean), INFO)["infoTable"]
     return F.transform(F.coalesce(table, F.array().cast(INFO[len("struct<infoTable:") : -1])), lambda t: F.struct(
         F.coalesce(F.nullif(F.upper(F.trim(t["nameOfIssuer"])), F.lit("")), F.lit("UNKNOWN")).alias("issuer"), F.nullif(F.upper(F.trim(t["cusip"])), F.lit("")).alias("cusip"),
         parse_number(t["value"], 0).alias("value"), parse_number(t["shrsOrPrnAmt"]["sshPrnamt"], 0).alias("shares"), t["shrsOrPrnAmt"]["sshPrnamtType"].alias("share_type"),
@@ -77,21 +87,32 @@ def parse_13f_xml(xml: Column) -> Column:
 
 
 def report_date(xml: Column) -> Column:
-    found = F.regexp_extract(plain_tags(xml), r"(?s)<(?:periodOfReport|reportCalendarOrQuarter)>\s*(.*?)\s*</", 1)
-    return F.nullif(normalize_sec_date(found), F.lit(""))
+    return _iso_date(_date_text(plain_tags(xml)))
+
+
+def _date_text(clean: Column) -> Column:
+    return F.regexp_extract(clean, r"(?s)<(?:periodOfReport|reportCalendarOrQuarter)>\s*(.*?)\s*</", 1)
+
+
+def _iso_date(text: Column) -> Column:
+    return F.nullif(normalize_sec_date(text), F.lit(""))
 
 
 def scan_13f_xml(docs: DataFrame, keys: list[str], xml_col: str = "xml") -> DataFrame:
     """One row per holding of each document."""
-    rows = docs.select(*keys, report_date(F.col(xml_col)).alias("report_date"), F.explode(parse_13f_xml(F.col(xml_col))).alias("h"))
+    rows = docs.select(*keys, F.explode(F.array(plain_tags(F.col(xml_col)))).alias("_clean"))
+    rows = once(once(rows, "_date", _date_text(F.col("_clean"))), "_holdings", _holdings(F.col("_clean")))
+    rows = rows.select(*keys, _iso_date(F.col("_date")).alias("report_date"), F.explode("_holdings").alias("h"))
     return rows.select(*keys, "report_date", "h.*")
 
 
 def scan_13f_submission_text(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """Of a submission's XML blocks that with the most holdings (the first of several); the first report date found counts."""
     blocks = F.regexp_extract_all(F.col(text_col), F.lit(r"(?is)<XML>(.*?)</XML>"), F.lit(1))
-    rows = docs.select(*keys, F.get(F.filter(F.transform(blocks, lambda b: report_date(b)), lambda x: x.isNotNull()), F.lit(0)).alias("report_date"), F.posexplode(blocks).alias("block", "xml"))
-    sized = rows.withColumn("holdings", parse_13f_xml(F.col("xml")))
+    rows = docs.select(*keys, F.explode(F.array(F.transform(blocks, plain_tags))).alias("_clean"))
+    rows = once(rows, "_dates", F.transform("_clean", _date_text))
+    rows = rows.select(*keys, F.get(F.filter(F.transform("_dates", _iso_date), lambda x: x.isNotNull()), F.lit(0)).alias("report_date"), F.posexplode("_clean").alias("block", "_xml"))
+    sized = once(rows, "holdings", _holdings(F.col("_xml"))).drop("_xml")
     w = Window.partitionBy(*keys).orderBy(F.size("holdings").desc(), "block")
     best = sized.withColumn("rn", F.row_number().over(w)).filter("rn = 1")
     return best.select(*keys, "report_date", F.explode("holdings").alias("h")).select(*keys, "report_date", "h.*")
@@ -99,10 +120,12 @@ def scan_13f_submission_text(docs: DataFrame, keys: list[str], text_col: str = "
 
 def scan_nport_xml(docs: DataFrame, keys: list[str], terms: list[str], xml_col: str = "xml") -> DataFrame:
     """A fund's records with a term in name or title and any amount: confidence .96 with a value or balance, else .86."""
-    clean = plain_tags(F.col(xml_col))
+    docs = docs.select(*keys, F.explode(F.array(plain_tags(F.col(xml_col)))).alias("_clean"))
+    clean = F.col("_clean")
     body = F.concat(F.lit("<root>"), F.array_join(F.regexp_extract_all(clean, F.lit(r"(?s)<invstOrSec\b.*?</invstOrSec>"), F.lit(0)), ""), F.lit("</root>"))
     kind = "struct<invstOrSec:array<struct<name:string,title:string,cusip:string,balance:string,units:string,valUSD:string,pctVal:string,assetCat:string,issuerCat:string,invCountry:string>>>"
-    rows = docs.select(*keys, F.regexp_extract(clean, r"(?s)<regName>\s*(.*?)\s*</regName>", 1).alias("reg_name"), F.regexp_extract(clean, r"(?s)<seriesName>\s*(.*?)\s*</seriesName>", 1).alias("series_name"), F.explode(F.from_xml(body, kind)["invstOrSec"]).alias("s"))
+    rows = once(docs, "_records", F.from_xml(body, kind)["invstOrSec"])
+    rows = rows.select(*keys, F.regexp_extract(clean, r"(?s)<regName>\s*(.*?)\s*</regName>", 1).alias("reg_name"), F.regexp_extract(clean, r"(?s)<seriesName>\s*(.*?)\s*</seriesName>", 1).alias("series_name"), F.explode("_records").alias("s"))
     text = F.upper(F.concat_ws(" ", "s.name", "s.title"))
     hit = F.lit(False)
     for t in terms:
@@ -116,7 +139,7 @@ def scan_form4_xml(docs: DataFrame, keys: list[str], xml_col: str = "xml") -> Da
     v = "struct<value:string>"
     owner = "struct<reportingOwnerId:struct<rptOwnerName:string>,reportingOwnerRelationship:struct<isDirector:string,isTenPercentOwner:string,officerTitle:string>>"
     kind = f"struct<issuer:struct<issuerTradingSymbol:string,issuerName:string>,reportingOwner:array<{owner}>,nonDerivativeTable:struct<nonDerivativeTransaction:array<struct<transactionDate:{v},transactionAmounts:struct<transactionShares:{v},transactionPricePerShare:{v},transactionAcquiredDisposedCode:{v}>>>>>"
-    rows = docs.select(*keys, F.from_xml(plain_tags(F.col(xml_col)), kind).alias("d"))
+    rows = docs.select(*keys, F.explode(F.array(F.from_xml(plain_tags(F.col(xml_col)), kind))).alias("d"))
     rows = rows.select(*keys, F.col("d.issuer.issuerTradingSymbol").alias("ticker"), F.get("d.reportingOwner", F.lit(0)).alias("o"), F.explode("d.nonDerivativeTable.nonDerivativeTransaction").alias("t"))
     yes = lambda c: F.lower(F.trim(c)).isin("1", "true")
     rel = "o.reportingOwnerRelationship"

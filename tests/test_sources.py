@@ -135,3 +135,23 @@ def test_documents_are_listed_by_tasks(spark, tmp_path):
 
     want = duckdb.sql(ORACLES["scan_documents"].replace("documents", f"'{tmp_path}/odd/documents.parquet/*.parquet'")).fetchall()
     assert sorted(map(str, map(tuple, QUERIES["scan_documents"](spark, f"file://{tmp_path}/odd").collect()))) == sorted(map(str, want))
+
+
+def test_xml_is_parsed_once(spark):
+    docs = spark.createDataFrame([("a", TABLE), ("b", None), ("c", "")], "k string, xml string")
+    wrapped = docs.selectExpr("k", "concat('<XML>', xml, '</XML>') as text")
+    fund = docs.selectExpr("k", "'<invstOrSecs><invstOrSec><name>Red</name><balance>1</balance></invstOrSec></invstOrSecs>' as xml")
+    for rows, n in ((S.scan_13f_xml(docs, ["k"]), 2), (S.scan_13f_submission_text(wrapped, ["k"]), 2), (S.scan_nport_xml(fund, ["k"], ["red"]), 3), (S.scan_form4_xml(docs, ["k"]), 0)):
+        assert rows.count() == n
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_xml(") + plan.count("XmlToStructs") <= 1 and plan.count("xmlns") <= 1, plan
+
+
+def test_only_pieces_that_are_asked_for_are_grouped(spark):
+    from filingscope.operators import signals as G
+
+    companies = spark.createDataFrame([("1", "A", "Acme Rocket Corp"), ("2", "B", "Acme Rocket")], "cik string, ticker string, title string")
+    found = G.entity_resolve(spark.createDataFrame([("cme",)], "query string"), companies)
+    assert [tuple(r) for r in found.collect()] == [("cme", "2", "contains")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Repartition" in plan
