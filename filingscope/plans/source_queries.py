@@ -319,8 +319,7 @@ def incremental_ingest(s, d):
 @query("SELECT event_type AS theme, count(*) AS n, count(DISTINCT event_id) AS filings FROM events GROUP BY 1 UNION ALL SELECT 'shared', count(*), count(*) FROM events", cte=False)
 def incremental_theme_append(s, d):
     """Each filing has two themes; those of some are stored; the batch comes twice."""
-    rows = feed(s, d)
-    rows = rows.select("accession", F.col("form").alias("theme")).unionByName(rows.select("accession", F.lit("shared").alias("theme")))
+    rows = feed(s, d).select("accession", F.explode(F.array("form", F.lit("shared"))).alias("theme"))
     stored = rows.join(rows.filter("theme < 'p'").select("accession").distinct(), "accession", "left_semi")
     once = alerts.incremental_theme_append(rows.unionByName(rows), stored)
     return once.groupBy("theme").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("accession").alias("filings"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -80,8 +80,19 @@ def incremental_ingest(batch: DataFrame, stored: DataFrame, quarter: str, mode:
 
 
 def incremental_theme_append(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """The stored themes and all themes of new filings; rows that a batch repeats count once."""
-    return stored.unionByName(unseen(batch, stored).select(stored.columns).distinct())
+    """The stored themes and all themes of new filings; rows that a batch repeats count once.
+
+    The batch and the stored accessions are dealt out once and sorted once, in as many tasks as the session has shuffle
+    partitions. A join instead is planned anew for each part of a batch that is a union, all of them in one task.
+    """
+    n, columns = int(batch.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored.columns
+    each = ["accession", *[c for c in columns if c != "accession"]]
+    have = stored.select("accession", F.lit(True).alias("_stored"))
+    rows = batch.select(columns).withColumn("_stored", F.lit(False)).unionByName(have, allowMissingColumns=True)
+    rows = rows.repartition(n, "accession").sortWithinPartitions(*each, "_stored")  # the order of both windows
+    rows = rows.withColumn("_known", F.max("_stored").over(Window.partitionBy("accession")) & F.col("accession").isNotNull())
+    rows = rows.withColumn("_time", F.row_number().over(Window.partitionBy(*each).orderBy("_stored")))
+    return stored.unionByName(rows.filter("not _stored and not _known and _time = 1").select(columns))
 
 
 def incremental_ipo_enrich(batch: DataFrame, stored: DataFrame, enrich: Callable[[DataFrame], DataFrame], n: int = 25) -> DataFrame:

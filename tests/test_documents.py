@@ -77,6 +77,20 @@ def test_new_filings_keep_all_their_themes(spark):
     assert alerts.incremental_theme_append(batch, out).count() == 3
 
 
+def test_a_batch_of_several_tables_is_joined_once(spark):
+    """As many exchanges whatever the number of a batch's parts; nulls are as in an anti join."""
+    from filingscope.streaming import alerts
+
+    kind = "accession string, theme string, n int"
+    stored = spark.createDataFrame([("1", "x", 1), ("1", "x", 1), (None, "q", 0)], kind)
+    batch = spark.createDataFrame([("1", None, None), ("1", "y", 1), ("2", None, None), ("2", None, None), ("2", "y", 2), (None, "q", 0), (None, "q", 0)], kind)
+    out = alerts.incremental_theme_append(batch, stored)
+    assert sorted(map(tuple, out.collect()), key=str) == [("1", "x", 1), ("1", "x", 1), ("2", "y", 2), ("2", None, None), (None, "q", 0), (None, "q", 0)]
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    several = plan(alerts.incremental_theme_append(batch.unionByName(batch).unionByName(batch), stored))
+    assert (several.count("Join"), several.count("Exchange"), several.count("Sort [")) == (0, 1, 1)
+
+
 def test_alerts_look_back_and_order(spark, tmp_path):
     from datetime import datetime
 
