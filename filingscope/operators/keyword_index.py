@@ -16,6 +16,8 @@ from filingscope.operators.automaton import contained
 from filingscope.tables import write_table
 
 SPACES = r"\s+"
+#: A task that counts hits gets those of about so many postings, however many there are.
+POSTINGS = 100_000
 
 
 def postings(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
@@ -66,8 +68,12 @@ def keyword_hits(index: DataFrame, keywords: DataFrame, keys: list[str]) -> Data
     pieces = _pieces(index.select("word").distinct(), wanted).join(wanted.select("keyword", "n", F.length(F.get("parts", F.lit(0))).alias("first"), F.length(F.element_at("parts", -1)).alias("last")), "keyword")
     pieces = write_table(pieces, "keyword-words")
     found = index.join(pieces, "word")
-    single = found.filter("n = 1").groupBy("keyword", *keys).agg(F.sum(F.size("places") * F.col("times")).cast("long").alias("hits"))
-    begins = found.filter("n > 1").select("keyword", *keys, "n", "first", "last", "part", F.when(F.col("part") == 0, F.length("word")).alias("size"), F.explode("places").alias("place"))
+    # a keyword's words in a document come from many tasks: they are dealt out first, as grouping them before saves nothing
+    tasks = index.count() // POSTINGS + 1
+    deal = lambda df: df.repartition(tasks, "keyword", *keys)
+    single = deal(found.filter("n = 1").select("keyword", *keys, (F.size("places") * F.col("times")).alias("times"))).groupBy("keyword", *keys).agg(F.sum("times").cast("long").alias("hits"))
+    parts = deal(found.filter("n > 1").select("keyword", *keys, "n", "first", "last", "part", F.when(F.col("part") == 0, F.length("word")).alias("size"), "places"))
+    begins = parts.withColumn("place", F.explode("places")).drop("places")
     starts = begins.groupBy("keyword", *keys, "n", "first", "last", (F.col("place") - F.col("part")).alias("start")).agg(F.count(F.lit(1)).alias("there"), F.max("size").alias("size")).filter("there = n")
     # a hit may begin in the word in which the one before ends, if there is room for both parts
     room = F.col("first") + F.col("last")

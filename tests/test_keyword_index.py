@@ -45,6 +45,22 @@ def test_common_words_lie_in_several_ranges(spark, tmp_path):
     assert K.keyword_hits(index, spark.createDataFrame([("the same 1999",)], "keyword string"), ["doc"]).count() == 11
 
 
+def test_hits_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
+    """Twice the postings take twice the tasks, and nothing is grouped before it is dealt out."""
+    texts = [(i, " ".join(("ab c abab c", "c ab", "xab cx ab c")[(i + j) % 3] for j in range(i % 5))) for i in range(60)]
+    asked = ["ab", "c", "ab c", "c ab", "c abab c"]
+    monkeypatch.setattr(K, "POSTINGS", 20)
+    for times in (1, 2):
+        docs = spark.createDataFrame([(i + 60 * k, t) for k in range(times) for i, t in texts], "doc int, text string")
+        index = K.postings(docs, ["doc"])
+        hits = K.keyword_hits(index, spark.createDataFrame([(k,) for k in asked], "keyword string"), ["doc"])
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        dealt = sum(len(set(t.split())) for _, t in texts) * times // 20 + 1
+        assert plan.count(f", {dealt}), REPARTITION_BY_NUM") == 2 and plan.count("Exchange hashpartitioning(keyword#") == 2
+        want = {(k, i + 60 * m): t.count(k) for m in range(times) for i, t in texts for k in asked if k in t}
+        assert {(r["keyword"], r["doc"]): r["hits"] for r in hits.collect()} == want
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([], "doc int, text string")
     assert K.keyword_lists_search(K.postings(docs, ["doc"]), spark.createDataFrame([(1, "a")], "list int, keyword string"), ["doc"]).collect() == []
