@@ -71,7 +71,7 @@ QUERIES["filing_index_quarter"], ORACLES["filing_index_quarter"] = QUERIES["quar
 @query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN p > 0 THEN round((l_quantity - p) / p * 100, 6) WHEN l_quantity > 0 THEN CAST('inf' AS DOUBLE) ELSE 0.0 END AS change FROM (SELECT *, CAST(l_linenumber * 7 - 20 AS DOUBLE) AS p FROM lineitem)")
 def share_pct_change(s, d):
     rows = read(s, d, "lineitem").withColumn("p", (F.col("l_linenumber") * 7 - 20).cast("double"))
-    return rows.select("l_orderkey", "l_linenumber", "l_partkey", F.round(C.share_pct_change("p", "l_quantity"), 6).alias("change"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", C.round_double(C.share_pct_change("p", "l_quantity"), 6).alias("change"))
 
 
 @query("SELECT o_orderkey, upper(o_orderpriority) AS form, upper(o_orderpriority) || '; 10-K' AS forms, o_orderpriority || '|b c' AS parts FROM orders")
